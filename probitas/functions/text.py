@@ -58,46 +58,58 @@ def findings(text: Column) -> Column:
     """
     phrases = CASELESS + r"\b(" + "|".join(re.escape(p).replace(r"\ ", " ").replace(r"\-", "-") for p in C.FINDING_PHRASES) + r")\b"
     text = F.translate(text, "\x01\x02", "")
-    parts = F.split(F.regexp_replace(text, phrases, "\x01$1\x02"), "\x01")
-    before = lambda i: F.translate(F.array_join(F.slice(parts, F.lit(1), i), ""), "\x02", "")
-    hits = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.struct(F.lower(F.substring_index(F.get(parts, i), "\x02", 1)).alias("phrase"), F.lower(F.right(before(i), F.lit(C.NEGATION_REACH))).alias("context")),
-    )
-    kept = F.filter(hits, lambda h: ~h["context"].rlike(UNICODE + C.NEGATION))
-    return F.when(F.size(parts) > 1, F.array_distinct(F.transform(kept, lambda h: h["phrase"]))).otherwise(F.array().cast("array<string>"))
+
+    def listed(parts: Column) -> Column:
+        before = lambda i: F.translate(F.array_join(F.slice(parts, F.lit(1), i), ""), "\x02", "")
+        hits = F.transform(
+            F.sequence(F.lit(1), F.size(parts) - 1),
+            lambda i: F.struct(F.lower(F.substring_index(F.get(parts, i), "\x02", 1)).alias("phrase"), F.lower(F.right(before(i), F.lit(C.NEGATION_REACH))).alias("context")),
+        )
+        kept = F.filter(hits, lambda h: ~h["context"].rlike(UNICODE + C.NEGATION))
+        return F.when(F.size(parts) > 1, F.array_distinct(F.transform(kept, lambda h: h["phrase"]))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(F.regexp_replace(text, phrases, "\x01$1\x02"), "\x01"), listed)
 
 
 def _cleaned(text: Column) -> Column:
     return strip(F.regexp_replace(fold(text), r"^\*+|\*+$", ""))
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once, so that a lambda that uses it many times does not evaluate it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def to_answer(text: Column, space: Column) -> Column:
     """A label of ``space`` (an array column) that the text stands for, or null.
 
     In order: the label itself; an alias of one; the longest alias inside the text; the longest label inside.
     """
-    clean = _cleaned(text)
-    table = C.alias_table()
-    aliases = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("label")) for a, c in table])
-    exact = F.try_element_at(F.filter(space, lambda s: F.lower(s) == clean), F.lit(-1))
-    named = F.try_element_at(F.filter(aliases, lambda a: (a["alias"] == clean) & F.array_contains(space, a["label"])), F.lit(1))["label"]
-    inside = F.try_element_at(F.filter(aliases, lambda a: clean.contains(a["alias"]) & F.array_contains(space, a["label"])), F.lit(1))["label"]
-    by_length = F.array_sort(F.transform(space, lambda s, i: F.struct((-F.length(s)).alias("n"), i.alias("i"), s.alias("s"))))
-    label = F.try_element_at(F.filter(by_length, lambda s: clean.contains(F.lower(s["s"]))), F.lit(1))["s"]
-    return F.when((F.coalesce(text, F.lit("")) != "") & (F.size(space) > 0), F.coalesce(exact, named, inside, label))
+    aliases = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("label")) for a, c in C.alias_table()])
+
+    def found(clean: Column) -> Column:
+        exact = F.try_element_at(F.filter(space, lambda s: F.lower(s) == clean), F.lit(-1))
+        named = F.try_element_at(F.filter(aliases, lambda a: (a["alias"] == clean) & F.array_contains(space, a["label"])), F.lit(1))["label"]
+        inside = F.try_element_at(F.filter(aliases, lambda a: clean.contains(a["alias"]) & F.array_contains(space, a["label"])), F.lit(1))["label"]
+        by_length = F.array_sort(F.transform(space, lambda s, i: F.struct((-F.length(s)).alias("n"), i.alias("i"), s.alias("s"))))
+        label = F.try_element_at(F.filter(by_length, lambda s: clean.contains(F.lower(s["s"]))), F.lit(1))["s"]
+        return F.coalesce(exact, named, inside, label)
+
+    return F.when((F.coalesce(text, F.lit("")) != "") & (F.size(space) > 0), let(_cleaned(text), found))
 
 
 def to_known_answer(text: Column, space: list[str]) -> Column:
-    """``to_answer`` for a space known when the plan is made: one CASE, which whole-stage code can hold."""
-    clean = _cleaned(text)
+    """``to_answer`` for a space known when the plan is made: only its own aliases are tried, whole texts by a
+    map and inner phrases in order of precedence."""
+    if not space:
+        return F.lit(None).cast("string")
     table = [(a, c) for a, c in C.alias_table() if c in space]
-    rules = [(clean == s.lower(), s) for s in space] + [(clean == a, c) for a, c in table] + [(clean.contains(a), c) for a, c in table]
-    rules += [(clean.contains(s.lower()), s) for s in sorted(space, key=len, reverse=True)]
-    out = F
-    for condition, label in rules:
-        out = out.when(condition, label)
-    return F.when(F.coalesce(text, F.lit("")) != "", out) if rules else F.lit(None).cast("string")
+    whole = dict(table) | {s.lower(): s for s in space}
+    names = F.create_map(*[F.lit(x) for kv in whole.items() for x in kv])
+    phrases = [*table, *((s.lower(), s) for s in sorted(space, key=len, reverse=True))]
+    inner = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("label")) for a, c in phrases])
+    found = lambda clean: F.coalesce(F.try_element_at(names, clean), F.try_element_at(F.filter(inner, lambda a: clean.contains(a["alias"])), F.lit(1))["label"])
+    return F.when(F.coalesce(text, F.lit("")) != "", let(_cleaned(text), found))
 
 
 def option_answer(text: Column, options: Column, fallback: Column | None = None) -> Column:

@@ -168,7 +168,7 @@ def abstention_appropriateness(spark, sf_dir):
 
 
 @query(
-    f"""{oracle.BASE} select a.*, balanced_acc, macro_f1, ece, n_conf, brier, overconfidence_index, confidently_wrong_rate, n_answered, hallucination_rate, n_oe, abstention_appropriateness, n_should_abstain from
+    f"""{oracle.BASE} select a.*, balanced_acc, macro_f1, ece, n_conf from
     (select {MTF}, {oracle.share('correct', oracle.SCORED)} as accuracy, {oracle.count(oracle.SCORED)} as n, avg(case when {oracle.SCORED} then pow(conf_frac - correct::int::double, 2) end) as brier, {OVER},
       {oracle.share('hallucination', HALL)} as hallucination_rate, {oracle.count(HALL)} as n_oe, {oracle.share('abstained', oracle.ABST)} as abstention_appropriateness, {oracle.count(oracle.ABST)} as n_should_abstain from graded group by {MTF}) a
     left join (select * exclude (n) from ({oracle.agreement('graded', MTF)})) using ({MTF}) left join ({oracle.ece('graded', MTF)}) using ({MTF})"""
@@ -428,7 +428,7 @@ def intensity_normalize(spark, sf_dir):
     return e.select("vec_id", F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("b").cast("long").alias("n"))
 
 
-@query("select vec_id, list_sum([embedding[cast(x * 16 + y * 4 + 2 + 1 as int)]::double for x in range(4) for y in range(4)]) as axial, list_sum([embedding[cast(2 * 16 + y * 4 + z + 1 as int)]::double for y in range(4) for z in range(4)]) as sagittal from embeddings")
+@query("select vec_id, list_sum([embedding[cast(i * 4 + 3 as int)]::double for i in range(16)]) as axial, list_sum([v::double for v in embedding[33:48]]) as sagittal from embeddings")
 def plane_slices(spark, sf_dir):
     e, shape = fixtures.table(spark, sf_dir, "embeddings"), F.array(F.lit(4), F.lit(4), F.lit(4))
     at = pixels.slice_index(F.lit(0.5), F.lit(4))

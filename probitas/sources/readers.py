@@ -24,8 +24,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
 def malformed_lines(spark: SparkSession, path: str, schema: T.StructType = RESPONSES) -> DataFrame:
     """The lines that are not JSON of the schema, with their file."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return df.select(CORRUPT, *[c for c in schema.names[:1]], F.col("_metadata.file_path").alias("file")).filter(F.col(CORRUPT).isNotNull()).select(CORRUPT, "file")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(parsed[CORRUPT].alias(CORRUPT), "file").filter(F.col(CORRUPT).isNotNull())
 
 
 def read_all_responses(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
