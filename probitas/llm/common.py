@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let  # noqa: F401
+from ..session import ship_package, small_batches
+
 #: The characters between words: blank and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -22,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session has none (local tests) a temporary folder is made and set.
     """
     context = spark.sparkContext
+    ship_package(spark)
+    small_batches(spark)
     path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
         if not context.master.startswith("local"):
@@ -65,11 +70,6 @@ def broadcast_if_small(staged: DataFrame, limit: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(staged) if small else staged
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once, so that a lambda that uses it many times does not evaluate it many times."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def buckets(spark: SparkSession, least: int = 64) -> int:
     """How many salts or cells: follows the shuffle partitions, which follow the data."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

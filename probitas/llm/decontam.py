@@ -13,18 +13,25 @@ SHINGLE = 5
 SHARE = 80
 
 
+def _shingles(words: Column, k: int, join, empty: str) -> Column:
+    """``join`` of each k words, bound to one evaluation of ``words`` wherever the optimiser may move it."""
+
+    def each(w: Column) -> Column:
+        n = F.size(w)
+        full = F.transform(F.sequence(F.lit(0), n - k), lambda i: join([F.get(w, i + j) for j in range(k)]))
+        return F.when(n >= k, full).when(n > 0, F.array(join([F.concat_ws(" ", w)]))).otherwise(F.array().cast(empty))
+
+    return let(words, each)
+
+
 def shingle_hashes(words: Column, k: int = SHINGLE) -> Column:
     """64-bit hashes of all shingles of ``k`` words; fewer words are one shingle, no words none."""
-    n = F.size(words)
-    each = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
-    return F.when(n >= k, each).when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", words)))).otherwise(F.array().cast("array<long>"))
+    return _shingles(words, k, lambda ws: F.xxhash64(*ws), "array<long>")
 
 
 def shingle_texts(words: Column, k: int = SHINGLE) -> Column:
     """The shingles themselves, words joined by one blank."""
-    n = F.size(words)
-    each = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)]))
-    return F.when(n >= k, each).when(n > 0, F.array(F.concat_ws(" ", words))).otherwise(F.array().cast("array<string>"))
+    return _shingles(words, k, lambda ws: F.concat_ws(" ", *ws), "array<string>")
 
 
 def size_part(n: Column) -> Column:
@@ -55,16 +62,16 @@ def find_contained(docs: DataFrame, items: DataFrame, share: int = SHARE) -> Dat
     # One row per power of two up to the longest item: at most 63.
     limits = sketch.groupBy("_part").agg(F.min("_least").alias("low"), F.max("_hash").alias("top")).collect()
 
-    # no filter on the words: it would be pushed below their split and do that twice
+    # no filter on the words or their shingles, nor an inner explode that implies one: it would be pushed below
+    # the split and make it anew
     probe = docs.select("doc_id", words_of(F.lower("text")).alias("_words"))
     n = F.greatest(F.size("_words") - (SHINGLE - 1), F.least(F.size("_words"), F.lit(1)))
     tops = [F.when(n >= x.low, F.lit(x.top)) for x in limits] + [F.lit(None).cast("long")] * 2
-    probe = probe.select("doc_id", F.greatest(*tops).alias("_top"), shingle_hashes(F.col("_words")).alias("_all"))
-    probe = probe.select("doc_id", "_top", F.explode("_all").alias("_hash")).filter(F.col("_hash") <= F.col("_top"))
+    probe = probe.select("doc_id", F.greatest(*tops).alias("_top"), F.explode_outer(shingle_hashes(F.col("_words"))).alias("_hash")).filter(F.col("_hash") <= F.col("_top"))
     pairs = stage(probe.join(broadcast_if_small(sketch), "_hash").select("doc_id", "item_id").distinct(), "candidates")
 
     found = docs.join(broadcast_if_small(pairs.select("doc_id").distinct().transform(stage, "found")), "doc_id", "left_semi")
-    lines = found.select("doc_id", F.explode(F.array_distinct(shingle_texts(words_of(F.lower("text"))))).alias("_text"))
+    lines = found.select("doc_id", F.explode_outer(F.array_distinct(shingle_texts(words_of(F.lower("text"))))).alias("_text"))
     wanted = stage(items.select("item_id", "n_shingles", F.explode("_s").alias("_text")), "wanted")
     hits = lines.join(broadcast_if_small(wanted), "_text").join(broadcast_if_small(pairs), ["doc_id", "item_id"], "left_semi")
     counted = hits.groupBy("doc_id", "item_id", "n_shingles").agg(F.countDistinct("_text").alias("n_shared"))
