@@ -111,8 +111,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end = np.array([end_id], tok.kind).tobytes()
         for batch in batches:
             rows, sizes, bodies = [], [], []
-            for text in batch.column(1).to_pylist():
-                body = tok.ids(text).tobytes() + end
+            for ids in tok.ids_of(batch.column(1).to_pylist()):
+                body = ids.tobytes() + end
                 rows.append(row)
                 sizes.append(len(body) // tok.kind().nbytes)
                 bodies.append(body)

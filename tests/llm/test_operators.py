@@ -157,9 +157,9 @@ def test_suffix_family_merges():
         w = text[p : p + 50].tobytes()
         least[w] = min(least.get(w, d), d)
     want = [least[text[p : p + 50].tobytes()] < d for p, d in zip(places, docs, strict=True)]
-    family, got = suffix.Family(), []
+    family, got = suffix.Family(text), []
     for i in range(0, len(places), 700):
-        got += family.add(text, places[i : i + 700], docs[i : i + 700]).tolist()
+        got += family.add(places[i : i + 700], docs[i : i + 700]).tolist()
     assert got == want and any(want)
     assert [x.batches for x in family.levels] == [8, 1]
 
@@ -422,7 +422,7 @@ def test_chunks_resist_insertions():
     a = rng.integers(0, 49000, 20000).astype(np.uint16)
     b = np.concatenate([a[:5000], [7, 8, 9], a[5000:]]).astype(np.uint16)
     pieces = [{x[p:q].tobytes() for p, q in zip([0, *store.cuts(x)], store.cuts(x), strict=False)} for x in (a, b)]
-    assert len(pieces[0] - pieces[1]) <= 2
+    assert len(pieces[0] - pieces[1]) <= 3
     assert all(store.cuts(x)[-1] == len(x) for x in (a, b))
     assert store.cuts(a[:1]) == [1]
 
