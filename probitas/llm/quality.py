@@ -29,6 +29,10 @@ def repeated_words(words: Column, window: int = 5) -> Column:
     A first sort of the windows' 64-bit hashes tells whether any repeats, which few texts have; only then
     (hash, place) pairs are sorted, and the places of repeats are summed up as the union of their windows.
     """
+    return let(words, lambda w: _repeated_words(w, window))
+
+
+def _repeated_words(words: Column, window: int) -> Column:
     n = F.size(words) - (window - 1)
     at = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(window)])
     places = F.sequence(F.lit(0), n - 1)
@@ -133,9 +137,12 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source:
 
     kept is false where the base rule fails, else false where a measure is beyond the fence of the document's
     (lang, source); groups of under 100 documents take the language's fence, then everyone's. Null languages
-    and sources form groups of their own. An empty table gives an empty result. Other columns pass through.
+    and sources form groups of their own. An empty table gives an empty result. Other columns pass through, those of
+    the new names are replaced; without ``keep_text`` the text is dropped. Measures are made once and staged.
     """
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     base = measure(docs, text)
+    base = stage(base if keep_text else base.drop(text), "measures")
     per = lambda a, scale: F.floor(F.col(a) * scale / F.greatest(F.col("n_words"), F.lit(1))).cast("long")
     base = base.withColumns(
         {"_lang": F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")), "m_repeat": per("n_repeat_words", 1000), "m_symbols": per("n_symbols", 1000), "m_dup_lines": per("n_dup_lines", 1000), "m_long_words": per("word_chars", 1000)}
