@@ -150,3 +150,50 @@ def parser_agreement(audited: DataFrame) -> DataFrame:
     columns = [c for c in audited.columns if c.startswith("parser_agrees_")]
     yes = lambda c: F.when(F.col(c) != "", fold(F.col(c)).isin("1", "yes", "true", "y").cast("double"))
     return audited.agg(*[F.avg(yes(c)).alias(c) for c in columns])
+
+
+# --- many metrics from one pass -----------------------------------------------------------------------------------
+SUMS = ["n", "n_gradeable", "n_scored", "n_correct", "n_conf", "sum_conf", "sum_gap2", "n_wrong_conf", "sum_wrong_conf", "n_sure_wrong", "n_open", "n_hallucinated", "n_should_abstain", "n_abstained"]
+
+
+def cells(graded: DataFrame, keys: list[str]) -> DataFrame:
+    """Additive sums by keys, confidence bin, true and predicted label (both null off the scored rows).
+
+    The only pass over responses: a few hundred cells a group, made by partial aggregates before the shuffle.
+    Every point metric of any coarser grouping is a function of them, and plans that share this table share its
+    exchange.
+    """
+    use, open_, abstain = scored(), F.col("format") == "OE", should_abstain()
+    conf = use & has_confidence()
+    gap, c = F.col("conf_frac") - F.col("correct").cast("double"), F.col("conf_frac")
+    wrong = conf & ~F.col("correct")
+    total = lambda where, x: F.sum(F.when(where, x).otherwise(0.0))
+    label = lambda name: F.when(use, fold(F.col(name)))
+    by = [F.when(conf, bin_index(c)).alias("bin"), label("gt_label").alias("t"), label("pred_answer").alias("p")]
+    return keyed(graded, keys).groupBy(*keys, *by).agg(
+        F.count("*").alias("n"), count_where(F.col("gradeable")).alias("n_gradeable"), count_where(use).alias("n_scored"), count_where(use & F.col("correct")).alias("n_correct"),
+        count_where(conf).alias("n_conf"), total(conf, c).alias("sum_conf"), total(conf, gap * gap).alias("sum_gap2"), count_where(wrong).alias("n_wrong_conf"), total(wrong, c).alias("sum_wrong_conf"),
+        count_where(wrong & (c >= C.HIGH_CONFIDENCE / 100.0)).alias("n_sure_wrong"), count_where(open_).alias("n_open"), count_where(open_ & F.col("hallucination")).alias("n_hallucinated"),
+        count_where(abstain).alias("n_should_abstain"), count_where(abstain & F.col("abstained")).alias("n_abstained"),
+    )
+
+
+def suite(cells_: DataFrame, keys: list[str]) -> DataFrame:
+    """All point metrics by ``keys`` from cells."""
+    share = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b))
+    out = cells_.groupBy(*keys).agg(
+        share("n_correct", "n_scored").alias("accuracy"), F.sum("n_scored").alias("n"), share("n_correct", "n_gradeable").alias("acc_all_prompt"),
+        (F.sum("n_scored") / F.greatest(F.lit(1), F.sum("n_gradeable"))).alias("coverage"), F.sum("n_gradeable").alias("n_gradeable"), share("sum_gap2", "n_conf").alias("brier"),
+        share("sum_wrong_conf", "n_wrong_conf").alias("overconfidence_index"), share("n_sure_wrong", "n_scored").alias("confidently_wrong_rate"), F.sum("n_scored").alias("n_answered"),
+        share("n_hallucinated", "n_open").alias("hallucination_rate"), F.sum("n_open").alias("n_oe"), share("n_abstained", "n_should_abstain").alias("abstention_appropriateness"), F.sum("n_should_abstain").alias("n_should_abstain"),
+    )
+    bins = cells_.filter("bin is not null").groupBy(*keys, "bin").agg(F.sum("n_correct").alias("y"), F.sum("sum_conf").alias("c"), F.sum("n_conf").alias("m"))
+    ece = bins.groupBy(*keys).agg((F.sum(F.abs(F.col("y") - F.col("c"))) / F.sum("m")).alias("ece"), F.sum("m").alias("n_conf"))
+    each = cells_.filter("n_scored > 0").select(*keys, "t", "p", "n_scored", F.explode(F.array_distinct(F.array("t", "p"))).alias("class"))
+    is_t, is_p = F.col("class") == F.col("t"), F.col("class") == F.col("p")
+    of = lambda where: F.sum(F.when(where, F.col("n_scored")).otherwise(0))
+    per = each.groupBy(*keys, "class").agg(of(is_t & is_p).alias("tp"), of(is_t & ~is_p).alias("fn"), of(is_p & ~is_t).alias("fp"))
+    recall = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    labels = per.groupBy(*keys).agg(F.avg(recall).alias("balanced_acc"), F.avg(f1).alias("macro_f1"))
+    return out.join(ece, keys, "left").join(labels, keys, "left")

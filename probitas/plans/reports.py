@@ -23,16 +23,7 @@ def graded_table(responses: DataFrame, manifest: DataFrame) -> DataFrame:
 def main_accuracy(graded: DataFrame, intervals: bool = False, row_key: Column | None = None) -> DataFrame:
     """The metric suite of each model, task and format."""
     keys = ["model", "task", "format"]
-    out = metrics.accuracy(graded, keys)
-    for part in (
-        metrics.agreement(graded, keys).drop("n"),
-        metrics.calibration_error(graded, keys),
-        metrics.brier(graded, keys).drop("n"),
-        metrics.overconfidence(graded, keys),
-        metrics.hallucination(graded, keys),
-        metrics.abstention(graded, keys),
-    ):
-        out = out.join(part, keys, "left")
+    out = metrics.suite(metrics.cells(graded, keys), keys).drop("acc_all_prompt", "coverage", "n_gradeable")
     if intervals:
         key = F.col("prompt_id") if row_key is None else row_key
         ci = bootstrap.mean_interval(graded.filter(metrics.scored()), keys, F.col("correct"), key).drop("mean", "n")
@@ -42,7 +33,7 @@ def main_accuracy(graded: DataFrame, intervals: bool = False, row_key: Column |
 
 def calibration(graded: DataFrame, intervals: bool = False) -> DataFrame:
     keys = ["model"]
-    out = metrics.calibration_error(graded, keys).join(metrics.brier(graded, keys).drop("n"), keys).join(metrics.overconfidence(graded, keys), keys)
+    out = metrics.suite(metrics.cells(graded, keys), keys).select("model", "ece", "n_conf", "brier", "overconfidence_index", "confidently_wrong_rate", "n_answered")
     if intervals:
         ci = bootstrap.calibration_interval(graded, keys, F.col("prompt_id")).withColumnsRenamed({"ci_lo": "ece_ci_lo", "ci_hi": "ece_ci_hi"})
         out = out.join(ci, keys, "left")
@@ -96,40 +87,41 @@ def usable_rows(graded: DataFrame, least: float = C.MIN_COVERAGE) -> DataFrame:
     return rows.join(poor, "model", "left_anti")
 
 
+def _usable_cells(cells: DataFrame, least: float) -> DataFrame:
+    """Cells of models whose coverage over all of them is enough; both sides come from one exchange."""
+    share = F.round(F.sum("n_scored") / F.greatest(F.lit(1), F.sum("n_gradeable")), 4)
+    poor = cells.groupBy("model").agg(share.alias("coverage")).filter(F.col("coverage") < least).select("model")
+    return cells.join(poor, "model", "left_anti")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 3) for c, t in df.dtypes if t == "double"}).withColumn("model", short_name(F.col("model")))
+
+
 def headline(graded: DataFrame, least: float = C.MIN_COVERAGE, intervals: bool = False) -> DataFrame:
     """Per usable model and headline task: coverage, accuracy of answers and of all prompts, agreement, ece."""
-    keys, rows = ["model", "task"], usable_rows(graded, least)
-    out = metrics.coverage(rows, keys, None).drop("n_answered")
-    acc = metrics.keyed(rows, keys).groupBy(*keys).agg(metrics.rate(F.col("correct"), metrics.scored()).alias("acc_answered"), metrics.rate(F.col("correct"), F.col("gradeable")).alias("acc_all_prompt"))
-    out = out.join(acc, keys).join(metrics.agreement(rows, keys).drop("n"), keys, "left").join(metrics.calibration_error(rows, keys).drop("n_conf"), keys, "left")
+    keys = ["model", "task"]
+    out = metrics.suite(_usable_cells(metrics.cells(headline_rows(graded), keys), least), keys)
+    out = out.select(*keys, "coverage", "n_gradeable", F.col("accuracy").alias("acc_answered"), "acc_all_prompt", "balanced_acc", "macro_f1", "ece")
     if intervals:
-        ci = bootstrap.mean_interval(rows.filter(metrics.scored()), keys, F.col("correct"), F.col("prompt_id"), cluster=F.col("subject_id")).drop("mean", "n")
+        ci = bootstrap.mean_interval(usable_rows(graded, least).filter(metrics.scored()), keys, F.col("correct"), F.col("prompt_id"), cluster=F.col("subject_id")).drop("mean", "n")
         out = out.join(ci.withColumnsRenamed({"ci_lo": "acc_ans_ci_lo", "ci_hi": "acc_ans_ci_hi"}), keys, "left")
-    rounded = [c for c, t in out.dtypes if t == "double"]
-    return out.withColumns({c: F.round(c, 3) for c in rounded}).withColumn("model", short_name(F.col("model")))
+    return _rounded(out)
 
 
 def safety(graded: DataFrame, least: float = C.MIN_COVERAGE, intervals: bool = False) -> DataFrame:
-    """Per usable model: calibration over headline rows, hallucination and abstention over all neutral rows."""
-    keys, rows = ["model"], usable_rows(graded, least)
-    use = metrics.scored()
-    wrong = use & ~F.col("correct")
-    out = metrics.keyed(rows, keys).groupBy("model").agg(
-        (metrics.count_where(use) / F.greatest(F.lit(1), metrics.count_where(F.col("gradeable")))).alias("coverage"),
-        metrics.rate(F.col("correct"), use).alias("acc_answered"),
-        metrics.rate(F.col("correct"), F.col("gradeable")).alias("acc_all_prompt"),
-        F.avg(F.when(wrong & metrics.has_confidence(), F.col("conf_frac"))).alias("mean_conf_on_wrong"),
-        (metrics.count_where(wrong & (F.coalesce("conf_frac", F.lit(0.0)) >= C.HIGH_CONFIDENCE / 100.0)) / F.greatest(F.lit(1), metrics.count_where(use))).alias("confidently_wrong_rate"),
-    )
-    neutral = graded.filter(F.col("phrasing") == "neutral")
-    out = out.join(metrics.calibration_error(rows, keys).drop("n_conf"), keys, "left").join(metrics.brier(rows, keys).drop("n"), keys, "left")
-    out = out.join(metrics.hallucination(neutral, keys).select("model", F.col("hallucination_rate").alias("oe_hallucination_rate")), keys, "left")
-    out = out.join(metrics.abstention(neutral, keys).select("model", F.col("abstention_appropriateness").alias("abstention_approp")), keys, "left")
+    """Per usable model: calibration over headline rows, hallucination and abstention over all neutral rows, both
+    from one pass over the neutral rows."""
+    neutral = graded.filter(F.col("phrasing") == "neutral").withColumn("head", (F.col("format") == "MC") & F.col("task").isin(C.HEADLINE_TASKS))
+    cells = metrics.cells(neutral, ["model", "head"])
+    head = metrics.suite(_usable_cells(cells.filter("head"), least), ["model"])
+    head = head.select("model", "coverage", F.col("accuracy").alias("acc_answered"), "acc_all_prompt", "ece", "brier", F.col("overconfidence_index").alias("mean_conf_on_wrong"), F.coalesce("confidently_wrong_rate", F.lit(0.0)).alias("confidently_wrong_rate"))
+    whole = metrics.suite(cells, ["model"]).select("model", F.col("hallucination_rate").alias("oe_hallucination_rate"), F.col("abstention_appropriateness").alias("abstention_approp"))
+    out = head.join(whole, "model", "left")
     if intervals:
-        ci = bootstrap.mean_interval(neutral.filter(metrics.should_abstain()), keys, F.col("abstained"), F.col("prompt_id")).drop("mean", "n")
-        out = out.join(ci.withColumnsRenamed({"ci_lo": "abstention_ci_lo", "ci_hi": "abstention_ci_hi"}), keys, "left")
-    rounded = [c for c, t in out.dtypes if t == "double"]
-    return out.withColumns({c: F.round(c, 3) for c in rounded}).withColumn("model", short_name(F.col("model")))
+        ci = bootstrap.mean_interval(neutral.filter(metrics.should_abstain()), ["model"], F.col("abstained"), F.col("prompt_id")).drop("mean", "n")
+        out = out.join(ci.withColumnsRenamed({"ci_lo": "abstention_ci_lo", "ci_hi": "abstention_ci_hi"}), ["model"], "left")
+    return _rounded(out)
 
 
 def mean_accuracy(table: DataFrame) -> DataFrame:
