@@ -77,7 +77,8 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, copies = first_copies(docs)
     single = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * WIDTH - 1)).select("doc_id", "key", "text").join(broadcast_if_small(copies), ["doc_id", "key"], "left_anti")
     sharing = shared_hashes(single, anchor_hashes)
-    edges = stage(edges_of(single.join(broadcast_if_small(sharing), ["doc_id", "key"])), "edges")
+    # joined by a shuffle at any size: both sides grow with the corpus
+    edges = stage(edges_of(single.join(sharing, ["doc_id", "key"])), "edges")
     sent = edges.filter(F.col("source_doc").isNull())
     # The repeated edges: their first source, and whether the graph branches after them.
     graph = sent.groupBy("edge").agg(
@@ -111,7 +112,7 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
     new = ["key", "n_words", "n_removed", "kept_sha256", "runs", "copy"]
     fields = [f for f in docs.drop(*new).schema.fields if rewrite or f.name != "text"]
     docs, copies, runs = find_repeats(docs.drop(*new))
-    joined = docs.join(broadcast_if_small(copies.withColumn("copy", F.lit(True)).transform(stage, "copies")), ["doc_id", "key"], "left").join(broadcast_if_small(runs), ["doc_id", "key"], "left")
+    joined = docs.join(broadcast_if_small(copies.withColumn("copy", F.lit(True)).transform(stage, "copies")), ["doc_id", "key"], "left").join(runs, ["doc_id", "key"], "left")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long, n_removed long, kept_sha256 string"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """Which hashes of a document occur in another document too: the filter before every exact comparison.
 
 A document's hashes (anchors of its windows, or signatures of its set) are many, and most occur nowhere else.
-They travel as four bytes each in blobs, one per map batch and bucket, and only shared ones come back as rows.
+They travel as six bytes each in blobs, one per map batch and bucket, and only shared ones come back as rows.
 A hash that several documents of a batch have is known to be shared there, so the batch sends it once: a hash
 that a third of all documents have costs its bucket one entry per batch.
 """
@@ -24,7 +24,9 @@ TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
 #: kinds of rows: hashes on their way to a bucket; a document's shared hashes; the documents of a batch
 SENT, FOUND, DOCS = 0, 1, 2
 #: A batch sends its blobs when so many hashes have come together.
-BATCH_HASHES = 1_500_000
+BATCH_HASHES = 700_000
+#: The owner of a hash that several documents of a batch have; a batch has fewer documents.
+MANY = np.uint16(0xFFFF)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -50,7 +52,7 @@ def shared_hashes(docs: DataFrame, of: Callable[[bytes], np.ndarray]) -> DataFra
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate(held)
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+            owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for x in held])
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
             first = np.concatenate([[True], h[1:] != h[:-1]])
@@ -62,9 +64,9 @@ def shared_hashes(docs: DataFrame, of: Callable[[bytes], np.ndarray]) -> DataFra
             low, who = (h[several] & U(0xFFFFFFFF)).astype(np.uint32)[mine], owner[several][mine]
             for part in np.split(np.arange(len(who)), np.flatnonzero(np.diff(who)) + 1) if len(who) else []:
                 d = ids[who[part[0]]]
-                rows.append((-1 - int(d[1] % n), FOUND, None, d[0], d[1], low[part].tobytes(), None))
+                rows.append((-1 - int(number % n), FOUND, number, d[0], d[1], low[part].tobytes(), None))
             # each hash once, to its bucket; the owner of one that several have is not needed
-            h, owner = h[first], np.where(count > 1, np.uint32(0xFFFFFFFF), owner[first])
+            h, owner = h[first], np.where(count > 1, MANY, owner[first])
             bucket = ((h >> U(32)) % U(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -83,7 +85,7 @@ def shared_hashes(docs: DataFrame, of: Callable[[bytes], np.ndarray]) -> DataFra
                     held.append(got)
                     ids.append((doc_id, key))
                     size += len(got)
-                if size > BATCH_HASHES:
+                if size > BATCH_HASHES or len(held) == MANY - 1:
                     yield flush()
                     held, ids, size, number = [], [], 0, number + 1
         if held:
@@ -94,7 +96,7 @@ def shared_hashes(docs: DataFrame, of: Callable[[bytes], np.ndarray]) -> DataFra
             return table
         batch = table.column("batch").to_pylist()
         h = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-        owner = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("owners").to_pylist()])
+        owner = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("owners").to_pylist()])
         row = np.repeat(np.arange(len(h)), [len(x) for x in h])
         h = np.concatenate(h)
         order = np.argsort(h, kind="stable")
@@ -102,26 +104,33 @@ def shared_hashes(docs: DataFrame, of: Callable[[bytes], np.ndarray]) -> DataFra
         same = s[1:] == s[:-1]
         known = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         hit = order[known]
-        hit = hit[owner[hit] != 0xFFFFFFFF]
-        hit = hit[np.lexsort((owner[hit], row[hit]))]
-        cut = np.flatnonzero((np.diff(row[hit]) != 0) | (np.diff(owner[hit].astype(np.int64)) != 0)) + 1
-        rows = [(int(owner[p[0]]), FOUND, batch[row[p[0]]], None, None, h[p].tobytes(), None) for p in np.split(hit, cut) if len(p)]
+        hit = hit[owner[hit] != MANY]
+        hit = hit[np.argsort(row[hit], kind="stable")]
+        cut = np.flatnonzero(np.diff(row[hit]) != 0) + 1
+        rows = [(-1, FOUND, batch[row[p[0]]], None, None, h[p].tobytes(), owner[p].tobytes()) for p in np.split(hit, cut) if len(p)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, TYPES, strict=True)], names=NAMES)
 
+    def assemble(table: pa.Table) -> pa.Table:
+        """A batch's shared hashes, by document: its size is bounded by the batch's."""
+        lists: dict[tuple[int, int], list[bytes]] = {}
+        kinds, ids, keys, hashes, owners = (table.column(c).to_pylist() for c in ("kind", "doc_id", "key", "hashes", "owners"))
+        names = np.frombuffer(next(h for k, h in zip(kinds, hashes, strict=True) if k == DOCS), np.int64).reshape(-1, 2).tolist()
+        away = [(np.frombuffer(o, np.uint16), np.frombuffer(h, np.uint32)) for k, o, h in zip(kinds, owners, hashes, strict=True) if k == FOUND and o is not None]
+        if away:
+            owner, h = (np.concatenate(x) for x in zip(*away, strict=True))
+            order = np.argsort(owner, kind="stable")
+            owner, h = owner[order], h[order]
+            for p in np.split(np.arange(len(h)), np.flatnonzero(np.diff(owner.astype(np.int64))) + 1) if len(h) else []:
+                lists.setdefault(tuple(names[owner[p[0]]]), []).append(h[p].tobytes())
+        for k, d, key, o, h in zip(kinds, ids, keys, owners, hashes, strict=True):
+            if k == FOUND and o is None:
+                lists.setdefault((d, key), []).append(h)
+        return pa.table([pa.array([d for d, _ in lists], pa.int64()), pa.array([k for _, k in lists], pa.int64()), pa.array(list(lists.values()), pa.list_(pa.binary()))], names=["doc_id", "key", "shared"])
+
     found = docs.select("doc_id", "key", "text").mapInArrow(send, SCHEMA).repartition(n, "bucket").groupBy("bucket").applyInArrow(match, SCHEMA)
     found = stage(found, "shared")
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a = np.frombuffer(blob, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), number)), pa.array(np.arange(len(a))), pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], ["batch", "owner", "doc_id", "key"])
-
-    names = found.filter(F.col("kind") == DOCS).select("batch", "hashes").mapInArrow(unpack, "batch long, owner long, doc_id long, key long")
-    away = found.filter((F.col("kind") == FOUND) & F.col("batch").isNotNull()).select("batch", F.col("bucket").cast("long").alias("owner"), "hashes").join(names, ["batch", "owner"]).select("doc_id", "key", "hashes")
-    near = found.filter((F.col("kind") == FOUND) & F.col("batch").isNull()).select("doc_id", "key", "hashes")
-    # The list of a document is bounded by its own hashes.
-    return stage(away.unionByName(near).groupBy("doc_id", "key").agg(F.collect_list("hashes").alias("shared")), "sharing")
+    return stage(found.filter(F.col("batch").isNotNull() & (F.col("kind") != SENT)).groupBy("batch").applyInArrow(assemble, "doc_id long, key long, shared array<binary>"), "sharing")
 
 
 def is_shared(h: np.ndarray, shared: list[bytes]) -> np.ndarray:

@@ -20,6 +20,8 @@ WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
 #: Suffixes of one batch of the family.
 BATCH_SUFFIXES = 1 << 18
+#: Bytes of windows that a task holds to settle equal ones.
+STRETCH_BYTES = 16 << 20
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,26 +55,24 @@ class Level:
 
 
 class Family:
-    """Levels of geometric sizes over one growing text buffer.
+    """Levels of geometric sizes over the batches of one text buffer.
 
     A new batch gets its suffix array, is merge-scanned against each level for suffixes that begin in a smaller
     document, and enters as a level of its own; two levels of as many batches merge into one of twice as many.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, text: np.ndarray) -> None:
         self.levels: list[Level] = []
+        self.view = sliding_window_view(text, WIDTH)
+        head = text.astype(np.uint64)
+        for n in (1, 2, 4):  # the first eight bytes, as one big-endian number
+            head = (head[:-n] << U(8 * n)) | head[n:]
+        self.head, self.print = head, window_hashes(BYTE_VALUES[text], WIDTH)
 
-    def add(self, text: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def add(self, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Index the suffixes at ``place`` of ``doc`` (ascending, none below an earlier batch's); whether each
         equals a suffix of a smaller document on WIDTH bytes."""
-        view = sliding_window_view(text, WIDTH)
-        rows = view[place]
-        head = np.zeros(len(place), np.uint64)
-        for j in range(8):
-            head = (head << U(8)) | rows[:, j]
-        print_ = np.zeros(len(place), np.uint64)
-        for j in range(WIDTH):
-            print_ = print_ * U(0x9E3779B97F4A7C15) + BYTE_VALUES[rows[:, j]]
+        view, head, print_ = self.view, self.head[place], self.print[place]
         order = np.lexsort((doc, print_, head))
         h, p, d, q = head[order], print_[order], doc[order], place[order]
         same = np.concatenate([[False], (h[1:] == h[:-1]) & (p[1:] == p[:-1])])
@@ -123,11 +123,18 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sharing = shared_hashes(single, anchor_hashes)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of shared anchors. Equal runs of windows in one batch are settled at once: the smallest
-        document's goes on, the others are repeats of it."""
+        """The windows of shared anchors. Equal runs of windows in one stretch of a task's rows are settled at
+        once: the smallest document's goes on, the others are repeats of it."""
+        seen: dict[bytes, tuple] = {}
+        rows: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out = rows + [(*v[:4], v[4], body) for body, v in seen.items()]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["doc_id", "key", "start", "count", "bucket", "body"])
+
         for batch in batches:
-            seen: dict[bytes, tuple] = {}
-            rows: list[tuple] = []
             for doc_id, key, text, shared in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "key", "text", "shared")), strict=True):
                 data = text.encode()
                 h, low, chosen = anchors(data)
@@ -142,15 +149,17 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     there = seen.get(body)
                     if there is None:
                         seen[body] = here
+                        size += len(body)
                     elif there[0] == doc_id:  # a document does not repeat itself
-                        rows.append((*here[:2], *here[2:4], k, body))
+                        rows.append((*here, body))
                     else:
                         if here[0] < there[0]:
                             seen[body], here = here, there
-                        rows.append((*here[:4], -1 - here[4], None))
-            rows += [(*v[:4], v[4], body) for body, v in seen.items()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["doc_id", "key", "start", "count", "bucket", "body"])
+                        rows.append((*here[:4], -1 - here[0] % n, None))
+                if size > STRETCH_BYTES or len(rows) > 200_000:
+                    yield flush()
+                    seen, rows, size = {}, [], 0
+        yield flush()
 
     def index(table: pa.Table) -> pa.Table:
         names = ["doc_id", "key", "start", "count"]
@@ -162,13 +171,13 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         offset = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])[:-1]
         text = np.frombuffer(b"".join(bodies), np.uint8)
         edge = np.concatenate([[0], np.cumsum(count)])
-        family, found = Family(), np.zeros(edge[-1], bool)
+        family, found = Family(text), np.zeros(edge[-1], bool)
         row = 0
         while row < len(count):
             to = max(row + 1, int(np.searchsorted(edge, edge[row] + BATCH_SUFFIXES, "right")) - 1)
             which = np.repeat(np.arange(row, to), count[row:to])
             step = np.arange(edge[row], edge[to]) - edge[which]
-            found[edge[row] : edge[to]] = family.add(text, offset[which] + step, doc[which])
+            found[edge[row] : edge[to]] = family.add(offset[which] + step, doc[which])
             row = to
         which = np.repeat(np.arange(len(count)), count)
         at = np.flatnonzero(found)
@@ -178,7 +187,8 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         w = which[at[first]]
         return pa.table([pa.array(doc[w]), pa.array(key[w]), pa.array(start[w] + at[first] - edge[w]), pa.array(size.astype(np.int64))], names=names)
 
-    parts = single.join(broadcast_if_small(sharing), ["doc_id", "key"]).mapInArrow(contexts, "doc_id long, key long, start long, count long, bucket int, body binary")
+    # joined by a shuffle at any size: both sides grow with the corpus
+    parts = single.join(sharing, ["doc_id", "key"]).mapInArrow(contexts, "doc_id long, key long, start long, count long, bucket int, body binary")
     runs = parts.repartition(n, "bucket").groupBy("bucket").applyInArrow(index, "doc_id long, key long, start long, count long")
     # A document's runs: bounded by its own length.
     per = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
@@ -197,7 +207,7 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
     new = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs", "copy"]
     fields = [f for f in docs.drop(*new).schema.fields if rewrite or f.name != "text"]
     docs, copies, runs = find_repeats(docs.drop(*new))
-    joined = docs.join(broadcast_if_small(copies.withColumn("copy", F.lit(True)).transform(stage, "copies")), ["doc_id", "key"], "left").join(broadcast_if_small(runs), ["doc_id", "key"], "left")
+    joined = docs.join(broadcast_if_small(copies.withColumn("copy", F.lit(True)).transform(stage, "copies")), ["doc_id", "key"], "left").join(runs, ["doc_id", "key"], "left")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
