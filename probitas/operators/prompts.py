@@ -19,9 +19,13 @@ def template_table(spark: SparkSession, prompts: dict[tuple[str, str, str], str]
     return spark.createDataFrame([(*k, v) for k, v in prompts.items()], "phrasing string, task string, fmt string, template string")
 
 
-def applies(dataset: Column, control: Column, datasets: Column) -> Column:
-    """A task without datasets applies to all; controls only to tasks that name them."""
-    return (F.size(datasets) == 0) | F.when(control, F.array_contains(datasets, C.NEGATIVE_CONTROLS)).otherwise(F.array_contains(datasets, dataset))
+#: The key of tasks that name no dataset: they apply to every image.
+ANY = "*"
+
+
+def audience(dataset: Column, control: Column) -> Column:
+    """The keys by which an image meets tasks: its dataset, or the controls' name, and the key of all."""
+    return F.array(F.when(control, C.NEGATIVE_CONTROLS).otherwise(dataset), F.lit(ANY))
 
 
 def prompt_label(task: Column) -> Column:
@@ -50,14 +54,16 @@ def render(manifest: DataFrame, tasks: DataFrame, templates: DataFrame, system_p
     """One row per image, applicable task, phrasing and format, for the phrasings and formats asked for.
 
     The task and template tables come from configuration files and have some dozens of rows: they are joined to
-    each other first and broadcast; images meet them with the condition that tells which tasks apply.
+    each other first, listed by dataset and broadcast; images meet them by an equal key.
     Multiple choice needs an answer space; its options come in an order hashed from the item.
     """
     phrasings, formats = phrasings or C.PHRASINGS, [f.lower() for f in formats or ["mc", "oe"]]
     grid = templates.filter(F.col("phrasing").isin(phrasings) & F.col("fmt").isin(formats)).join(tasks, "task")
     grid = grid.filter((F.col("fmt") == "oe") | (F.size("answer_space") > 0))
     images = manifest.withColumn("_control", F.coalesce(F.col("is_negative_control").cast("int") != 0, F.lit(False)))
-    rows = images.join(F.broadcast(grid), applies(F.col("dataset"), F.col("_control"), F.col("applies_to")))
+    listed = F.when(F.size("applies_to") > 0, F.array_distinct("applies_to")).otherwise(F.array(F.lit(ANY)))
+    grid = grid.withColumn("_key", F.explode(listed))
+    rows = images.withColumn("_key", F.explode(audience(F.col("dataset"), F.col("_control")))).join(F.broadcast(grid), "_key")
     mc, none = F.col("fmt") == "mc", F.array()
     shuffled, order = hashed_shuffle(F.col("answer_space"), item_seed(F.col("image_id"), F.col("task"), F.col("phrasing")))
     rows = rows.withColumns({"mc_options": F.when(mc, shuffled).otherwise(none.cast("array<string>")), "mc_option_order": F.when(mc, order).otherwise(none.cast("array<int>"))})

@@ -18,11 +18,11 @@ def random_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> Dat
 
 def stratified_sample(df: DataFrame, n: int, strata: list[str], keys: list[str], seed: int = 42) -> DataFrame:
     """An equal number of rows of each stratum, one at least, and ``n`` in all at most."""
-    strata_count = df.select(*strata).distinct().agg(F.count("*").alias("_strata"))
+    strata_count = df.select(*strata).distinct().agg(F.count("*")).scalar()
     order = hash_order(seed, *[F.col(k).cast("string") for k in keys])
     ranked = df.withColumn("_o", order).withColumn("_n", F.row_number().over(Window.partitionBy(*strata).orderBy("_o", *keys))).filter(F.col("_n") <= n)
-    picked = ranked.join(F.broadcast(strata_count)).filter(F.col("_n") <= F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_strata"))))
-    return picked.orderBy("_n", "_o").limit(n).drop("_o", "_n", "_strata")
+    picked = ranked.filter(F.col("_n") <= F.greatest(F.lit(1), F.floor(F.lit(n) / strata_count)))
+    return picked.orderBy("_n", "_o").limit(n).drop("_o", "_n")
 
 
 def audit_sheet(sample: DataFrame, columns: list[str], blanks: list[str] | None = None) -> DataFrame:
@@ -51,8 +51,8 @@ def failure_gallery(graded: DataFrame, n: int = 6, seed: int = 42) -> DataFrame:
     """Confidently wrong open answers; wrong ones where there are none; some of each task, ``n`` in all."""
     open_ = graded.filter((F.col("format") == "OE") & F.col("response").isNotNull())
     sure = open_.filter("confidently_wrong")
-    any_sure = sure.agg((F.count("*") > 0).alias("_any"))
-    pool = open_.join(F.broadcast(any_sure)).filter(F.when(F.col("_any"), F.col("confidently_wrong")).otherwise(~F.col("correct"))).drop("_any")
+    any_sure = sure.agg(F.count("*") > 0).scalar()
+    pool = open_.filter(F.when(any_sure, F.col("confidently_wrong")).otherwise(~F.col("correct")))
     return stratified_sample(pool, n, ["task"], ["model", "prompt_id"], seed)
 
 
