@@ -51,7 +51,7 @@ def features(text: str) -> np.ndarray:
     return out / (np.linalg.norm(out) or 1)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 100) -> tuple[np.ndarray, float]:
     """A linear SVM of squared hinge loss by accelerated gradient steps; y is +1 or -1, classes weigh alike."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     x = np.hstack([x, np.ones((len(x), 1))])
