@@ -37,3 +37,13 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components have not settled")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def extend_components(component: DataFrame, links: DataFrame) -> DataFrame:
+    """Staged components after new ``links`` (a, b): only the components that they join are worked on."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(component, "node", "left_anti")
+    known = stage(component.unionByName(ends.withColumn("component", F.col("node"))), "known")
+    label = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    between = links.join(label("a"), "a").join(label("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    merged = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return stage(known.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "components")

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stage
-from .components import connected_components
+from .common import broadcast_if_small, buckets, stage
+from .components import connected_components, extend_components
 from .hashing import U, mix, window_hashes, word_hashes
 from .shared import shared_hashes
 
 #: Extra segments: a document with at most so many empty ones needs no signature for them.
-SPARE = 2
+SPARE = 4
 #: For the allocation's cost: the chance that two documents of a band share a given shingle.
 ALIKE = 0.25
 
@@ -29,6 +30,10 @@ def shingles(data: bytes, k: int) -> np.ndarray:
     return np.unique(window_hashes(words, k))
 
 
+def set_name(h: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def bands(most: int, share: int) -> list[int]:
     """First sizes of the bands; a set and any larger one alike lie in the same band or in neighbours."""
     first = [1]
@@ -59,9 +64,13 @@ def allocate(top: int, share: int, docs: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def signatures(h: np.ndarray, band: int, exact: int, deletion: int) -> np.ndarray:
-    """The set's signatures in one band's scheme: a hash tells each shingle's segment; deletion segments come
-    first and give the whole segment's hash and those without one of its shingles."""
+def signatures(h: np.ndarray, band: int, exact: int, deletion: int) -> tuple[np.ndarray, int]:
+    """The set's signatures in one band's scheme, and how many of them any set alike has too, at least.
+
+    A hash tells each shingle's segment; deletion segments come first and give the whole segment's hash and those
+    without one of its shingles. Segments that agree make up 1 + SPARE of the scheme's count at least, where a
+    deletion segment counts two; empty ones, which send nothing, may be among them.
+    """
     segments = exact + deletion
     seg = (mix(h ^ U((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(33)).astype(np.int64) % segments
     value = mix(h + U(0x7F4A7C15))
@@ -77,7 +86,28 @@ def signatures(h: np.ndarray, band: int, exact: int, deletion: int) -> np.ndarra
         if empty_counts <= SPARE:
             cut &= size[seg] > 1
         out.append(mix((total[seg[cut]] - value[cut]) ^ name[seg[cut]]))
-    return np.concatenate(out)
+    need = max(1, 1 + SPARE - int(empty_counts)) if empty_counts <= SPARE else 1
+    return np.concatenate(out), -(-need // 2) if deletion else need
+
+
+def histogram(h: np.ndarray) -> bytes:
+    """The set's size in four bytes, and counts of its hashes in a quarter as many cells as it has members, up to a
+    power of two; 255 stands for more."""
+    cells = 1 << max(6, (len(h) - 1).bit_length() - 2)
+    return len(h).to_bytes(4, "little") + np.minimum(np.bincount((h & U(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of how many members two sets do not share, from their histograms."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] + x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] + y[len(y) // 2 :]
+    if max(x.max(initial=0), y.max(initial=0)) >= 255:
+        return 0
+    return int(np.abs(x - y).sum())
 
 
 def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -93,13 +123,15 @@ def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame,
             for text in b.column(2).to_pylist():
                 h = shingles((text or "").encode(), k)
                 sizes.append(len(h))
-                names.append(int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None)
+                names.append(set_name(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "key", "n_shingles", "set_id"])
 
     sets = stage(docs.select("doc_id", "key", "text").mapInArrow(digest, "doc_id long, key long, n_shingles long, set_id long"), "sets")
     named = sets.filter(F.col("set_id").isNotNull())
-    # One row of text stands for each set: the one of the smallest (key, doc_id).
-    stands = stage(named.groupBy("set_id").agg(F.min(F.struct("key", "doc_id")).alias("_s"), F.first("n_shingles").alias("n")).select("set_id", "n", "_s.key", "_s.doc_id"), "stands")
+    # One text stands for each set, that of the smallest (key, doc_id); the others are known by a list.
+    stands = named.groupBy("set_id").agg(F.min(F.struct("key", "doc_id")).alias("_s"), F.first("n_shingles").alias("n"))
+    stands = stage(stands.select("set_id", "n", F.col("_s.key").alias("_k"), F.col("_s.doc_id").alias("_d")), "stands")
+    others = stage(named.join(stands, "set_id").filter(~(F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "others")
     first = bands(int(stands.agg(F.max("n")).first()[0] or 0), share)
     edges = np.array(first)
     # One count per band: a few dozen.
@@ -107,84 +139,197 @@ def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame,
     count = dict(stands.groupBy(band_of.alias("b")).agg(F.count("*")).collect())
     scheme = [allocate(first[b + 1] - 1, share, count.get(b, 0)) for b in range(len(first) - 1)]
 
-    def sigs_of(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    def sigs_of(h: np.ndarray) -> list[tuple[int, tuple[np.ndarray, int]]]:
         """By band: the set's own, where it may be the smaller one, and the one below, where it is the larger."""
         b = int(np.searchsorted(edges, len(h), "right")) - 1
         return [(x, signatures(h, x, *scheme[x])) for x in (b, b - 1) if x >= 0 and (first[x + 1] - 1) * (100 - share) // share > 0]
 
     def all_sigs(data: bytes) -> np.ndarray:
         h = shingles(data, k)
-        return np.concatenate([np.empty(0, np.uint64), *(s for _, s in sigs_of(h))])
+        return np.concatenate([np.empty(0, np.uint64), *(s for _, (s, _) in sigs_of(h))])
 
-    chosen = stage(stands.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "set_id"), "chosen")
-    body = docs.join(broadcast_if_small(chosen), F.expr("doc_id <=> _d AND key = _k")).select("set_id", "text")
-    sharing = shared_hashes(body.select(F.col("set_id").alias("doc_id"), F.lit(0).cast("long").alias("key"), "text"), all_sigs)
-    near = body.join(broadcast_if_small(sharing.select(F.col("doc_id").alias("set_id"), "shared").transform(stage, "near")), "set_id")
+    single = docs.join(broadcast_if_small(others), F.expr("doc_id <=> _d AND key = _k"), "left_anti").filter(F.length("text") > 0)
+    single = single.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "key", "text")
+    sharing = shared_hashes(single, all_sigs)
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, sig, own = [], [], [], []
-            for set_id, text, shared in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("set_id", "text", "shared")), strict=True):
+            ids, sizes, bodies, cells, sigs, below = [], [], [], [], [], []
+            for text, shared in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "shared")), strict=True):
                 h = shingles(text.encode(), k)
                 known = np.frombuffer(b"".join(shared), np.uint32)
-                for n, (_, s) in enumerate(sigs_of(h)):
+                found: list[list[int]] = [[], []]
+                for band, (s, need) in sigs_of(h):
                     s = s[np.isin((s & U(0xFFFFFFFF)).astype(np.uint32), known)]
-                    sig += s.view(np.int64).tolist()
-                    ids += [set_id] * len(s)
-                    sizes += [len(h)] * len(s)
-                    own += [n == 0] * len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(own, pa.bool_())], ["sig", "set_id", "n", "own"])
+                    if len(s) >= need:  # with fewer that any other set has, no set is alike
+                        found[band != int(np.searchsorted(edges, len(h), "right")) - 1] = s.view(np.int64).tolist()
+                if not any(found):
+                    continue
+                for column, x in zip((ids, sizes, bodies, cells, sigs, below), (set_name(h), len(h), h.tobytes(), histogram(h), *found), strict=True):
+                    column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, sizes, bodies, cells, sigs, below), kinds, strict=True)], ["set_id", "n", "body", "histogram", "own", "below"])
+
+    # joined by a shuffle at any size: both sides grow with the corpus
+    content = stage(single.join(sharing, ["doc_id", "key"]).mapInArrow(describe, "set_id long, n long, body binary, histogram binary, own array<long>, below array<long>"), "content")
+    part = lambda c: content.select(F.explode(c).alias("sig"), "set_id", "n", F.lit(c == "own").alias("own"))
+    rows = stage(part("own").unionByName(part("below")).distinct(), "signatures")
+    often = stage(content.groupBy("set_id").agg(F.count("*").alias("c")).filter("c > 1").select("set_id"), "often")
+    if not often.isEmpty():  # the very same row more than once
+        content = stage(content.drop("own", "below").distinct(), "content")
+    return sets, rows, content
+
+
+#: Pairs of one block of the verification.
+BLOCK_PAIRS = 20_000
+
+
+def by_blocks(pairs: DataFrame, content: DataFrame, column: str, alike: Callable[[bytes, bytes], bool], name: str) -> DataFrame:
+    """Those of the staged ``pairs`` for whose ends ``alike(a's column, b's column)`` holds.
+
+    Pairs are dealt to the cells of a square grid by the hashes of both ends, and a set's content goes once to
+    each cell where it has a pair, not once with each pair; a set of very many pairs is spread over a row.
+    """
+    count = pairs.count()
+    side = max(1, math.isqrt(max(buckets(content.sparkSession, 16), count // BLOCK_PAIRS)))
+    cell = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(side))
+    dealt = pairs.select((cell("a", 1) * side + cell("b", 2)).alias("block"), "a", "b")
+    ends = dealt.select(F.col("block").alias("cell"), F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    needed = ends.join(content.select("set_id", column), "set_id").select("cell", "set_id", column)
 
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.encode(), k).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["set_id", "body"])
+    def test(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(right.column("set_id").to_pylist(), right.column(column).to_pylist(), strict=True))
+        mask = pa.array([alike(held[x], held[y]) for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)], pa.bool_())
+        return left.select(["a", "b"]).filter(mask)
 
-    rows = stage(near.mapInArrow(expand, "sig long, set_id long, n int, own boolean").distinct(), "signatures")
-    content = near.select("set_id", "text").mapInArrow(bodies, "set_id long, body binary")
-    return sets, rows, stage(content.groupBy("set_id").agg(F.first("body").alias("body")), "content")
+    return stage(dealt.groupBy("block").cogroup(needed.groupBy("cell")).applyInArrow(test, "a long, b long"), name)
 
 
 def verify(pairs: DataFrame, content: DataFrame, share: int) -> DataFrame:
-    """Those of the staged ``pairs`` (a, b) whose sets are alike, exactly: merged by content."""
-    left = content.select(F.col("set_id").alias("a"), F.col("body").alias("body_a"))
-    right = content.select(F.col("set_id").alias("b"), F.col("body").alias("body_b"))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= share * (len(p) + len(q) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b")
-    return stage(joined.mapInArrow(alike, "a long, b long"), "alike")
-
-
-def candidates(rows: DataFrame, component: DataFrame | None, tested: DataFrame | None, share: int) -> DataFrame:
-    """Staged (a, b, n): pairs to test, n the signatures they have in common.
-
-    With no components yet: each member of a signature with the smallest set of the band's own (a star, so a
-    group of m gives m pairs). Later: all pairs of members whose components still differ, without those tested.
+    """Those of the staged ``pairs`` (a, b) whose sets are alike, exactly.
+
+    Histograms of some thirtieth of the sets' size are held together first: their distance is never above the sets'
+    difference, so what they refuse is not alike. Only for what they let pass the sets are brought together.
+    """
+
+    def may_be(x: bytes, y: bytes) -> bool:
+        return (100 + share) * least_difference(x[4:], y[4:]) <= (100 - share) * (int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little"))
+
+    return by_sets(by_blocks(pairs, content, "histogram", may_be, "passed"), content, share)
+
+
+def by_sets(pairs: DataFrame, content: DataFrame, share: int) -> DataFrame:
+    """The exact test."""
+
+    def alike(x: bytes, y: bytes) -> bool:
+        both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= share * (len(both) - common)
+
+    return by_blocks(pairs, content, "body", alike, "alike")
+
+
+def _fits(share: int):
+    return (100 * F.least("n", "m") >= share * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def likeliest(rows: DataFrame, share: int) -> DataFrame:
+    """One pair for each set: with the one that leads most of its signatures (the smallest of the band's own)."""
+    lead = rows.filter("own").groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("lead")).select("sig", F.col("lead.set_id").alias("b"), F.col("lead.n").alias("m"))
+    met = rows.withColumnRenamed("set_id", "a").join(lead, "sig").filter(_fits(share))
+    # the leaders of one set: as many as it has signatures at most
+    return stage(_pairs(met.groupBy("a").agg(F.mode("b", True).alias("b"))), "likeliest")
+
+
+def open_signatures(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of signatures whose sets are not all in one component yet, with their component."""
+    labelled = rows.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    ends = labelled.groupBy("sig").agg(*[f(F.struct("component", "set_id", "n", "own")).alias(k) for k, f in (("low", F.min), ("high", F.max))])
+    ends = ends.filter(F.col("low.component") < F.col("high.component"))
+    return stage(labelled.join(ends, "sig"), "open")
+
+
+def across(open_: DataFrame, share: int, step: int) -> DataFrame:
+    """For each open row one pair: with an end of its signature's components that is not its own."""
+    first, other = ("low", "high") if step % 2 == 0 else ("high", "low")
+    end = F.when(F.col("component") != F.col(f"{first}.component"), F.col(first)).otherwise(F.col(other))
+    met = open_.withColumn("end", end).select(F.col("set_id").alias("a"), F.col("end.set_id").alias("b"), "n", F.col("end.n").alias("m"), (F.col("own") | F.col("end.own")).alias("ok"), F.col("component") != F.col("end.component"))
+    return _pairs(met.filter(_fits(share) & F.col("ok")))
+
+
+#: Open rows of one task of the last search; a larger block is searched by several tasks, each for some sets.
+SEARCH_ROWS = 100_000
+
+
+def search(open_: DataFrame, content: DataFrame, share: int) -> DataFrame:
+    """Staged (a, b): all pairs of open rows of different components whose histograms allow them to be alike.
+
+    Signatures are gathered in blocks by the smallest component they hold, so a set and its histogram go to few
+    blocks. In a block each set outside the largest component is held against all members of its signatures at
+    once; pairs that fail are never rows of a table.
     """
-    fits = (100 * F.least("n", "m") >= share * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
-    if component is None:
-        lead = rows.filter("own").groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("lead")).select("sig", F.col("lead.set_id").alias("b"), F.col("lead.n").alias("m"))
-        pairs = rows.withColumnRenamed("set_id", "a").join(lead, "sig").filter(fits)
-    else:
-        labelled = rows.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        mixed = labelled.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("sig")
-        open_ = stage(labelled.join(mixed, "sig", "left_semi"), "open")
-        other = open_.select("sig", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("_other"), F.col("own").alias("_own"))
-        pairs = open_.withColumnRenamed("set_id", "a").join(other, "sig").filter(fits & (F.col("component") != F.col("_other")) & (F.col("own") | F.col("_own")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    return stage(pairs, "candidates")
+    rows = open_.select(F.col("low.component").alias("block"), "sig", "set_id", "component")
+    parts = rows.groupBy("block").agg(F.ceil(F.count("*") / SEARCH_ROWS).cast("int").alias("parts"))
+    rows = rows.join(parts, "block")
+    spread = rows.select("block", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sig", "set_id", "component")
+    ends = rows.select("block", "parts", "set_id").distinct().select(F.col("block").alias("at"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of"), F.col("set_id").alias("member"))
+    needed = ends.join(content.select(F.col("set_id").alias("member"), "histogram"), "member").select("at", "of", "member", "histogram")
+
+    def test(left: pa.Table, right: pa.Table) -> pa.Table:
+        part, parts = left.column("part")[0].as_py(), left.column("parts")[0].as_py()
+        sig, ids, component = (left.column(c).to_numpy() for c in ("sig", "set_id", "component"))
+        names, who = np.unique(ids, return_inverse=True)
+        label = np.zeros(len(names), np.int64)
+        label[who] = component
+        kinds, count = np.unique(label, return_counts=True)
+        order = np.argsort(sig, kind="stable")
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(sig[order])) + 1, [len(sig)]])
+        group = np.zeros(len(sig), np.int64)
+        group[order] = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        by_set = np.argsort(who, kind="stable")
+        own = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(names)))])
+        held = dict(zip(right.column("member").to_pylist(), right.column("histogram").to_pylist(), strict=True))
+        size = np.array([int.from_bytes(held[i][:4], "little") for i in names.tolist()])
+        cells = np.array([len(held[i]) - 4 for i in names.tolist()])
+        tables, place = {}, np.zeros(len(names), np.int64)
+        for c in np.unique(cells).tolist():
+            at = np.flatnonzero(cells == c)
+            place[at] = np.arange(len(at))
+            tables[c] = np.frombuffer(b"".join(held[i][4:] for i in names[at].tolist()), np.uint8).reshape(len(at), c)
+        found: tuple[list[int], list[int]] = ([], [])
+        for x in np.flatnonzero(label != kinds[count.argmax()]).tolist():
+            if x % parts != part:
+                continue
+            met = np.zeros(len(names), bool)
+            for g in group[by_set[own[x] : own[x + 1]]].tolist():
+                met[who[order[edge[g] : edge[g + 1]]]] = True
+            met &= (label != label[x]) & (100 * np.minimum(size, size[x]) >= share * np.maximum(size, size[x]))
+            for c, table in tables.items():
+                y = np.flatnonzero(met & (cells == c))
+                mine, theirs = tables[int(cells[x])][place[x]].astype(np.int16), table[place[y]].astype(np.int16)
+                capped = (mine >= 255).any() | (theirs >= 255).any(1)
+                while len(mine) > theirs.shape[1]:
+                    mine = mine[: len(mine) // 2] + mine[len(mine) // 2 :]
+                while theirs.shape[1] > len(mine):
+                    half = theirs.shape[1] // 2
+                    theirs = theirs[:, :half] + theirs[:, half:]
+                apart = np.abs(theirs - mine).sum(1, dtype=np.int64)
+                good = y[((100 + share) * apart <= (100 - share) * (size[x] + size[y])) | capped]
+                found[0].extend(np.minimum(names[good], names[x]).tolist())
+                found[1].extend(np.maximum(names[good], names[x]).tolist())
+        return pa.table([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+
+    pairs = spread.groupBy("block", "part").cogroup(needed.groupBy("at", "of")).applyInArrow(test, "a long, b long")
+    return stage(pairs.distinct(), "search")
+
+
+#: Rounds of one pair for each open row before what is still open is searched.
+ROUNDS = 1
 
 
 def find_components(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
@@ -192,33 +337,27 @@ def find_components(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
 
     Documents link when the Jaccard similarity of their sets of k-word shingles (A-Z lower-cased) is at least
     ``share`` percent; component_id is the smallest doc_id reachable. Equal sets are one node. Signatures tell
-    candidates; each is verified exactly, in three steps that never make all pairs of a group alike: every set
-    with its likeliest partner, then the stars of the groups, then pairs between components that still share
-    a signature. Texts without words (null ones too) have an empty set and stay alone; null doc_ids can link
+    candidates; each is verified exactly: every set with its likeliest partner first, then, in rounds, each set
+    with one of another component that still shares a signature, at last all pairs between components that do.
+    So a group alike, which is one component by then, is never made into all its pairs. Texts without words (null ones too) have an empty set and stay alone; null doc_ids can link
     others and get the smallest id they reach (null where none); repeated rows get the same row each. Empty
     tables give an empty result.
     """
     sets, rows, content = link_sets(docs, k, share)
-    stars = candidates(rows, None, None, share)
-    # the likeliest partner of each set first: most pairs of a group need no test after that
-    best = stars.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "n"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "n"))).alias("p")).select("p.*")
-    best = best.groupBy("x").agg(F.max(F.struct("n", "y")).alias("p")).select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
-    tested = stage(best, "likeliest")
-    links = verify(tested, content, share)
-    component = stage(connected_components(links), "components")
-    for step in ("stars", "between"):
-        if step == "stars":
-            label = lambda c, name: component.select(F.col("node").alias(c), F.col("component").alias(name))  # noqa: B023, E731
-            rest = stars.join(label("a", "_x"), "a", "left").join(label("b", "_y"), "b", "left").filter(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b").join(tested, ["a", "b"], "left_anti")
-            pairs = stage(rest, "stars")
+    tested = likeliest(rows, share)
+    component = stage(connected_components(verify(tested, content, share)), "components")
+    for step in range(ROUNDS + 1):
+        open_ = open_signatures(rows, component)
+        if open_.isEmpty():
+            break
+        rows = open_.select(*rows.columns)  # signatures once closed stay closed
+        if step < ROUNDS:
+            new = verify(stage(across(open_, share, step).join(tested, ["a", "b"], "left_anti"), "pairs"), content, share)
         else:
-            pairs = candidates(rows, component, tested, share).select("a", "b")
-        if pairs.isEmpty():
+            new = by_sets(search(open_, content, share), content, share)
+        if new.isEmpty():
             continue
-        pairs = stage(pairs, "pairs")
-        links = stage(links.unionByName(verify(pairs, content, share)), "links")
-        tested = stage(tested.unionByName(pairs), "tested")
-        component = stage(connected_components(links), "components")
+        component = extend_components(component, new)
     joined = sets.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("_c", F.coalesce("component", "set_id"))
     smallest = joined.filter(F.col("_c").isNotNull()).groupBy("_c").agg(F.min("doc_id").alias("_least"))
     return joined.join(smallest, "_c", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"), "key")

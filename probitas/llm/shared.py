@@ -24,7 +24,7 @@ TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
 #: kinds of rows: hashes on their way to a bucket; a document's shared hashes; the documents of a batch
 SENT, FOUND, DOCS = 0, 1, 2
 #: A batch sends its blobs when so many hashes have come together.
-BATCH_HASHES = 700_000
+BATCH_HASHES = 400_000
 #: The owner of a hash that several documents of a batch have; a batch has fewer documents.
 MANY = np.uint16(0xFFFF)
 
