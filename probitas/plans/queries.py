@@ -169,12 +169,12 @@ def abstention_appropriateness(spark, sf_dir):
 
 @query(
     f"""{oracle.BASE} select a.*, balanced_acc, macro_f1, ece, n_conf from
-    (select {MTF}, {oracle.share('correct', oracle.SCORED)} as accuracy, {oracle.count(oracle.SCORED)} as n, round(avg(case when {oracle.SCORED} then pow(conf_frac - correct::int::double, 2) end), 6) as brier, {OVER},
+    (select {MTF}, {oracle.share('correct', oracle.SCORED)} as accuracy, {oracle.count(oracle.SCORED)} as n, round(avg(case when {oracle.SCORED} then pow(conf_frac - correct::int::double, 2) end), 10) as brier, {OVER},
       {oracle.share('hallucination', HALL)} as hallucination_rate, {oracle.count(HALL)} as n_oe, {oracle.share('abstained', oracle.ABST)} as abstention_appropriateness, {oracle.count(oracle.ABST)} as n_should_abstain from graded group by {MTF}) a
     left join (select * exclude (n) from ({oracle.agreement('graded', MTF)})) using ({MTF}) left join ({oracle.ece('graded', MTF)}) using ({MTF})"""
 )
 def main_accuracy(spark, sf_dir):
-    return reports.main_accuracy(graded(spark, sf_dir)).withColumn("brier", F.round("brier", 6))
+    return reports.main_accuracy(graded(spark, sf_dir)).withColumn("brier", F.round("brier", 10))
 
 
 @query(f"{oracle.BASE} select e.*, brier, overconfidence_index, confidently_wrong_rate, n_answered from ({oracle.ece('graded', 'model')}) e join (select model, avg(case when {oracle.SCORED} then pow(conf_frac - correct::int::double, 2) end) as brier, {OVER} from graded group by model) using (model)")
