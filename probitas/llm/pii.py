@@ -82,21 +82,26 @@ DIGITS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 _DIGIT = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-_UNIT = rf"(?:{_DIGIT}|[0-9]|plus)"
-#: Runs of nine or more spelled digits, single digits and "plus" may form a number; some must be spelled.
-SPELLED = re.compile(rf"(?i)(?<!\w){_UNIT}(?:[ \t,./-]{{1,2}}{_UNIT}){{8,}}(?!\w)")
-SPELLED_SIGN = re.compile(rf"(?i)(?<!\w){_DIGIT}(?:[ \t,./-]{{1,2}}{_UNIT}){{2}}|(?<!\w)plus[ \t]")
+_DOT = "(?:dot|punkt|point|punto)"
+_UNIT = rf"(?:{_DIGIT}|[0-9]++|plus)"
+_BETWEEN = rf"(?:[ \t]{{1,3}}{_DOT}[ \t]{{1,3}}|[ \t,./()-]{{1,3}})"
+#: Runs of spelled digits, groups of digits, "plus" and dots may form a number; the detectors' checks decide.
+SPELLED = re.compile(rf"(?i)(?<!\w){_UNIT}(?:{_BETWEEN}{_UNIT})+(?!\w)")
+SPELLED_SIGN = re.compile(rf"(?i)(?<!\w){_DIGIT}{_BETWEEN}{_UNIT}(?!\w)|[0-9]{_BETWEEN}{_DIGIT}(?!\w)|(?<!\w)plus[ \t]")
 _UNIT_TOKEN = re.compile(r"(?i)[^\W_]+")
-#: A bracketed at or dot always stands for the sign; bare words only inside "name at host dot name".
+#: A bracketed at or dot always stands for the sign; bare words only inside "name at host dot name" and "name at host.name".
 BRACKETED = re.compile(r"(?i)[ \t]{0,3}[\[({<][ \t]{0,3}(?:(at|@|arroba|arobase|chez)|(dot|\.|punkt|point|punto))[ \t]{0,3}[\])}>][ \t]{0,3}")
 BARE = re.compile(
-    r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{1,64}(?P<at>[ \t]{1,3}(?:at|arroba|arobase)[ \t]{1,3}|[ \t]{0,3}@[ \t]{0,3})(?P<host>[a-z0-9-]{1,63})"
+    r"(?i)(?<![\w.%+-])(?P<name>[a-z0-9._%+-]{1,64}(?:[ \t]{1,3}(?:dot|punkt|point|punto)[ \t]{1,3}[a-z0-9._%+-]{1,64}){0,3}?)(?P<at>[ \t]{1,3}(?:at|arroba|arobase)[ \t]{1,3}|[ \t]{0,3}@[ \t]{0,3})(?P<host>[a-z0-9-]{1,63})"
     r"(?P<dots>(?:(?:[ \t]{1,3}(?:dot|punkt|point|punto)[ \t]{1,3}|\.)[a-z0-9-]{2,63}){1,6})(?![\w-])"
 )
 #: Words that follow "at" in prose and are no host.
 NO_HOST = {"the", "a", "an", "this", "that", "these", "those", "my", "your", "his", "her", "its", "our", "their"}
+#: Words before "at" in prose that are no name where the host is written plainly.
+NO_NAME = {"look", "looks", "looked", "looking", "available", "hosted", "found", "published", "posted", "sold", "visit", "see", "us", "me", "them", "is", "was", "are", "were", "be", "been", "online", "more", "live", "and", "or", "work", "works", "worked", "working"}
+DOT_NAME = re.compile(rf"(?i){_DOT}")
 DOT_WORD = re.compile(r"(?i)[ \t]{1,3}(?:dot|punkt|point|punto)[ \t]{1,3}")
-AT_SIGN = re.compile(r"(?i)[\[({<][ \t]{0,3}(?:at|@|\.|dot|arroba|arobase|chez|punkt|point|punto)[ \t]{0,3}[\])}>]|[ \t](?:dot|punkt|point|punto)[ \t]|[ \t]@|@[ \t]")
+AT_SIGN = re.compile(r"(?i)[\[({<][ \t]{0,3}(?:at|@|\.|dot|arroba|arobase|chez|punkt|point|punto)[ \t]{0,3}[\])}>]|[ \t](?:dot|punkt|point|punto)[ \t]|[ \t]@|@[ \t]|[ \t](?:at|arroba|arobase)[ \t]{1,3}[a-z0-9-]{1,63}\.[a-z0-9]")
 
 
 class Tape:
@@ -123,59 +128,91 @@ class Tape:
         return (start, end) if self.map is None else (self.map[start][0], self.map[end - 1][1])
 
 
-def spelled_edits(text: str) -> list[tuple[int, int, str]]:
+def is_ip(text: str) -> bool:
+    return any(kind == "ip" for *_, kind in detect(text))
+
+
+def spelled_edits(text: str, dotted: bool = False) -> list[tuple[int, int, str]]:
+    """Digits for spelled ones, with nothing between units; two groups of digits keep what stands between them.
+    ``dotted`` reads dots as such and takes only the runs that hold an address then."""
     edits = []
     for m in SPELLED.finditer(text):
-        units = list(_UNIT_TOKEN.finditer(text, m.start(), m.end()))
-        spelled = [u for u in units if u[0].lower() in DIGITS]
-        if len(spelled) < 3:
+        units, dots = [], set()
+        for u in _UNIT_TOKEN.finditer(text, m.start(), m.end()):
+            if DOT_NAME.fullmatch(u[0]):
+                dots.add(len(units))  # before the next unit
+            else:
+                units.append(u)
+        words = [u[0].lower() for u in units]
+        digits = ["+" if w == "plus" else str(DIGITS.get(w, w)) for w in words]
+        spelled = sum(w in DIGITS for w in words)
+        # one such word beside digits is mostly an article ("un", "one")
+        if (not (spelled or dots)) if dotted else (spelled < 2 or sum(map(len, digits)) < 9):
             continue
+        run, past = [], ""
         for k, u in enumerate(units):
-            word = u[0].lower()
-            new = "+" if word == "plus" else str(DIGITS.get(word, word))
-            # what stands between two units goes with the first, so that digits meet
             end = units[k + 1].start() if k + 1 < len(units) else u.end()
-            edits.append((u.start(), end, new))
+            between, after = text[u.end() : end], k + 1 < len(units)
+            if dotted and after and (k + 1 in dots or "." in between):
+                new = "."
+            elif after and words[k].isdecimal() and words[k + 1].isdecimal() and len(words[k] + words[k + 1]) > 2 and k + 1 not in dots:
+                new = between
+            else:
+                new = ""
+            # what stands between two units goes with the first, so that digits meet
+            run.append((u.start(), end if new != between else u.end(), digits[k] + (new if new != between else "")))
+            past += digits[k] + new
+        if not dotted or is_ip(past):
+            edits += run
     return edits
 
 
-def disguise_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = [(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(text)]
-    taken = {i for a, b, _ in edits for i in range(a, b)}
+def bare_edits(text: str) -> list[tuple[int, int, str]]:
+    edits = []
     for m in BARE.finditer(text):
         if m["host"].lower() in NO_HOST:
             continue
-        signs = [(*m.span("at"), "@"), *((d.start(), d.end(), ".") for d in DOT_WORD.finditer(text, *m.span("dots")))]
-        if signs[0][1] - signs[0][0] > 1 and ("@" in m["at"] or len(signs) > 1) or len(signs) > 1:
-            edits += [s for s in signs if not taken & set(range(s[0], s[1]))]
-    return sorted(edits)
+        signs = [*((d.start(), d.end(), ".") for d in DOT_WORD.finditer(text, *m.span("name"))), (*m.span("at"), "@"), *((d.start(), d.end(), ".") for d in DOT_WORD.finditer(text, *m.span("dots")))]
+        plain = len(signs) == 1 and "@" not in m["at"]
+        if plain and (m["name"].lower() in NO_NAME or not m["dots"].rpartition(".")[2].isalpha()):
+            continue
+        if m["at"] != "@" or len(signs) > 1:
+            edits += signs
+    return edits
 
 
-def normalise(text: str) -> Tape | None:
-    """The text without disguises, or None where none is seen."""
+def normalise(text: str) -> list[Tape]:
+    """Readings of the text without disguises, none where none is seen: one that joins the digits of runs, and one
+    that keeps their dots where that gives an address."""
     seen = not text.isascii() and (HAS_LOOKALIKE.search(text) or UNSEEN.search(text))
+    plain = text.translate(LOOKALIKES) if seen else text  # one for one: offsets stay
     if not (seen or AT_SIGN.search(text) or SPELLED_SIGN.search(text)):
-        return None
-    tape = Tape(text)
-    if seen:
-        tape.text = text.translate(LOOKALIKES)  # one for one: offsets stay
-        tape.rewrite([(m.start(), m.end(), "") for m in UNSEEN.finditer(tape.text)])
-    tape.rewrite(spelled_edits(tape.text))
-    tape.rewrite(disguise_edits(tape.text))
-    return None if tape.map is None and tape.text == text else tape
+        return []
+
+    def read(dotted: bool) -> Tape:
+        tape = Tape(plain)
+        if seen:
+            tape.rewrite([(m.start(), m.end(), "") for m in UNSEEN.finditer(tape.text)])
+        tape.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(tape.text)])
+        numbers = spelled_edits(tape.text, dotted)
+        if dotted and not numbers:
+            return Tape(text)
+        tape.rewrite(numbers)
+        tape.rewrite(bare_edits(tape.text))
+        return tape
+
+    return [tape for tape in (read(False), read(True)) if tape.map is not None or tape.text != text]
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans and all spans: a disguised one joins unless it lies within a base span of its kind."""
     base = detect(text)
-    tape = normalise(text)
-    if tape is None:
-        return base, base
     both = list(base)
-    for start, end, kind in detect(tape.text):
-        a, b = tape.source(start, end)
-        if not any(k == kind and s <= a and b <= e for s, e, k in base):
-            both.append((a, b, kind))
+    for tape in normalise(text):
+        for start, end, kind in detect(tape.text):
+            a, b = tape.source(start, end)
+            if not any(k == kind and s <= a and b <= e for s, e, k in both):
+                both.append((a, b, kind))
     return base, sorted(both, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -309,6 +309,30 @@ def test_disguised(text, kind, source):
     assert set(base) <= set(both)
 
 
+@pytest.mark.parametrize(
+    "text,kind,source",
+    [
+        ("write john (at) example dot com now", "email", "john (at) example dot com"),
+        ("write john at example [dot] com now", "email", "john at example [dot] com"),
+        ("write john at example.com now", "email", "john at example.com"),
+        ("write john dot doe at example dot com now", "email", "john dot doe at example dot com"),
+        ("host 127 dot 0 dot 0 dot 1 up", "ip", "127 dot 0 dot 0 dot 1"),
+        ("host one two seven dot zero dot zero dot one up", "ip", "one two seven dot zero dot zero dot one"),
+        ("host one two seven [dot] 0.zero dot 1 up", "ip", "one two seven [dot] 0.zero dot 1"),
+        ("ring +49 171 two three four five six seven today", "phone", "+49 171 two three four five six seven"),
+        ("card four one one one 1111 1111 1111 ok", "card", "four one one one 1111 1111 1111"),
+    ],
+)
+def test_mixed_disguises(text, kind, source):
+    at = text.index(source)
+    assert pii.find_spans(text) == ([], [(at, at + len(source), kind)])
+
+
+@pytest.mark.parametrize("text", ["look at example.com for more", "host 300 dot 0 dot 0 dot 1 up", "four one one one 1111 1111 1112", "version 1 dot 2 dot 3", "room 12 two three", "1234 5678 Un 4111 1111", "meet at noon.2 people came"])
+def test_mixed_prose_has_no_spans(text):
+    assert pii.find_spans(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at the dot com boom", "one two three four", "meet at noon. Point taken", "he was at home dot", "sieben null"])
 def test_plain_prose_has_no_spans(text):
     assert pii.find_spans(text) == ([], [])
