@@ -20,14 +20,37 @@ def graded_table(responses: DataFrame, manifest: DataFrame) -> DataFrame:
     return grade(parse_responses(responses), manifest)
 
 
+def _mean_ci(rows: DataFrame, keys: list[str], value: Column, row_key: Column, name: str) -> DataFrame:
+    """(keys, name_ci_lo, name_ci_hi) of the mean of ``value``."""
+    return bootstrap.mean_interval(rows, keys, value, row_key).drop("mean", "n").withColumnsRenamed({"ci_lo": f"{name}_ci_lo", "ci_hi": f"{name}_ci_hi"})
+
+
+def _ece_ci(graded: DataFrame, keys: list[str], row_key: Column) -> DataFrame:
+    return bootstrap.calibration_interval(graded, keys, row_key).withColumnsRenamed({"ci_lo": "ece_ci_lo", "ci_hi": "ece_ci_hi"})
+
+
+def _brier_ci(graded: DataFrame, keys: list[str], row_key: Column) -> DataFrame:
+    gap = F.col("conf_frac") - F.col("correct").cast("double")
+    return _mean_ci(graded.filter(metrics.scored() & metrics.has_confidence()), keys, gap * gap, row_key, "brier")
+
+
+def _safety_cis(graded: DataFrame, keys: list[str], row_key: Column, hallucinated: str, abstained: str) -> list[DataFrame]:
+    """Intervals of hallucination over open answers and of abstention over items to abstain on."""
+    return [_mean_ci(graded.filter(F.col("format") == "OE"), keys, F.col("hallucination"), row_key, hallucinated), _mean_ci(graded.filter(metrics.should_abstain()), keys, F.col("abstained"), row_key, abstained)]
+
+
 def main_accuracy(graded: DataFrame, intervals: bool = False, row_key: Column | None = None) -> DataFrame:
-    """The metric suite of each model, task and format."""
+    """The metric suite of each model, task and format; with ``intervals`` those of accuracy (ci_lo, ci_hi), balanced
+    accuracy, macro-F1, calibration error, Brier score, hallucination and abstention (NAME_ci_lo, NAME_ci_hi)."""
     keys = ["model", "task", "format"]
     out = metrics.suite(metrics.cells(graded, keys), keys).drop("acc_all_prompt", "coverage", "n_gradeable")
     if intervals:
         key = F.col("prompt_id") if row_key is None else row_key
         ci = bootstrap.mean_interval(graded.filter(metrics.scored()), keys, F.col("correct"), key).drop("mean", "n")
-        out = out.join(ci, keys, "left")
+        agreement = bootstrap.agreement_interval(graded, keys, key)
+        agreement = agreement.withColumnsRenamed({f"{a}_{b}": f"{name}_ci_{b}" for a, name in (("balanced", "balanced_acc"), ("f1", "macro_f1")) for b in ("lo", "hi")})
+        for more in (ci, agreement, _ece_ci(graded, keys, key), _brier_ci(graded, keys, key), *_safety_cis(graded, keys, key, "hallucination", "abstention")):
+            out = out.join(more, keys, "left")
     return out
 
 
@@ -35,15 +58,15 @@ def calibration(graded: DataFrame, intervals: bool = False) -> DataFrame:
     keys = ["model"]
     out = metrics.suite(metrics.cells(graded, keys), keys).select("model", "ece", "n_conf", "brier", "overconfidence_index", "confidently_wrong_rate", "n_answered")
     if intervals:
-        ci = bootstrap.calibration_interval(graded, keys, F.col("prompt_id")).withColumnsRenamed({"ci_lo": "ece_ci_lo", "ci_hi": "ece_ci_hi"})
-        out = out.join(ci, keys, "left")
+        for ci in (_ece_ci(graded, keys, F.col("prompt_id")), _brier_ci(graded, keys, F.col("prompt_id"))):
+            out = out.join(ci, keys, "left")
     return out
 
 
-def hallucination(graded: DataFrame) -> DataFrame:
+def hallucination(graded: DataFrame, intervals: bool = False) -> DataFrame:
     """hall_* over open answers, abs_* over items to abstain on, and wrong sure answers among all answered."""
     open_, abstain = F.col("format") == "OE", metrics.should_abstain()
-    return (
+    out = (
         metrics.keyed(graded, ["model"])
         .groupBy("model")
         .agg(
@@ -52,6 +75,10 @@ def hallucination(graded: DataFrame) -> DataFrame:
             metrics.rate(F.col("confidently_wrong"), F.col("answered")).alias("confidently_wrong_rate"), F.count("*").alias("n_total"),
         )
     )
+    if intervals:
+        for ci in _safety_cis(graded, ["model"], F.col("prompt_id"), "hall", "abs"):
+            out = out.join(ci, ["model"], "left")
+    return out
 
 
 def ablations(graded: DataFrame) -> DataFrame:
@@ -168,7 +195,7 @@ def diagnostic_tables(graded: DataFrame, manifest: DataFrame) -> dict[str, DataF
         "exam_set_table": composition(manifest).orderBy("dataset"),
         "main_accuracy": main_accuracy(graded, intervals=True).orderBy("model", "task", "format"),
         "calibration": calibration(graded, intervals=True).orderBy("model"),
-        "hallucination": hallucination(graded).orderBy("model"),
+        "hallucination": hallucination(graded, intervals=True).orderBy("model"),
         "parser_audit_sample": audit_sample(graded),
         "ablations": ablations(graded).orderBy("ablation", "model", "task"),
         "graded_all": graded,

@@ -247,6 +247,25 @@ def test_reports(spark, sf, tmp_path):
     g.unpersist()
 
 
+def test_tables_carry_all_intervals(spark, sf):
+    g = reports.graded_table(fixtures.responses(spark, sf), fixtures.manifest(spark, sf)).limit(400).persist()
+    tables = reports.diagnostic_tables(g, fixtures.manifest(spark, sf))
+    want = {
+        "main_accuracy": {"accuracy": "", "balanced_acc": "balanced_acc_", "macro_f1": "macro_f1_", "ece": "ece_", "brier": "brier_", "hallucination_rate": "hallucination_", "abstention_appropriateness": "abstention_"},
+        "calibration": {"ece": "ece_", "brier": "brier_"},
+        "hallucination": {"hall_rate": "hall_", "abs_rate": "abs_"},
+    }
+    for name, metric in want.items():
+        rows = tables[name].collect()
+        for value, prefix in metric.items():
+            assert any(r[value] is not None for r in rows), (name, value)
+            for r in rows:
+                low, high = r[f"{prefix}ci_lo"], r[f"{prefix}ci_hi"]
+                assert (r[value] is None) == (low is None) == (high is None), (name, value, r)
+                assert low is None or 0 <= low <= high <= 1, (name, value, r)
+    g.unpersist()
+
+
 def test_configuration(tmp_path):
     (tmp_path / "t.yaml").write_text('tasks:\n  Q1:\n    answer_space: ["yes", "no"]\n    applies_to_datasets: [d]\n    answer_space_aliases: {"yes": [sure]}\n')
     task = C.load_tasks(str(tmp_path / "t.yaml"))[0]
