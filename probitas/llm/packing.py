@@ -16,8 +16,6 @@ from .tokens import default_path, load
 WINDOW, END_ID = 4096, 2
 #: Documents of one index shard on average; a shard is the work and the memory of one task.
 SHARD_DOCS = 2048
-#: Terms of a seed that are looked up: those of the largest weight.
-SEED_TERMS = 24
 K1, B = 1.2, 0.75
 
 
@@ -40,18 +38,11 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order].astype(np.float32)
         self.first = np.searchsorted(term[order], np.arange(len(frequency) + 1))
-        edge = np.cumsum([0, *map(len, terms)])
-        self.query = []
-        for d in range(self.size):
-            w = weight[edge[d] : edge[d + 1]]
-            top = np.argpartition(-w, SEED_TERMS)[:SEED_TERMS] if len(w) > SEED_TERMS else np.arange(len(w))
-            self.query.append(terms[d][top])
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents by falling score against the seed; equal scores by number."""
+        """Documents by falling score against all terms of the seed; equal scores by number."""
         score = np.zeros(self.size, np.float32)
-        for t in self.query[seed]:
-            a, b = self.first[t], self.first[t + 1]
+        for a, b in zip(self.first[self.terms[seed]], self.first[self.terms[seed] + 1], strict=True):
             score[self.doc[a:b]] += self.weight[a:b]
         return np.argsort(-score, kind="stable")
 

@@ -422,6 +422,14 @@ def test_packing_prefers_neighbours(spark):
     assert sum(len(k) == 1 for k in kinds.values()) >= len(kinds) - 1
 
 
+def test_packing_asks_for_all_terms():
+    own = np.repeat(np.arange(30), 10)  # more and heavier terms than any short query would take
+    streams = [np.append(own, 40), np.array([41, 42]), np.array([40, 43])]
+    frequency = np.bincount(np.concatenate([np.unique(s) for s in streams]), minlength=44).astype(float)
+    index = packing.Index(streams, frequency, 3, 100.0)
+    assert index.neighbours(0).tolist() == [0, 2, 1]
+
+
 def test_store(spark, docs, ids, tmp_path):
     path = str(tmp_path / "store")
     out = store.store_documents(docs, path).collect()
