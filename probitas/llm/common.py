@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,16 +42,57 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    ``done`` are staged tables that nothing reads any more once this one is written: their folders are deleted.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path  # type: ignore[attr-defined]
+    unstage(*done)
     return out
 
 
+def unstage(*done: DataFrame) -> None:
+    """Delete the folders of staged tables."""
+    for df in done:
+        drop_folder(df.sparkSession, df.staged_at)
+
+
+def release() -> None:
+    """Give the memory that a Python worker no longer uses back to the system: the worker stays for later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: A key is hot when it has more than this share of all rows: there are fewer such keys than its inverse.
+HOT_SHARE = 1000
+
+
+def join_unique(many: DataFrame, unique: DataFrame, on: str, rows: str) -> DataFrame:
+    """Inner join of ``many`` with the staged ``unique``, one row a key, whose column ``rows`` (dropped) tells how many
+    rows of ``many`` the key has.
+
+    Keys of more than a 1000th of all rows are at most 1000 and meet by a broadcast, the others by a shuffle: a key
+    of a third of all rows is no single task's work. ``many`` is read twice and should be staged.
+    """
+    total = unique.agg(F.sum(rows)).first()[0] or 0
+    is_hot = F.col(rows) > max(total // HOT_SHARE, HOT_SHARE)
+    hot = F.broadcast(unique.filter(is_hot))
+    if hot.isEmpty():
+        return many.join(unique.drop(rows), on)
+    cold = many.join(hot.select(on), on, "left_anti").join(unique.filter(~is_hot).drop(rows), on)
+    return cold.unionByName(many.join(hot.drop(rows), on))
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of all files under ``path``, by the file system that holds it."""
     jvm = spark.sparkContext._jvm

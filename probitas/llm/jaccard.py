@@ -11,15 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, buckets, stage
+from .common import broadcast_if_small, buckets, join_unique, release, stage, unstage
 from .components import connected_components, extend_components
 from .hashing import U, mix, window_hashes, word_hashes
 from .shared import shared_hashes
 
-#: Extra segments: a document with at most so many empty ones needs no signature for them.
-SPARE = 4
-#: For the allocation's cost: the chance that two documents of a band share a given shingle.
-ALIKE = 0.25
+#: Extra segments, at least and as a share of the most members two sets alike differ in: sets alike agree in one more.
+SPARE, SPARE_SHARE = 4, 0.0
+#: For the allocation's cost: the share of a band's documents that a set has some text in common with, and the chance
+#: that it shares a given shingle with such a one.
+PARTNERS, ALIKE = 0.001, 0.25
 
 
 def shingles(data: bytes, k: int) -> np.ndarray:
@@ -42,33 +43,35 @@ def bands(most: int, share: int) -> list[int]:
     return first
 
 
-def allocate(top: int, share: int, docs: int) -> tuple[int, int]:
-    """(exact, deletion): how many segments of a band whose largest size is ``top`` are matched exactly, and how
-    many up to one deletion.
+def allocate(top: int, share: int, docs: int) -> tuple[int, int, int]:
+    """(exact, deletion, spare): how many segments of a band whose largest size is ``top`` are matched exactly, how
+    many up to one deletion, and how many are extra.
 
     Two sets alike, the smaller of at most ``top`` shingles, differ in at most H = top * (100 - share) / share
     shingles. If no exact segment agreed and every deletion segment differed twice, they would differ in
-    exact + 2 * deletion. With exact + 2 * deletion = H + 1 + SPARE some segments must match, and beyond SPARE
-    empty ones one that is not empty. The cheapest split counts signatures sent and chance candidates met.
+    exact + 2 * deletion. With exact + 2 * deletion = H + 1 + spare, segments of a weight of 1 + spare must match
+    (an exact one weighs 1, a deletion one 2). The cheapest split counts signatures sent and chance candidates met.
     """
     h = top * (100 - share) // share
-    need = h + 1 + SPARE
+    spare = max(SPARE, int(h * SPARE_SHARE))
+    need = h + 1 + spare
     best = None
     for deletion in range(need // 2 + 1):
         exact = need - 2 * deletion
         segments = exact + deletion
         size = top / segments
-        cost = exact * (1 + docs * ALIKE**size) + deletion * ((1 + size) + docs * size * ALIKE ** max(0.0, size - 1))
+        met = docs * PARTNERS
+        cost = exact * (1 + met * ALIKE**size) + deletion * ((1 + size) + met * size * ALIKE ** max(0.0, size - 1))
         if best is None or cost < best[0]:
             best = (cost, exact, deletion)
-    return best[1], best[2]
+    return best[1], best[2], spare
 
 
-def signatures(h: np.ndarray, band: int, exact: int, deletion: int) -> tuple[np.ndarray, int]:
+def signatures(h: np.ndarray, band: int, exact: int, deletion: int, spare: int = SPARE) -> tuple[np.ndarray, int]:
     """The set's signatures in one band's scheme, and how many of them any set alike has too, at least.
 
     A hash tells each shingle's segment; deletion segments come first and give the whole segment's hash and those
-    without one of its shingles. Segments that agree make up 1 + SPARE of the scheme's count at least, where a
+    without one of its shingles. Segments that agree make up 1 + spare of the scheme's count at least, where a
     deletion segment counts two; empty ones, which send nothing, may be among them.
     """
     segments = exact + deletion
@@ -79,14 +82,14 @@ def signatures(h: np.ndarray, band: int, exact: int, deletion: int) -> tuple[np.
     size = np.bincount(seg, minlength=segments)
     name = mix(np.arange(segments, dtype=np.uint64) + U((band << 32) % (1 << 64)) + U(1))
     empty_counts = (size[:deletion] <= 1).sum() * 2 + (size[deletion:] == 0).sum()
-    use = np.ones(segments, bool) if empty_counts > SPARE else size > 0
+    use = np.ones(segments, bool) if empty_counts > spare else size > 0
     out = [mix(total[use] ^ name[use])]
     if deletion:
         cut = seg < deletion
-        if empty_counts <= SPARE:
+        if empty_counts <= spare:
             cut &= size[seg] > 1
         out.append(mix((total[seg[cut]] - value[cut]) ^ name[seg[cut]]))
-    need = max(1, 1 + SPARE - int(empty_counts)) if empty_counts <= SPARE else 1
+    need = max(1, 1 + spare - int(empty_counts)) if empty_counts <= spare else 1
     return np.concatenate(out), -(-need // 2) if deletion else need
 
 
@@ -110,10 +113,11 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.abs(x - y).sum())
 
 
-def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three staged tables: (doc_id, key, n_shingles, set_id) of all rows, set_id a 64-bit name of the shingle set
-    (null if empty); (sig, set_id, n, own) of the signatures that several sets have, own where the band is the
-    set's; (set_id, body) with the shingle hashes of the sets that have any.
+def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Four staged tables: (doc_id, key, n_shingles, set_id) of all rows, set_id a 64-bit name of the shingle set
+    (null if empty); (set_id, least, rows) with each set's smallest doc_id and number of rows; (sig, set_id, n, own,
+    need) of the signatures that several sets have, own where the band is the set's; (set_id, body, histogram) with
+    the shingle hashes of the sets that have any.
     """
     docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
@@ -129,9 +133,11 @@ def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame,
     sets = stage(docs.select("doc_id", "key", "text").mapInArrow(digest, "doc_id long, key long, n_shingles long, set_id long"), "sets")
     named = sets.filter(F.col("set_id").isNotNull())
     # One text stands for each set, that of the smallest (key, doc_id); the others are known by a list.
-    stands = named.groupBy("set_id").agg(F.min(F.struct("key", "doc_id")).alias("_s"), F.first("n_shingles").alias("n"))
-    stands = stage(stands.select("set_id", "n", F.col("_s.key").alias("_k"), F.col("_s.doc_id").alias("_d")), "stands")
-    others = stage(named.join(stands, "set_id").filter(~(F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "others")
+    stands = named.groupBy("set_id").agg(F.min(F.struct("key", "doc_id")).alias("_s"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    stands = stage(stands.select("set_id", "n", F.col("_s.key").alias("_k"), F.col("_s.doc_id").alias("_d"), "least", "rows"), "stands")
+    several = stage(stands.filter("rows > 1").select("set_id", "_k", "_d", "rows"), "several")
+    others = join_unique(named.select("set_id", "doc_id", "key"), several, "set_id", "rows")
+    others = stage(others.filter(~(F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "others", [several])
     first = bands(int(stands.agg(F.max("n")).first()[0] or 0), share)
     edges = np.array(first)
     # One count per band: a few dozen.
@@ -154,55 +160,79 @@ def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame,
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, bodies, cells, sigs, below = [], [], [], [], [], []
+            ids, sizes, bodies, cells, sigs, below, needs = [], [], [], [], [], [], []
             for text, shared in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "shared")), strict=True):
                 h = shingles(text.encode(), k)
                 known = np.frombuffer(b"".join(shared), np.uint32)
                 found: list[list[int]] = [[], []]
+                least = [0, 0]
                 for band, (s, need) in sigs_of(h):
                     s = s[np.isin((s & U(0xFFFFFFFF)).astype(np.uint32), known)]
                     if len(s) >= need:  # with fewer that any other set has, no set is alike
-                        found[band != int(np.searchsorted(edges, len(h), "right")) - 1] = s.view(np.int64).tolist()
+                        which = band != int(np.searchsorted(edges, len(h), "right")) - 1
+                        found[which], least[which] = s.view(np.int64).tolist(), need
                 if not any(found):
                     continue
-                for column, x in zip((ids, sizes, bodies, cells, sigs, below), (set_name(h), len(h), h.tobytes(), histogram(h), *found), strict=True):
+                for column, x in zip((ids, sizes, bodies, cells, sigs, below, needs), (set_name(h), len(h), h.tobytes(), histogram(h), *found, least), strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, sizes, bodies, cells, sigs, below), kinds, strict=True)], ["set_id", "n", "body", "histogram", "own", "below"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, sizes, bodies, cells, sigs, below, needs), kinds, strict=True)], ["set_id", "n", "body", "histogram", "own", "below", "needs"])
 
     # joined by a shuffle at any size: both sides grow with the corpus
-    content = stage(single.join(sharing, ["doc_id", "key"]).mapInArrow(describe, "set_id long, n long, body binary, histogram binary, own array<long>, below array<long>"), "content")
-    part = lambda c: content.select(F.explode(c).alias("sig"), "set_id", "n", F.lit(c == "own").alias("own"))
-    rows = stage(part("own").unionByName(part("below")).distinct(), "signatures")
-    often = stage(content.groupBy("set_id").agg(F.count("*").alias("c")).filter("c > 1").select("set_id"), "often")
+    content = stage(single.join(sharing, ["doc_id", "key"]).mapInArrow(describe, "set_id long, n long, body binary, histogram binary, own array<long>, below array<long>, needs array<int>"), "content")
+    part = lambda c: content.select(F.explode(c).alias("sig"), "set_id", "n", F.lit(c == "own").alias("own"), F.get("needs", F.lit(int(c != "own"))).alias("need"))
+    rows = stage(part("own").unionByName(part("below")).distinct(), "signatures", [others, sharing])
+    rows = stage(rarest(rows), "rarest", [rows])
+    often = content.groupBy("set_id").agg(F.count("*").alias("c")).filter("c > 1")
     if not often.isEmpty():  # the very same row more than once
-        content = stage(content.drop("own", "below").distinct(), "content")
-    return sets, rows, content
+        content = stage(content.drop("own", "below", "needs").distinct(), "content", [content])
+    return sets, stands.select("set_id", "least", "rows"), rows, content
 
 
-#: Pairs of one block of the verification.
-BLOCK_PAIRS = 20_000
+def rarest(rows: DataFrame, cut: bool = True) -> DataFrame:
+    """Rows of (sig, set_id, n, own, need) without those that cannot matter; ``cut`` leaves each set the rarest only.
+
+    A signature counts that several sets have, one of them in its own band. Sets alike have ``need`` such in common
+    at least, so a set of fewer is alike to none. The rarest of those they have in common, in one order of all
+    signatures, is followed in both sets' lists by need - 1 others: with the need - 1 most frequent left out of each
+    list, they still meet in it. So what very many documents share, a common passage, brings few sets together.
+    """
+    often = rows.groupBy("sig").agg(F.count("*").alias("c"), F.max("own").alias("led")).filter("c > 1 and led").drop("led")
+    lists = rows.join(often, "sig").groupBy("set_id", "own").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("c", "sig"))).alias("s"))
+    lists = lists.filter(F.size("s") >= F.col("need"))
+    if cut:
+        lists = lists.withColumn("s", F.slice("s", F.lit(1), F.size("s") - F.col("need") + 1))
+    return lists.select("set_id", "n", "own", "need", F.explode("s.sig").alias("sig"))
+
+
+#: Pairs of one block of the verification, and bytes of the contents that come with them.
+BLOCK_PAIRS, BLOCK_BYTES = 20_000, 16 << 20
 
 
 def by_blocks(pairs: DataFrame, content: DataFrame, column: str, alike: Callable[[bytes, bytes], bool], name: str) -> DataFrame:
-    """Those of the staged ``pairs`` for whose ends ``alike(a's column, b's column)`` holds.
+    """Those of the staged ``pairs`` for whose ends ``alike(a's column, b's column)`` holds; ``pairs`` is deleted.
 
     Pairs are dealt to the cells of a square grid by the hashes of both ends, and a set's content goes once to
-    each cell where it has a pair, not once with each pair; a set of very many pairs is spread over a row.
+    each cell where it has a pair, not once with each pair; a set of very many pairs is spread over a row. The
+    number of cells follows that of pairs and the bytes of their ends.
     """
     count = pairs.count()
-    side = max(1, math.isqrt(max(buckets(content.sparkSession, 16), count // BLOCK_PAIRS)))
+    width = content.agg(F.avg(F.octet_length(column))).first()[0] or 0
+    side = max(1, math.isqrt(max(buckets(content.sparkSession, 16), count // BLOCK_PAIRS, int(2 * count * width) // BLOCK_BYTES)))
     cell = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(side))
     dealt = pairs.select((cell("a", 1) * side + cell("b", 2)).alias("block"), "a", "b")
     ends = dealt.select(F.col("block").alias("cell"), F.explode(F.array("a", "b")).alias("set_id")).distinct()
     needed = ends.join(content.select("set_id", column), "set_id").select("cell", "set_id", column)
 
     def test(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = dict(zip(right.column("set_id").to_pylist(), right.column(column).to_pylist(), strict=True))
-        mask = pa.array([alike(held[x], held[y]) for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)], pa.bool_())
-        return left.select(["a", "b"]).filter(mask)
+        held = dict(zip(right.column("set_id").to_pylist(), right.column(column), strict=True))
+        mask = [alike(held[x].as_buffer(), held[y].as_buffer()) for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)]
+        out = left.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
+        del held
+        release()
+        return out
 
-    return stage(dealt.groupBy("block").cogroup(needed.groupBy("cell")).applyInArrow(test, "a long, b long"), name)
+    return stage(dealt.groupBy("block").cogroup(needed.groupBy("cell")).applyInArrow(test, "a long, b long"), name, [pairs])
 
 
 def verify(pairs: DataFrame, content: DataFrame, share: int) -> DataFrame:
@@ -213,6 +243,7 @@ def verify(pairs: DataFrame, content: DataFrame, share: int) -> DataFrame:
     """
 
     def may_be(x: bytes, y: bytes) -> bool:
+        x, y = bytes(x), bytes(y)
         return (100 + share) * least_difference(x[4:], y[4:]) <= (100 - share) * (int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little"))
 
     return by_sets(by_blocks(pairs, content, "histogram", may_be, "passed"), content, share)
@@ -247,41 +278,58 @@ def likeliest(rows: DataFrame, share: int) -> DataFrame:
 
 
 def open_signatures(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """The rows of signatures whose sets are not all in one component yet, with their component."""
+    """The rows of signatures whose sets are not all in one component yet, with their component; ``rows`` is deleted."""
     labelled = rows.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    ends = labelled.groupBy("sig").agg(*[f(F.struct("component", "set_id", "n", "own")).alias(k) for k, f in (("low", F.min), ("high", F.max))])
+    ends = labelled.groupBy("sig").agg(F.count("*").alias("m"), *[f(F.struct("component", "set_id", "n", "own")).alias(k) for k, f in (("low", F.min), ("high", F.max))])
     ends = ends.filter(F.col("low.component") < F.col("high.component"))
-    return stage(labelled.join(ends, "sig"), "open")
+    return stage(labelled.join(ends, "sig"), "open", [rows])
 
 
 def across(open_: DataFrame, share: int, step: int) -> DataFrame:
     """For each open row one pair: with an end of its signature's components that is not its own."""
     first, other = ("low", "high") if step % 2 == 0 else ("high", "low")
     end = F.when(F.col("component") != F.col(f"{first}.component"), F.col(first)).otherwise(F.col(other))
-    met = open_.withColumn("end", end).select(F.col("set_id").alias("a"), F.col("end.set_id").alias("b"), "n", F.col("end.n").alias("m"), (F.col("own") | F.col("end.own")).alias("ok"), F.col("component") != F.col("end.component"))
+    met = open_.withColumn("end", end).select(F.col("set_id").alias("a"), F.col("end.set_id").alias("b"), F.col("n"), F.col("end.n").alias("m"), (F.col("own") | F.col("end.own")).alias("ok"), F.col("component") != F.col("end.component"))
     return _pairs(met.filter(_fits(share) & F.col("ok")))
 
 
-#: Open rows of one task of the last search; a larger block is searched by several tasks, each for some sets.
-SEARCH_ROWS = 100_000
+#: Open rows of one task of the last search.
+SEARCH_ROWS = 20_000
+
+
+def search_blocks(open_: DataFrame) -> DataFrame:
+    """(block, part, sig, set_id, component): the open rows dealt to the tasks of the last search.
+
+    Signatures are gathered in blocks by the smallest component they hold, so that a set and its histogram go to
+    few blocks; a block of more than SEARCH_ROWS rows is dealt to parts by signature, so a row is in one part. Only
+    a single signature of more than SEARCH_ROWS sets is tiled: each set goes to the parts of all pairs of tiles that
+    hold its own, and each pair of sets meets in one at least.
+    """
+    rows = open_.select(F.col("low.component").alias("block"), "sig", "set_id", "component", "m")
+    common = rows.filter(F.col("m") <= SEARCH_ROWS).drop("m")
+    large = common.groupBy("block").agg(F.ceil(F.count("*") / SEARCH_ROWS).cast("int").alias("parts")).filter("parts > 1")
+    common = common.join(broadcast_if_small(stage(large, "large")), "block", "left")  # at most a row for SEARCH_ROWS rows
+    common = common.withColumn("part", F.coalesce(F.pmod(F.xxhash64("sig"), F.col("parts")), F.lit(0)).cast("long")).drop("parts")
+    tiles = F.ceil(2 * F.col("m") / SEARCH_ROWS).cast("long")
+    tiled = rows.filter(F.col("m") > SEARCH_ROWS).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles")))
+    tiled = tiled.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    part = 1 + F.least("tile", "with") * F.col("tiles") + F.greatest("tile", "with")
+    # a block of its own for each signature; parts from 1 on keep it apart from a component of the same number
+    tiled = tiled.select(F.col("sig").alias("block"), "sig", "set_id", "component", (-part).alias("part"))
+    return common.unionByName(tiled)
 
 
 def search(open_: DataFrame, content: DataFrame, share: int) -> DataFrame:
     """Staged (a, b): all pairs of open rows of different components whose histograms allow them to be alike.
 
-    Signatures are gathered in blocks by the smallest component they hold, so a set and its histogram go to few
-    blocks. In a block each set outside the largest component is held against all members of its signatures at
-    once; pairs that fail are never rows of a table.
+    In a block each set outside the largest component is held against all members of its signatures at once;
+    pairs that fail are never rows of a table.
     """
-    rows = open_.select(F.col("low.component").alias("block"), "sig", "set_id", "component")
-    parts = rows.groupBy("block").agg(F.ceil(F.count("*") / SEARCH_ROWS).cast("int").alias("parts"))
-    rows = rows.join(parts, "block")
-    spread = rows.select("block", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sig", "set_id", "component")
-    ends = rows.select("block", "parts", "set_id").distinct().select(F.col("block").alias("at"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of"), F.col("set_id").alias("member"))
+    spread = search_blocks(open_)
+    ends = spread.select(F.col("block").alias("at"), F.col("part").alias("of"), F.col("set_id").alias("member")).distinct()
     needed = ends.join(content.select(F.col("set_id").alias("member"), "histogram"), "member").select("at", "of", "member", "histogram")
 
     def test(left: pa.Table, right: pa.Table) -> pa.Table:
-        part, parts = left.column("part")[0].as_py(), left.column("parts")[0].as_py()
         sig, ids, component = (left.column(c).to_numpy() for c in ("sig", "set_id", "component"))
         names, who = np.unique(ids, return_inverse=True)
         label = np.zeros(len(names), np.int64)
@@ -303,8 +351,6 @@ def search(open_: DataFrame, content: DataFrame, share: int) -> DataFrame:
             tables[c] = np.frombuffer(b"".join(held[i][4:] for i in names[at].tolist()), np.uint8).reshape(len(at), c)
         found: tuple[list[int], list[int]] = ([], [])
         for x in np.flatnonzero(label != kinds[count.argmax()]).tolist():
-            if x % parts != part:
-                continue
             met = np.zeros(len(names), bool)
             for g in group[by_set[own[x] : own[x + 1]]].tolist():
                 met[who[order[edge[g] : edge[g + 1]]]] = True
@@ -322,6 +368,8 @@ def search(open_: DataFrame, content: DataFrame, share: int) -> DataFrame:
                 good = y[((100 + share) * apart <= (100 - share) * (size[x] + size[y])) | capped]
                 found[0].extend(np.minimum(names[good], names[x]).tolist())
                 found[1].extend(np.maximum(names[good], names[x]).tolist())
+        del held, tables
+        release()
         return pa.table([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
 
     pairs = spread.groupBy("block", "part").cogroup(needed.groupBy("at", "of")).applyInArrow(test, "a long, b long")
@@ -343,24 +391,29 @@ def find_components(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
     others and get the smallest id they reach (null where none); repeated rows get the same row each. Empty
     tables give an empty result.
     """
-    sets, rows, content = link_sets(docs, k, share)
+    sets, stands, rows, content = link_sets(docs, k, share)
     tested = likeliest(rows, share)
     component = stage(connected_components(verify(tested, content, share)), "components")
     for step in range(ROUNDS + 1):
         open_ = open_signatures(rows, component)
         if open_.isEmpty():
             break
-        rows = open_.select(*rows.columns)  # signatures once closed stay closed
         if step < ROUNDS:
-            new = verify(stage(across(open_, share, step).join(tested, ["a", "b"], "left_anti"), "pairs"), content, share)
+            rows = stage(open_.select(*rows.columns), "rows")  # signatures once closed stay closed
+            new = verify(stage(across(open_, share, step), "pairs", []), content, share)
+            unstage(open_)
         else:
             new = by_sets(search(open_, content, share), content, share)
-        if new.isEmpty():
-            continue
+            unstage(open_)
         component = extend_components(component, new)
-    joined = sets.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("_c", F.coalesce("component", "set_id"))
-    smallest = joined.filter(F.col("_c").isNotNull()).groupBy("_c").agg(F.min("doc_id").alias("_least"))
-    return joined.join(smallest, "_c", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"), "key")
+    unstage(content)
+    labels = stands.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("_c", F.coalesce("component", "set_id")).select("set_id", "least", "rows", "_c")
+    labels = stage(labels, "labels")
+    smallest = stage(labels.groupBy("_c").agg(F.min("least").alias("component_id"), F.count("*").alias("_sets")), "smallest")
+    final = stage(join_unique(labels, smallest, "_c", "_sets").select("set_id", "component_id", "rows"), "final", [labels, smallest])
+    named = join_unique(sets.filter(F.col("set_id").isNotNull()), final, "set_id", "rows")
+    alone = sets.filter(F.col("set_id").isNull()).withColumn("component_id", F.lit(None).cast("long"))
+    return named.unionByName(alone).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key")
 
 
 def keep_one(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
@@ -370,8 +423,11 @@ def keep_one(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     a null doc_id. Columns are those of ``docs``.
     """
     found = find_components(docs, k, share)
-    drop = stage(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "drop")
+    drop = stage(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "drop")
     often = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "often")
-    out = docs.join(broadcast_if_small(drop), "doc_id", "left_anti")
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
+    out = docs.join(broadcast_if_small(drop), same, "left_anti")
+    if often.isEmpty():
+        return out.select(*docs.columns)
     once = out.join(broadcast_if_small(often), "doc_id", "left_anti").unionByName(out.join(broadcast_if_small(often), "doc_id", "left_semi").distinct())
     return once.select(*docs.columns)

@@ -237,6 +237,74 @@ def test_signatures_lose_nothing(exact, deletion):
         assert len(np.intersect1d(x, y)) >= max(n, m, 1)
 
 
+@pytest.mark.parametrize("rows,pairs,size", [(40, 20, 4000), (7, 3, 100)])
+def test_jaccard_in_small_blocks(spark, docs, texts, monkeypatch, rows, pairs, size):
+    """Blocks dealt to parts, tiled signatures, verification in many cells: the same components."""
+    monkeypatch.setattr(jaccard, "SEARCH_ROWS", rows)
+    monkeypatch.setattr(jaccard, "BLOCK_PAIRS", pairs)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    rng = np.random.default_rng(11)
+    base = [f"g{i}" for i in range(90)]
+    near = []
+    for i in range(60):  # texts from a little to much apart, so that signatures stay open
+        ws = list(base)
+        for j in rng.integers(0, 90, int(rng.integers(1, 9))):
+            ws[j] = f"c{rng.integers(0, 10**6)}"
+        near.append((2_000_000 + i, " ".join(ws), "en", "src0"))
+    all_texts = texts + near
+    sets = sets_of(all_texts, 4)
+    want = Counter((d, len(s), c) for (d, s), c in zip(sets, components_of(sets, 85), strict=True))
+    frame = spark.createDataFrame(all_texts, "doc_id long, text string, lang string, source string")
+    got = Counter(rows_of(jaccard.find_components(frame).select("doc_id", "n_shingles", "component_id")))
+    assert got == want
+
+
+def test_search_blocks_hold_every_pair(spark, monkeypatch):
+    """Each signature's pairs meet in some part, also where a signature is tiled; no row is copied but tiled ones."""
+    monkeypatch.setattr(jaccard, "SEARCH_ROWS", 10)
+    groups = {1: range(4), 2: range(2, 11), 3: range(35), 4: [50, 51]}
+    rows = [(s, i, 100 + i, 100 + min(m), len(m)) for s, m in groups.items() for i in m]
+    frame = spark.createDataFrame(rows, "sig long, set_id long, component long, _low long, m long").selectExpr("*", "struct(_low as component) as low")
+    parts = defaultdict(set)
+    out = jaccard.search_blocks(frame).collect()
+    for r in out:
+        parts[r["block"], r["part"], r["sig"]].add(r["set_id"])
+    for s, m in groups.items():
+        met = {(a, b) for (_, _, sig), sets in parts.items() if sig == s for a in sets for b in sets}
+        assert met == {(a, b) for a in m for b in m}
+    assert sum(r["sig"] != 3 for r in out) == sum(len(m) for s, m in groups.items() if s != 3)
+
+
+def test_rarest_signatures_lose_nothing(spark):
+    """Pairs that share ``need`` signatures still share one; a signature of one set goes."""
+    rng = np.random.default_rng(4)
+    lists = {i: set(rng.zipf(1.3, 25).clip(0, 400).tolist()) for i in range(60)}
+    rows = [(s, i, 10, True, 6) for i, sigs in lists.items() for s in sigs]
+    left = defaultdict(set)
+    for r in jaccard.rarest(spark.createDataFrame(rows, "sig long, set_id long, n long, own boolean, need int")).collect():
+        left[r["set_id"]].add(r["sig"])
+    near = [(a, b) for a in lists for b in range(a) if len(lists[a] & lists[b]) >= 6]
+    assert near and all(left[a] & left[b] for a, b in near)
+    assert sum(map(len, left.values())) < len(rows) - 4 * 60
+
+
+def test_join_unique_splits_hot_keys(spark):
+    from probitas.llm.common import join_unique, stage
+
+    many = stage(spark.range(20000).selectExpr("id", "if(id % 3 = 0, 7, id) as k"), "many")
+    unique = stage(many.groupBy("k").count().selectExpr("k", "k * 10 as v", "count"), "unique")
+    out = join_unique(many, unique, "k", "count")
+    assert out.columns == ["k", "id", "v"] and out.count() == 20000 and out.filter("v != k * 10").count() == 0
+
+
+def test_keep_one_drops_no_other_text_of_an_id(spark):
+    one, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(3, one), (5, one + " tail"), (5, other), (6, None), (6, "")]
+    got = Counter(rows_of(jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert got == Counter([(3, one), (5, other), (6, None), (6, "")])
+
+
 def test_keep_one(docs, texts):
     sets = sets_of(texts, 5)
     keep = Counter()
