@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,6 +56,22 @@ def stage(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> DataFrame
     return out
 
 
+def set_aside(docs: DataFrame, used: Iterable[str], replaced: Iterable[str] = ()) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with the columns ``used`` and one struct of all others, so that an operator's own columns clash with none;
+    and a function that takes the operator's result and the names of its new columns and gives back the columns of
+    ``docs`` in their order (without those that it lacks or that are ``replaced``), then the new ones."""
+    names = [c for c in docs.columns if c not in set(replaced)]
+    used = [c for c in names if c in set(used)]
+    rest = [c for c in names if c not in used]
+    slim = docs.select(*[F.col(f"`{c}`") for c in used], F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(True).alias("_" * (1 + max(map(len, ["", *rest]))))).alias("_rest"))
+
+    def restore(out: DataFrame, *new: str) -> DataFrame:
+        back = [F.col(f"`{c}`") if c in used else F.col("_rest").getField(c).alias(c) for c in names if c in rest or c in out.columns]
+        return out.select(*back, *new)
+
+    return slim, restore
+
+
 def unstage(*done: DataFrame) -> None:
     """Delete the folders of staged tables."""
     for df in done:

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import broadcast_if_small, stage
+from .common import broadcast_if_small, set_aside, stage
 from .hashing import U, anchor_of_windows, minimizers, mix, window_hashes, word_hashes
 from .shared import first_copies, is_shared, shared_hashes
 from .suffix import run_spans
@@ -109,11 +110,12 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
     doc_id do not remove each other. Empty tables give an empty result; other columns pass through, those of
     the new names are replaced.
     """
-    new = ["key", "n_words", "n_removed", "kept_sha256", "runs", "copy"]
-    fields = [f for f in docs.drop(*new).schema.fields if rewrite or f.name != "text"]
-    docs, copies, runs = find_repeats(docs.drop(*new))
-    joined = docs.join(broadcast_if_small(copies.withColumn("copy", F.lit(True)).transform(stage, "copies")), ["doc_id", "key"], "left").join(runs, ["doc_id", "key"], "left")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long, n_removed long, kept_sha256 string"])
+    new = ["n_words", "n_removed", "kept_sha256"]
+    slim, restore = set_aside(docs, ["doc_id", "text"], new)
+    fields = [f for f in slim.schema.fields if rewrite or f.name != "text"]
+    slim, copies, runs = find_repeats(slim)
+    joined = slim.join(broadcast_if_small(copies.withColumn("copy", F.lit(True)).transform(stage, "copies")), ["doc_id", "key"], "left").join(runs, ["doc_id", "key"], "left")
+    schema = StructType([*fields, *(StructField(c, StringType() if c == "kept_sha256" else LongType()) for c in new)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,4 +139,4 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
             columns |= {"n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept_sha256": pa.array(out[2], pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return joined.mapInArrow(cut, schema)
+    return restore(joined.mapInArrow(cut, schema), *new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, stage
+from .common import broadcast_if_small, let, set_aside, stage
 from .quality import words_of
 
 SHINGLE = 5
@@ -39,9 +39,10 @@ def size_part(n: Column) -> Column:
     return F.when(n > 0, F.length(F.bin(n))).otherwise(0)
 
 
-def find_contained(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
+def find_contained(docs: DataFrame, items: DataFrame, share: int = SHARE, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared) of each document that holds ``share`` percent of an item's
-    distinct 5-word shingles (words lower-cased), anywhere in its whole text.
+    distinct 5-word shingles (words lower-cased), anywhere in its whole text. Rows equal in the columns ``ids``, which
+    the result has in place of doc_id, are one document.
 
     Sketches: an item of q shingles keeps its ``q - ceil(share * q) + 1`` smallest hashes. A document that
     holds enough of the item lacks fewer shingles than that, so it holds at least one hash of the sketch:
@@ -64,17 +65,17 @@ def find_contained(docs: DataFrame, items: DataFrame, share: int = SHARE) -> Dat
 
     # no filter on the words or their shingles, nor an inner explode that implies one: it would be pushed below
     # the split and make it anew
-    probe = docs.select("doc_id", words_of(F.lower("text")).alias("_words"))
+    probe = docs.select(*ids, words_of(F.lower("text")).alias("_words"))
     n = F.greatest(F.size("_words") - (SHINGLE - 1), F.least(F.size("_words"), F.lit(1)))
     tops = [F.when(n >= x.low, F.lit(x.top)) for x in limits] + [F.lit(None).cast("long")] * 2
-    probe = probe.select("doc_id", F.greatest(*tops).alias("_top"), F.explode_outer(shingle_hashes(F.col("_words"))).alias("_hash")).filter(F.col("_hash") <= F.col("_top"))
-    pairs = stage(probe.join(broadcast_if_small(sketch), "_hash").select("doc_id", "item_id").distinct(), "candidates")
+    probe = probe.select(*ids, F.greatest(*tops).alias("_top"), F.explode_outer(shingle_hashes(F.col("_words"))).alias("_hash")).filter(F.col("_hash") <= F.col("_top"))
+    pairs = stage(probe.join(broadcast_if_small(sketch), "_hash").select(*ids, "item_id").distinct(), "candidates")
 
-    found = docs.join(broadcast_if_small(pairs.select("doc_id").distinct().transform(stage, "found")), "doc_id", "left_semi")
-    lines = found.select("doc_id", F.explode_outer(F.array_distinct(shingle_texts(words_of(F.lower("text"))))).alias("_text"))
+    found = docs.join(broadcast_if_small(pairs.select(*ids).distinct().transform(stage, "found")), list(ids), "left_semi")
+    lines = found.select(*ids, F.explode_outer(F.array_distinct(shingle_texts(words_of(F.lower("text"))))).alias("_text"))
     wanted = stage(items.select("item_id", "n_shingles", F.explode("_s").alias("_text")), "wanted")
-    hits = lines.join(broadcast_if_small(wanted), "_text").join(broadcast_if_small(pairs), ["doc_id", "item_id"], "left_semi")
-    counted = hits.groupBy("doc_id", "item_id", "n_shingles").agg(F.countDistinct("_text").alias("n_shared"))
+    hits = lines.join(broadcast_if_small(wanted), "_text").join(broadcast_if_small(pairs), [*ids, "item_id"], "left_semi")
+    counted = hits.groupBy(*ids, "item_id", "n_shingles").agg(F.countDistinct("_text").alias("n_shared"))
     return counted.filter(100 * F.col("n_shared") >= share * F.col("n_shingles"))
 
 
@@ -85,6 +86,9 @@ def shingle_hashes_of(shingles: str) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
-    """``docs`` without those that hold an item of the benchmark; null ids are kept."""
-    found = stage(find_contained(docs, items, share).select("doc_id").distinct(), "leaks")
-    return docs.join(broadcast_if_small(found), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without those that hold an item of the benchmark; rows with a null id are kept, as is a row whose id
+    only another, contaminated text has. Other columns pass through, whatever their names."""
+    slim, restore = set_aside(docs, ["doc_id", "text"])
+    slim = slim.withColumn("_key", F.xxhash64("text"))
+    found = stage(find_contained(slim, items, share, ("doc_id", "_key")).select("doc_id", "_key").distinct(), "leaks")
+    return restore(slim.join(broadcast_if_small(found), ["doc_id", "_key"], "left_anti"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -241,7 +242,7 @@ def scan(docs: DataFrame, text: str = "text", rewrite: bool = False) -> DataFram
     new = ["n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"]
     docs = docs.drop(*new)
     kept = [f for f in docs.schema.fields if rewrite or f.name != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"])
+    schema = StructType([*kept, *(StructField(c, LongType()) for c in new[:5]), StructField("base_sha256", StringType()), StructField("spans", StringType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, broadcast_if_small, let, stage
+from .common import BLANK_RUN, BLANKS, broadcast_if_small, let, set_aside, stage
 
 SYMBOLS = "#*$%&|<>"
 #: Values below this have a bin each in the sketch; above, each power of two has half as many bins.
@@ -140,8 +140,9 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     and sources form groups of their own. An empty table gives an empty result. Other columns pass through, those of
     the new names are replaced; without ``keep_text`` the text is dropped. Measures are made once and staged.
     """
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    base = measure(docs, text)
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    slim, restore = set_aside(docs, [text, lang, source], new)
+    base = measure(slim, text)
     base = stage(base if keep_text else base.drop(text), "measures")
     per = lambda a, scale: F.floor(F.col(a) * scale / F.greatest(F.col("n_words"), F.lit(1))).cast("long")
     base = base.withColumns(
@@ -158,4 +159,4 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     fence = F.coalesce("_f0", "_f1", F.struct(*[F.lit(everyone[m]).cast("long").alias(m) for m in MEASURES]))
     beyond = [F.coalesce(F.col(m) > fence[m], F.lit(False)) for m in MEASURES]
     any_beyond = beyond[0] | beyond[1] | beyond[2] | beyond[3]
-    return out.withColumn("kept", ~(F.col("base_failed") | any_beyond)).drop("_lang", "_source", "_f0", "_f1", *MEASURES)
+    return restore(out.withColumn("kept", ~(F.col("base_failed") | any_beyond)), *new)

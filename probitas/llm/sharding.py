@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, buckets, stage
+from .common import broadcast_if_small, buckets, join_unique, set_aside, stage
 
 
 def deal(loads: list[int], size: int, count: int) -> list[int]:
@@ -56,10 +56,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
     spark = docs.sparkSession
     n = buckets(spark)
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard").withColumns(
+    new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    slim, restore = set_aside(docs, [doc_id, text], new)
+    docs = slim.withColumns(
         {"_key": F.unhex(F.sha2(body, 256)), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body.cast("binary"))}
     )
-    groups = docs.groupBy("_key").agg(F.sum("size").alias("_total"))
+    groups = docs.groupBy("_key").agg(F.sum("size").alias("_total"), F.count("*").alias("_rows"))
     salted = stage(groups.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(n)).cast("int")), "groups")
     cells = salted.groupBy("_total", "_salt").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_total").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -84,16 +86,13 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
         salted.join(cells, ["_total", "_salt"])
         .withColumn("_rank", rank)
         .join(broadcast_if_small(dealt), "_total")
-        .select("_key", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).cast("int").alias("shard"))
+        .select("_key", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).cast("int").alias("shard"), "_rows")
     )
-    out = docs.join(placed, "_key").withColumn("_cell", F.pmod(F.xxhash64(F.col(doc_id), F.col("_key")), F.lit(n)).cast("int"))
+    out = join_unique(docs, stage(placed, "placed"), "_key", "_rows").withColumn("_cell", F.pmod(F.xxhash64(F.col(doc_id), F.col("_key")), F.lit(n)).cast("int"))
     per = out.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))
     first = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # shards * n rows, whatever the input.
     per = F.broadcast(per.select("shard", "_cell", first.alias("_first")))
     slot = F.col("_first") + F.row_number().over(Window.partitionBy("shard", "_cell").orderBy(doc_id, "_key")) - 1
-    return (
-        out.join(per, ["shard", "_cell"])
-        .withColumns({"slot": slot.cast("long"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-        .drop("_key", "_cell", "_first")
-    )
+    out = out.join(per, ["shard", "_cell"]).withColumns({"slot": slot.cast("long"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    return restore(out, *new)

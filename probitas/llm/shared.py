@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, stage
+from .common import buckets, join_unique, release, stage
 from .hashing import U
 
 SCHEMA = "bucket int, kind int, batch long, doc_id long, key long, hashes binary, owners binary"
@@ -90,6 +90,8 @@ def shared_hashes(docs: DataFrame, of: Callable[[bytes], np.ndarray]) -> DataFra
                     held, ids, size, number = [], [], 0, number + 1
         if held:
             yield flush()
+        del held
+        release()
 
     def match(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
@@ -130,7 +132,8 @@ def shared_hashes(docs: DataFrame, of: Callable[[bytes], np.ndarray]) -> DataFra
     found = docs.select("doc_id", "key", "text").mapInArrow(send, SCHEMA).repartition(n, "bucket").groupBy("bucket").applyInArrow(match, SCHEMA)
     found = stage(found, "shared")
 
-    return stage(found.filter(F.col("batch").isNotNull() & (F.col("kind") != SENT)).groupBy("batch").applyInArrow(assemble, "doc_id long, key long, shared array<binary>"), "sharing")
+    sharing = found.filter(F.col("batch").isNotNull() & (F.col("kind") != SENT)).groupBy("batch").applyInArrow(assemble, "doc_id long, key long, shared array<binary>")
+    return stage(sharing, "sharing", [found])
 
 
 def is_shared(h: np.ndarray, shared: list[bytes]) -> np.ndarray:
@@ -142,6 +145,7 @@ def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text is that of a smaller doc_id: found by a partial aggregation over 32-byte hashes."""
     docs = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     digest = stage(docs.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha")), "digest")
-    least = digest.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter(F.col("least") < F.col("most"))
-    copies = digest.join(least, "sha").filter(F.col("doc_id") > F.col("least")).select("doc_id", "key").distinct()
-    return docs, stage(copies, "copies")
+    least = digest.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("rows")).filter(F.col("least") < F.col("most"))
+    least = stage(least.drop("most"), "least")
+    copies = join_unique(digest, least, "sha", "rows").filter(F.col("doc_id") > F.col("least")).select("doc_id", "key").distinct()
+    return docs, stage(copies, "copies", [digest, least])

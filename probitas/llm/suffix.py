@@ -10,8 +10,9 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import broadcast_if_small, buckets, stage
+from .common import broadcast_if_small, buckets, set_aside, stage
 from .hashing import BYTE_VALUES, U, anchor_of_windows, minimizers, window_hashes
 from .shared import first_copies, is_shared, shared_hashes
 
@@ -204,11 +205,12 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
     neither lose bytes nor make others lose them; rows of equal doc_id do not remove each other. Empty tables
     give an empty result; other columns pass through, those of the new names are replaced.
     """
-    new = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs", "copy"]
-    fields = [f for f in docs.drop(*new).schema.fields if rewrite or f.name != "text"]
-    docs, copies, runs = find_repeats(docs.drop(*new))
-    joined = docs.join(broadcast_if_small(copies.withColumn("copy", F.lit(True)).transform(stage, "copies")), ["doc_id", "key"], "left").join(runs, ["doc_id", "key"], "left")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    slim, restore = set_aside(docs, ["doc_id", "text"], new)
+    fields = [f for f in slim.schema.fields if rewrite or f.name != "text"]
+    slim, copies, runs = find_repeats(slim)
+    joined = slim.join(broadcast_if_small(copies.withColumn("copy", F.lit(True)).transform(stage, "copies")), ["doc_id", "key"], "left").join(runs, ["doc_id", "key"], "left")
+    schema = StructType([*fields, *(StructField(c, StringType() if c == "kept_sha256" else LongType()) for c in new)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +235,7 @@ def remove_repeats(docs: DataFrame, rewrite: bool = False) -> DataFrame:
             columns |= {n: pa.array(c, pa.int64()) for n, c in zip(["n_bytes", "n_removed", "n_spans"], out, strict=False)}
             yield pa.RecordBatch.from_pydict(columns | {"kept_sha256": pa.array(out[3], pa.string())})
 
-    return joined.mapInArrow(cut, schema)
+    return restore(joined.mapInArrow(cut, schema), *new)
 
 
 def run_spans(runs: list[dict], width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -237,13 +237,24 @@ def test_signatures_lose_nothing(exact, deletion):
         assert len(np.intersect1d(x, y)) >= max(n, m, 1)
 
 
-@pytest.mark.parametrize("rows,pairs,size", [(40, 20, 4000), (7, 3, 100)])
-def test_jaccard_in_small_blocks(spark, docs, texts, monkeypatch, rows, pairs, size):
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for n, m, both in [(5, 9, 4), (100, 118, 95), (1000, 1100, 100), (3, 900, 2), (4000, 4000, 3999)]:
+        pool = rng.integers(0, 2**63, n + m).astype(np.uint64)
+        x, y = np.unique(pool[:n]), np.unique(pool[n - both : n - both + m])
+        differ = len(np.setxor1d(x, y))
+        bound = jaccard.least_difference(jaccard.parities(x)[4:], jaccard.parities(y)[4:])
+        assert bound <= differ and (m > 2 * n or bound >= 0.6 * differ)  # tight where the sizes are near
+
+
+@pytest.mark.parametrize("rows,pairs,size,steps", [(40, 20, 4000, ("across", "spanning", "all")), (7, 3, 100, ("all",))])
+def test_jaccard_in_small_blocks(spark, docs, texts, monkeypatch, rows, pairs, size, steps):
     """Blocks dealt to parts, tiled signatures, verification in many cells: the same components."""
     monkeypatch.setattr(jaccard, "SEARCH_ROWS", rows)
     monkeypatch.setattr(jaccard, "BLOCK_PAIRS", pairs)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
-    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "STEPS", steps)
+    monkeypatch.setattr(jaccard, "FOREST_PAIRS", 5)
     rng = np.random.default_rng(11)
     base = [f"g{i}" for i in range(90)]
     near = []
@@ -544,14 +555,38 @@ def test_empty_tables(spark, none, sf):
     assert decontam.find_contained(none.limit(0), bench.limit(0)).count() == 0
 
 
-def test_clashing_columns(spark, docs):
+HIDDEN = ["key", "_key", "runs", "copy", "shared", "bucket", "_cell", "_salt", "_total", "_rows", "_words", "_lines", "m_repeat", "_lang", "_f0", "_rest", "_", "rest", "_hash", "_top", "_id", "set_id", "component", "block", "a b"]
+
+
+def test_clashing_columns(spark, docs, sf):
+    """A column named like a result's is replaced; all others, whatever their names, come back as they went in."""
     from pyspark.sql import functions as F
 
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     few = docs.filter("doc_id < 30")
-    for name, f in {"size": sharding.shard_documents, "n_words": quality.apply_rules, "spans": pii.scan, "score": langid.identify, "runs": suffix.remove_repeats, "copy": debruijn.remove_repeats}.items():
-        extra = few.withColumn(name, F.lit("mine")).withColumn("other", F.array(F.lit(1)))
+    mine = {c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in HIDDEN}
+    ops = {
+        "size": sharding.shard_documents, "n_words": quality.apply_rules, "spans": pii.scan, "score": langid.identify, "n_removed": suffix.remove_repeats, "kept_sha256": debruijn.remove_repeats,
+        "n_shared": lambda d: decontam.remove_contaminated(d, bench), "n_shingles": jaccard.keep_one,
+    }
+    for name, f in ops.items():
+        extra = few.withColumns({**mine, "other": F.array(F.lit(1)), name: F.lit("mine")})
         out = f(extra)
-        assert out.columns.count(name) <= 1 and "other" in out.columns and out.count() == few.count()
+        assert len(set(out.columns)) == len(out.columns) and out.columns.count(name) == 1
+        rows = out.select("doc_id", "other", *[F.col(f"`{c}`") for c in HIDDEN]).collect()
+        assert rows and all(r["other"] == [1] and all(r[c] == f"{c}:{r['doc_id']}" for c in HIDDEN) for r in rows)
+    extra = few.withColumns({**mine, "item_id": F.lit("mine"), "start": F.lit("mine"), "n": F.lit(1)})
+    assert decontam.find_contained(extra, bench).count() == decontam.find_contained(few, bench).count()
+    assert jaccard.find_components(extra).count() == packing.pack_documents(extra).select("doc_id").distinct().count() == store.store_documents(extra).count() == few.count()
+
+
+def test_contamination_is_of_a_text(spark):
+    """Another text of a contaminated one's id stays."""
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"Before it {item} after"), (7, "something else that is clean"), (8, None), (None, item)], "doc_id long, text string")
+    left = rows_of(decontam.remove_contaminated(docs, bench))
+    assert Counter(left) == Counter([(7, "something else that is clean"), (8, None), (None, item)])
 
 
 def test_hash_helpers():

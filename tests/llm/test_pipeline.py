@@ -76,3 +76,17 @@ def test_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_stages_keep_foreign_columns(spark, folder):
+    """Columns named like the operators' own come back as they went in, by every stage that returns documents."""
+    from pyspark.sql import functions as F
+
+    names = ["score", "held_out", "lang_pred", "spans", "n_email", "n_added", "key", "_key", "_rest", "component", "n_shingles", "item_id"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 40").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == docs.count()
