@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, buckets, join_unique, release, stage, unstage
+from .common import broadcast_if_small, buckets, join_unique, release, set_aside, stage, unstage
 from .components import connected_components, extend_components
 from .hashing import U, mix, window_hashes, word_hashes
 from .shared import shared_hashes
@@ -93,30 +93,33 @@ def signatures(h: np.ndarray, band: int, exact: int, deletion: int, spare: int =
     return np.concatenate(out), -(-need // 2) if deletion else need
 
 
-def histogram(h: np.ndarray) -> bytes:
-    """The set's size in four bytes, and counts of its hashes in a quarter as many cells as it has members, up to a
-    power of two; 255 stands for more."""
-    cells = 1 << max(6, (len(h) - 1).bit_length() - 2)
-    return len(h).to_bytes(4, "little") + np.minimum(np.bincount((h & U(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+def parities(h: np.ndarray) -> bytes:
+    """The set's size in four bytes, and the parity of the number of its hashes in each of four to eight cells a
+    member (a power of two, a bit each)."""
+    cells = 1 << max(6, (4 * len(h) - 1).bit_length())
+    odd = (np.bincount((h & U(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)
+    return len(h).to_bytes(4, "little") + np.packbits(odd, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities (64-bit words along the last axis) of as many cells as ``words`` hold: those of halves are their xor."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of how many members two sets do not share, from their histograms."""
-    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
-    while len(x) != len(y):
-        if len(x) > len(y):
-            x = x[: len(x) // 2] + x[len(x) // 2 :]
-        else:
-            y = y[: len(y) // 2] + y[len(y) // 2 :]
-    if max(x.max(initial=0), y.max(initial=0)) >= 255:
-        return 0
-    return int(np.abs(x - y).sum())
+    """A lower bound of how many members two sets do not share: their cells of different parity."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
 
 
 def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Four staged tables: (doc_id, key, n_shingles, set_id) of all rows, set_id a 64-bit name of the shingle set
     (null if empty); (set_id, least, rows) with each set's smallest doc_id and number of rows; (sig, set_id, n, own,
-    need) of the signatures that several sets have, own where the band is the set's; (set_id, body, histogram) with
+    need) of the signatures that several sets have, own where the band is the set's; (set_id, body, parities) with
     the shingle hashes of the sets that have any.
     """
     docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -129,6 +132,7 @@ def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame,
                 sizes.append(len(h))
                 names.append(set_name(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "key", "n_shingles", "set_id"])
+        release()
 
     sets = stage(docs.select("doc_id", "key", "text").mapInArrow(digest, "doc_id long, key long, n_shingles long, set_id long"), "sets")
     named = sets.filter(F.col("set_id").isNotNull())
@@ -173,13 +177,14 @@ def link_sets(docs: DataFrame, k: int = 4, share: int = 85) -> tuple[DataFrame,
                         found[which], least[which] = s.view(np.int64).tolist(), need
                 if not any(found):
                     continue
-                for column, x in zip((ids, sizes, bodies, cells, sigs, below, needs), (set_name(h), len(h), h.tobytes(), histogram(h), *found, least), strict=True):
+                for column, x in zip((ids, sizes, bodies, cells, sigs, below, needs), (set_name(h), len(h), h.tobytes(), parities(h), *found, least), strict=True):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, sizes, bodies, cells, sigs, below, needs), kinds, strict=True)], ["set_id", "n", "body", "histogram", "own", "below", "needs"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, sizes, bodies, cells, sigs, below, needs), kinds, strict=True)], ["set_id", "n", "body", "parities", "own", "below", "needs"])
+        release()
 
     # joined by a shuffle at any size: both sides grow with the corpus
-    content = stage(single.join(sharing, ["doc_id", "key"]).mapInArrow(describe, "set_id long, n long, body binary, histogram binary, own array<long>, below array<long>, needs array<int>"), "content")
+    content = stage(single.join(sharing, ["doc_id", "key"]).mapInArrow(describe, "set_id long, n long, body binary, parities binary, own array<long>, below array<long>, needs array<int>"), "content")
     part = lambda c: content.select(F.explode(c).alias("sig"), "set_id", "n", F.lit(c == "own").alias("own"), F.get("needs", F.lit(int(c != "own"))).alias("need"))
     rows = stage(part("own").unionByName(part("below")).distinct(), "signatures", [others, sharing])
     rows = stage(rarest(rows), "rarest", [rows])
@@ -238,7 +243,7 @@ def by_blocks(pairs: DataFrame, content: DataFrame, column: str, alike: Callable
 def verify(pairs: DataFrame, content: DataFrame, share: int) -> DataFrame:
     """Those of the staged ``pairs`` (a, b) whose sets are alike, exactly.
 
-    Histograms of some thirtieth of the sets' size are held together first: their distance is never above the sets'
+    Parities of some tenth of the sets' size are held together first: their distance is never above the sets'
     difference, so what they refuse is not alike. Only for what they let pass the sets are brought together.
     """
 
@@ -246,7 +251,7 @@ def verify(pairs: DataFrame, content: DataFrame, share: int) -> DataFrame:
         x, y = bytes(x), bytes(y)
         return (100 + share) * least_difference(x[4:], y[4:]) <= (100 - share) * (int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little"))
 
-    return by_sets(by_blocks(pairs, content, "histogram", may_be, "passed"), content, share)
+    return by_sets(by_blocks(pairs, content, "parities", may_be, "passed"), content, share)
 
 
 def by_sets(pairs: DataFrame, content: DataFrame, share: int) -> DataFrame:
@@ -285,11 +290,10 @@ def open_signatures(rows: DataFrame, component: DataFrame) -> DataFrame:
     return stage(labelled.join(ends, "sig"), "open", [rows])
 
 
-def across(open_: DataFrame, share: int, step: int) -> DataFrame:
+def across(open_: DataFrame, share: int) -> DataFrame:
     """For each open row one pair: with an end of its signature's components that is not its own."""
-    first, other = ("low", "high") if step % 2 == 0 else ("high", "low")
-    end = F.when(F.col("component") != F.col(f"{first}.component"), F.col(first)).otherwise(F.col(other))
-    met = open_.withColumn("end", end).select(F.col("set_id").alias("a"), F.col("end.set_id").alias("b"), F.col("n"), F.col("end.n").alias("m"), (F.col("own") | F.col("end.own")).alias("ok"), F.col("component") != F.col("end.component"))
+    end = F.when(F.col("component") != F.col("low.component"), F.col("low")).otherwise(F.col("high"))
+    met = open_.withColumn("end", end).select(F.col("set_id").alias("a"), F.col("end.set_id").alias("b"), "n", F.col("end.n").alias("m"), (F.col("own") | F.col("end.own")).alias("ok"))
     return _pairs(met.filter(_fits(share) & F.col("ok")))
 
 
@@ -300,7 +304,7 @@ SEARCH_ROWS = 20_000
 def search_blocks(open_: DataFrame) -> DataFrame:
     """(block, part, sig, set_id, component): the open rows dealt to the tasks of the last search.
 
-    Signatures are gathered in blocks by the smallest component they hold, so that a set and its histogram go to
+    Signatures are gathered in blocks by the smallest component they hold, so that a set and its parities go to
     few blocks; a block of more than SEARCH_ROWS rows is dealt to parts by signature, so a row is in one part. Only
     a single signature of more than SEARCH_ROWS sets is tiled: each set goes to the parts of all pairs of tiles that
     hold its own, and each pair of sets meets in one at least.
@@ -319,15 +323,37 @@ def search_blocks(open_: DataFrame) -> DataFrame:
     return common.unionByName(tiled)
 
 
-def search(open_: DataFrame, content: DataFrame, share: int) -> DataFrame:
-    """Staged (a, b): all pairs of open rows of different components whose histograms allow them to be alike.
+#: Pairs that a task of the last search holds before it cuts them to a forest.
+FOREST_PAIRS = 200_000
+
+
+def forest(label: np.ndarray, x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y), nearest first, join components (``label``) that those before do not: a spanning
+    forest, so of a forest and more pairs again."""
+    up = {c: c for c in label.tolist()}
+    out = []
+    for i in np.argsort(apart, kind="stable").tolist():
+        a, b = int(label[x[i]]), int(label[y[i]])
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[a] = b
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def search(open_: DataFrame, content: DataFrame, share: int, spanning: bool) -> DataFrame:
+    """Staged (a, b): the pairs of open rows of different components whose parities allow them to be alike.
 
     In a block each set outside the largest component is held against all members of its signatures at once;
-    pairs that fail are never rows of a table.
+    pairs that fail are never rows of a table. ``spanning``: only as many of each block as would join its components,
+    the nearest by parities.
     """
     spread = search_blocks(open_)
     ends = spread.select(F.col("block").alias("at"), F.col("part").alias("of"), F.col("set_id").alias("member")).distinct()
-    needed = ends.join(content.select(F.col("set_id").alias("member"), "histogram"), "member").select("at", "of", "member", "histogram")
+    needed = ends.join(content.select(F.col("set_id").alias("member"), "parities"), "member").select("at", "of", "member", "parities")
 
     def test(left: pa.Table, right: pa.Table) -> pa.Table:
         sig, ids, component = (left.column(c).to_numpy() for c in ("sig", "set_id", "component"))
@@ -341,15 +367,16 @@ def search(open_: DataFrame, content: DataFrame, share: int) -> DataFrame:
         group[order] = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         by_set = np.argsort(who, kind="stable")
         own = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(names)))])
-        held = dict(zip(right.column("member").to_pylist(), right.column("histogram").to_pylist(), strict=True))
+        held = dict(zip(right.column("member").to_pylist(), right.column("parities").to_pylist(), strict=True))
         size = np.array([int.from_bytes(held[i][:4], "little") for i in names.tolist()])
-        cells = np.array([len(held[i]) - 4 for i in names.tolist()])
+        cells = np.array([(len(held[i]) - 4) // 8 for i in names.tolist()])
         tables, place = {}, np.zeros(len(names), np.int64)
         for c in np.unique(cells).tolist():
             at = np.flatnonzero(cells == c)
             place[at] = np.arange(len(at))
-            tables[c] = np.frombuffer(b"".join(held[i][4:] for i in names[at].tolist()), np.uint8).reshape(len(at), c)
-        found: tuple[list[int], list[int]] = ([], [])
+            tables[c] = np.frombuffer(b"".join(held[i][4:] for i in names[at].tolist()), np.uint64).reshape(len(at), c)
+        pairs = np.empty((3, 0), np.int64)
+        more: list[np.ndarray] = []
         for x in np.flatnonzero(label != kinds[count.argmax()]).tolist():
             met = np.zeros(len(names), bool)
             for g in group[by_set[own[x] : own[x + 1]]].tolist():
@@ -357,27 +384,28 @@ def search(open_: DataFrame, content: DataFrame, share: int) -> DataFrame:
             met &= (label != label[x]) & (100 * np.minimum(size, size[x]) >= share * np.maximum(size, size[x]))
             for c, table in tables.items():
                 y = np.flatnonzero(met & (cells == c))
-                mine, theirs = tables[int(cells[x])][place[x]].astype(np.int16), table[place[y]].astype(np.int16)
-                capped = (mine >= 255).any() | (theirs >= 255).any(1)
-                while len(mine) > theirs.shape[1]:
-                    mine = mine[: len(mine) // 2] + mine[len(mine) // 2 :]
-                while theirs.shape[1] > len(mine):
-                    half = theirs.shape[1] // 2
-                    theirs = theirs[:, :half] + theirs[:, half:]
-                apart = np.abs(theirs - mine).sum(1, dtype=np.int64)
-                good = y[((100 + share) * apart <= (100 - share) * (size[x] + size[y])) | capped]
-                found[0].extend(np.minimum(names[good], names[x]).tolist())
-                found[1].extend(np.maximum(names[good], names[x]).tolist())
+                words = min(c, int(cells[x]))
+                apart = np.bitwise_count(folded(table[place[y]], words) ^ folded(tables[int(cells[x])][place[x]], words)).sum(1, dtype=np.int64)
+                good = (100 + share) * apart <= (100 - share) * (size[x] + size[y])
+                more.append(np.stack([np.full(good.sum(), x), y[good], apart[good]]))
+            if sum(m.shape[1] for m in more) > FOREST_PAIRS or len(more) > FOREST_PAIRS // 10:
+                pairs, more = np.concatenate([pairs, *more], axis=1), []
+                if spanning:
+                    pairs = pairs[:, forest(label, *pairs)]
+        pairs = np.concatenate([pairs, *more], axis=1)
+        if spanning:
+            pairs = pairs[:, forest(label, *pairs)]
+        left_, right_ = names[pairs[0]], names[pairs[1]]
         del held, tables
         release()
-        return pa.table([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+        return pa.table([pa.array(np.minimum(left_, right_)), pa.array(np.maximum(left_, right_))], names=["a", "b"])
 
     pairs = spread.groupBy("block", "part").cogroup(needed.groupBy("at", "of")).applyInArrow(test, "a long, b long")
     return stage(pairs.distinct(), "search")
 
 
-#: Rounds of one pair for each open row before what is still open is searched.
-ROUNDS = 1
+#: What is done about signatures that are open still: a pair for each row, a search of the nearest, one of all pairs.
+STEPS = ("across", "spanning", "all")
 
 
 def find_components(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
@@ -385,27 +413,28 @@ def find_components(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
 
     Documents link when the Jaccard similarity of their sets of k-word shingles (A-Z lower-cased) is at least
     ``share`` percent; component_id is the smallest doc_id reachable. Equal sets are one node. Signatures tell
-    candidates; each is verified exactly: every set with its likeliest partner first, then, in rounds, each set
-    with one of another component that still shares a signature, at last all pairs between components that do.
-    So a group alike, which is one component by then, is never made into all its pairs. Texts without words (null ones too) have an empty set and stay alone; null doc_ids can link
-    others and get the smallest id they reach (null where none); repeated rows get the same row each. Empty
-    tables give an empty result.
+    candidates; each is verified exactly: every set with its likeliest partner first, then each set with one of
+    another component that still shares a signature, then the nearest pairs that would join the components that do,
+    at last all pairs between components that still do. So a group alike, which is one component by then, is never
+    made into all its pairs. Texts without words (null ones too) have an empty set and stay alone; null doc_ids can
+    link others and get the smallest id they reach (null where none); repeated rows get the same row each; columns
+    other than doc_id and text are not read, whatever their names. Empty tables give an empty result.
     """
     sets, stands, rows, content = link_sets(docs, k, share)
     tested = likeliest(rows, share)
     component = stage(connected_components(verify(tested, content, share)), "components")
-    for step in range(ROUNDS + 1):
+    for step in STEPS:
         open_ = open_signatures(rows, component)
         if open_.isEmpty():
             break
-        if step < ROUNDS:
-            rows = stage(open_.select(*rows.columns), "rows")  # signatures once closed stay closed
-            new = verify(stage(across(open_, share, step), "pairs", []), content, share)
-            unstage(open_)
+        rows = stage(open_.select(*rows.columns), "rows")  # signatures once closed stay closed
+        if step == "across":
+            new = verify(stage(across(open_, share), "pairs"), content, share)
         else:
-            new = by_sets(search(open_, content, share), content, share)
-            unstage(open_)
+            new = by_sets(search(open_, content, share, step == "spanning"), content, share)
         component = extend_components(component, new)
+        unstage(open_)
+    unstage(rows)
     unstage(content)
     labels = stands.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("_c", F.coalesce("component", "set_id")).select("set_id", "least", "rows", "_c")
     labels = stage(labels, "labels")
@@ -423,11 +452,10 @@ def keep_one(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     a null doc_id. Columns are those of ``docs``.
     """
     found = find_components(docs, k, share)
-    drop = stage(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "drop")
+    drop = stage(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("key").alias("_key")).distinct(), "drop")
     often = stage(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "often")
-    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
-    out = docs.join(broadcast_if_small(drop), same, "left_anti")
+    slim, restore = set_aside(docs, ["doc_id", "text"])
+    out = slim.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(broadcast_if_small(drop), ["doc_id", "_key"], "left_anti")
     if often.isEmpty():
-        return out.select(*docs.columns)
-    once = out.join(broadcast_if_small(often), "doc_id", "left_anti").unionByName(out.join(broadcast_if_small(often), "doc_id", "left_semi").distinct())
-    return once.select(*docs.columns)
+        return restore(out)
+    return restore(out.join(broadcast_if_small(often), "doc_id", "left_anti").unionByName(out.join(broadcast_if_small(often), "doc_id", "left_semi").distinct()))
