@@ -89,6 +89,21 @@ def release() -> None:
         pass
 
 
+def regrouped(batches: Iterable, size: int = 8 << 20) -> Iterable:
+    """Arrow batches put together until they hold ``size`` bytes: fewer, larger ones where rows are short."""
+    import pyarrow as pa
+
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield pa.concat_batches(held)
+            held, held_bytes = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: A key is hot when it has more than this share of all rows: there are fewer such keys than its inverse.
 HOT_SHARE = 1000
 

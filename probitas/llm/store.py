@@ -9,17 +9,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, new_folder, running_total
+from .common import buckets, join_unique, new_folder, regrouped, release, stage
 from .hashing import U, mix
 from .tokens import default_path, load
 
-#: Chunks end where the rolling hash of the last ROLL ids has its low MASK_BITS bits zero: some 600 ids on average,
+#: Chunks end where the rolling hash of the last ROLL ids has its low MASK_BITS bits zero: some 300 ids on average,
 #: and within the two bounds.
-ROLL, MASK_BITS, LEAST, MOST = 16, 9, 128, 4096
+ROLL, MASK_BITS, LEAST, MOST = 16, 8, 64, 2048
 END_ID = 1
+#: Documents of a block of the manifest's tree.
+BLOCK = 1024
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -51,101 +53,135 @@ def merkle(hashes: list[bytes]) -> bytes:
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Write the ids of all ``docs`` (doc_id, text) under ``path``.
 
-    One table of chunks in Parquet: hash, n_ids, payload (little-endian ids, null where another row holds the
-    chunk), and the place that uses it: row (a number of the document's row), doc_id, number. A task sends the
-    payload of a chunk once; rows with payload meet by hash and one keeps it; rows without are spread by
-    place, so a chunk that very many documents share brings one row from each task to its hash and no more.
-    Chunks are uint16 where the vocabulary allows, else uint32.
+    * ``chunks``: hash, n_ids and payload (little-endian ids, uint16 where the vocabulary allows, else uint32) of each
+      distinct chunk, once. A task sends a payload once; equal ones meet by hash and one is kept.
+    * ``recipes``: the documents in ascending doc_id order (nulls first, repeats of an id by their content): part and
+      seq, their place; at, the ids before it in its part; n_tokens; hashes and sizes of its chunks; root, the Merkle
+      root over the hashes. A file holds one part, parts ascend.
+    * ``manifest``: by part its start (ids before it), n_docs, n_ids and root, over its documents' roots by blocks of
+      BLOCK; and a row without part for the corpus, with the root over the parts.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_path()
-    schema = "row long, doc_id long, number int, hash binary, n_ids int, payload binary, deal long"
+    schema = "doc_id long, n_tokens long, hash binary, payload binary, hashes array<binary>, sizes array<int>, root binary, deal long"
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.int64())
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         tok = load(tokenizer)
-        row = TaskContext.get().partitionId() << 40
         sent: set[bytes] = set()
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+        for batch in regrouped(batches):
+            rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tok.ids_of(batch.column(1).to_pylist()), strict=True):
-                ids = np.concatenate([ids, np.array([end_id], tok.kind)])
-                past = 0
-                for number, end in enumerate(cuts(ids)):
-                    payload = ids[past:end].tobytes()
+                ids = np.append(ids, tok.kind(end_id))
+                raw, width = ids.tobytes(), ids.itemsize
+                ends = cuts(ids)
+                sizes = np.diff(ends, prepend=0).tolist()
+                hashes = []
+                for end, n in zip(ends, sizes, strict=True):
+                    payload = raw[(end - n) * width : end * width]
                     h = hashlib.blake2b(payload, digest_size=16).digest()
-                    first = h not in sent
-                    if first:
+                    hashes.append(h)
+                    if h not in sent:
                         if len(sent) > 1_000_000:  # forgetting costs a repeated payload, not a wrong result
                             sent.clear()
                         sent.add(h)
-                    deal = int.from_bytes(h[:7], "big") if first else hash((row, number))
-                    for column, x in zip(out, (row, doc_id, number, h, end - past, payload if first else None, deal), strict=True):
-                        column.append(x)
-                    past = end
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["row", "doc_id", "number", "hash", "n_ids", "payload", "deal"])
+                        rows.append((None, n, h, payload, None, None, None, int.from_bytes(h[:7], "big")))
+                root = merkle(hashes)
+                rows.append((doc_id, len(ids), None, None, hashes, sizes, root, int.from_bytes(root[:7], "little") ^ (doc_id or 0)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        release()
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            hashes, payloads = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-            for i, h in enumerate(hashes):
-                if payloads[i] is not None:
-                    if h == last:
-                        payloads[i] = None
-                    last = h
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(payloads, pa.binary())], batch.schema.names[:6])
+            hashes = batch.column(2).to_pylist()
+            keep = [h is None or h != x for h, x in zip(hashes, [last, *hashes], strict=False)]
+            last = hashes[-1] if hashes else last
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["deal"])
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(chunked, schema).repartition(buckets(spark, 8), "deal")
-    kept = dealt.sortWithinPartitions(F.col("payload").isNull(), "hash", "row", "number").mapInArrow(once, schema.replace(", deal long", ""))
+    kept = dealt.sortWithinPartitions("hash").mapInArrow(once, schema.replace(", deal long", ""))
+    # the chunks, and the recipes on their way to their order
     kept.write.option("compression", "zstd").parquet(f"{path}/chunks")
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def crc32_shift(n: int) -> tuple[int, ...]:
-    """The 32 by 32 bit matrix by which ``n`` zero bytes change a crc32."""
-    step = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit
-    out = [1 << i for i in range(32)]
-    times = lambda m, v: _times(m, v)
-    n *= 8
-    while n:
-        if n & 1:
-            out = [times(step, v) for v in out]
-        step = [times(step, v) for v in step]
-        n >>= 1
-    return tuple(out)
-
-
-def _times(matrix: list[int] | tuple[int, ...], v: int) -> int:
-    out = i = 0
-    while v:
-        if v & 1:
-            out ^= matrix[i]
-        v >>= 1
-        i += 1
-    return out
+        part, seq, at = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            before = at + np.cumsum(n) - n
+            place = [pa.array(np.full(len(n), part), pa.int32()), pa.array(np.arange(seq, seq + len(n)), pa.int64()), pa.array(before, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*place, *batch.columns], RECIPE_NAMES)
+            seq, at = seq + len(n), at + int(n.sum())
 
+    recipes = spark.read.parquet(f"{path}/chunks").filter("payload is null").select("doc_id", "n_tokens", "hashes", "sizes", "root")
+    recipes.orderBy("doc_id", "root").mapInArrow(numbered, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    parts = part_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes"))
+    # one row a part: as many as spark.sql.shuffle.partitions at most
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    parts = parts.withColumn("start", before).select(*MANIFEST_NAMES)
+    whole = parts.transform(corpus_root)
+    parts.unionByName(whole).coalesce(1).write.option("compression", "zstd").parquet(f"{path}/manifest")
 
-_SHIFTS: dict[int, tuple[int, ...]] = {}
 
+RECIPES = "part int, seq long, at long, doc_id long, n_tokens long, hashes array<binary>, sizes array<int>, root binary"
+RECIPE_NAMES = [c.split()[0] for c in RECIPES.split(", ")]
+MANIFEST_NAMES = ["part", "start", "n_docs", "n_ids", "root"]
 
-def crc32_join(a: int, b: int, n: int) -> int:
-    """crc32(x + y) from crc32(x), crc32(y) and the length of y."""
-    if n not in _SHIFTS:
-        _SHIFTS[n] = crc32_shift(n)
-    return _times(_SHIFTS[n], a) ^ b
+
+def _tree(order: str, leaf: Column) -> Column:
+    """The hash over the leaves of a group, in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), leaf.alias("h")))), lambda x: x["h"]), ""), 256)
+
+
+def part_roots(recipes: DataFrame) -> DataFrame:
+    """(part, n_docs, n_ids, root) of recipes: blocks of BLOCK documents are hashed, then the blocks of each part."""
+    leaf = F.sha2(F.concat_ws(":", F.hex("root"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("at").cast("string"), F.col("n_tokens").cast("string")), 256)
+    blocks = recipes.groupBy("part", F.floor(F.col("seq") / BLOCK).alias("block")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("ids"), _tree("seq", leaf).alias("hash"))
+    return blocks.groupBy("part").agg(F.sum("n").alias("n_docs"), F.sum("ids").alias("n_ids"), _tree("block", F.col("hash")).alias("root"))
+
+
+def corpus_root(parts: DataFrame) -> DataFrame:
+    one = parts.agg(F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids"), _tree("part", F.concat_ws(":", "root", F.col("start").cast("string"))).alias("root"))
+    return one.select(F.lit(None).cast("int").alias("part"), F.lit(0).cast("long").alias("start"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), F.coalesce("n_ids", F.lit(0)).cast("long").alias("n_ids"), "root")
+
+
+def crc32_shifted(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """The crc32 register ``crc`` after as many zero bytes: crc32(x + y) is crc32(x) shifted by the length of y, xor
+    crc32(y). Polynomials modulo the crc's, in reversed bits, multiplied by x ** (8 * zeros), all at once."""
+    out, power, bits = crc.astype(np.uint32), np.uint32(1 << 23), zeros.astype(np.uint64)  # 1 << 23: x ** 8
+    while bits.any():
+        out = np.where(bits & U(1), _times(out, power), out)
+        power = _times(np.array([power]), power)[0]
+        bits = bits >> U(1)
+    return out
+
+
+def _times(a: np.ndarray, b: np.uint32) -> np.ndarray:
+    """Products of the polynomials ``a`` and ``b``; the highest bit is the coefficient of x ** 0."""
+    out = np.zeros_like(a)
+    for i in range(31, -1, -1):
+        if int(b) >> i & 1:
+            out ^= a
+        a = (a >> np.uint32(1)) ^ np.where(a & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return out
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks, root) of each document, from the files.
 
-    Every stored chunk is read, its content is held against its hash and gives its crc32; recipes take the
-    chunks' digests by hash, check that none is missing and fold them to the document's. The Merkle root is
-    made from the recipe. Documents are in ascending doc_id order (nulls first; repeats of an id by row).
+    Every stored chunk is read and held against its hash; every recipe takes its chunks' digests by hash. Any
+    difference raises: a chunk that is missing or not of its content, a recipe whose root, size or number of chunks
+    is not that of its chunks, recipes that do not give their part's root in the manifest, parts that do not give the
+    corpus's.
     """
-    chunks = spark.read.parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/chunks").filter("payload is not null")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    manifest = spark.read.schema("part int, start long, n_docs long, n_ids long, root string").parquet(f"{path}/manifest")
+    parts = manifest.filter("part is not null")
+    check_manifest(recipes, parts, manifest)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,59 +191,69 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"chunk {h.hex()} does not have the content it is named by")
                 width = len(payload) // n
                 crcs.append(zlib.crc32(payload if width == 4 else np.frombuffer(payload, "<u2").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64())], ["hash", "crc"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], ["hash", "held", "crc"])
 
-    held = chunks.filter("payload is not null").select("hash", "n_ids", "payload").mapInArrow(verify, "hash binary, crc long")
-    places = chunks.select("row", "doc_id", "number", "hash", "n_ids")
-    found = places.join(held, "hash", "left")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row, doc_id, parts in zip(b["row"], b["doc_id"], b["parts"], strict=True):
-                crc = total = 0
-                hashes = []
-                for k, part in enumerate(sorted(parts, key=lambda p: p["number"])):
-                    if part["number"] != k or part["crc"] is None:
-                        raise ValueError(f"document {doc_id}: chunk {k} is missing")
-                    crc = crc32_join(crc, int(part["crc"]), 4 * part["n_ids"])
-                    total += part["n_ids"]
-                    hashes.append(part["hash"])
-                out.append((row, doc_id, total, crc, len(hashes), merkle(hashes).hex()))
-            yield pd.DataFrame(out, columns=["row", "doc_id", "n_tokens", "ids_crc32", "n_chunks", "root"]).astype({"doc_id": "Int64"})
-
-    # A document's chunks: their number follows its own length.
-    recipes = found.groupBy("row", "doc_id").agg(F.collect_list(F.struct("number", "hash", "n_ids", "crc")).alias("parts"))
-    digests = recipes.mapInPandas(fold, "row long, doc_id long, n_tokens long, ids_crc32 long, n_chunks int, root string")
-    from .common import stage
-
-    return running_total(stage(digests, "digests"), ["doc_id", "row"], "n_tokens", "start").drop("row")
-
-
-def write_manifest(spark: SparkSession, path: str, digests: DataFrame) -> None:
-    """The Merkle manifest beside the chunks: one root per document, in ascending doc_id order."""
-    digests.orderBy("start").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/manifest")
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk of each recipe, with the bytes of the document after it."""
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for part, seq, n, hashes, sizes, root in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6, 7)), strict=True):
+                if merkle(hashes) != root or sum(sizes) != n or len(sizes) != len(hashes):
+                    raise ValueError(f"recipe {seq} of part {part} does not give its root")
+                left = n - np.cumsum(sizes)
+                for column, x in zip(out, ([part] * len(sizes), [seq] * len(sizes), hashes, sizes, (4 * left).tolist()), strict=True):
+                    column += x
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)], ["part", "seq", "hash", "n_ids", "after"])
+
+    def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crc = crc32_shifted(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(crc.astype(np.int64))], ["part", "seq", "crc"])
+
+    held = chunks.select("hash", F.col("n_tokens").alias("n_ids"), "payload").mapInArrow(verify, "hash binary, held long, crc long")
+    used = stage(recipes.mapInArrow(places, "part int, seq long, hash binary, n_ids int, after long"), "places")
+    held = stage(used.groupBy("hash").agg(F.count("*").alias("rows")).join(held, "hash"), "held")
+    found = join_unique(used, held, "hash", "rows").filter(F.col("held") == F.col("n_ids")).select("part", "seq", "crc", "after")
+    crcs = found.mapInArrow(shifted, "part int, seq long, crc long").groupBy("part", "seq").agg(F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_chunks"))
+    out = recipes.select("part", "seq", "at", "doc_id", "n_tokens", F.size("hashes").cast("long").alias("_n"), F.lower(F.hex("root")).alias("root")).join(crcs, ["part", "seq"], "left")
+    missing = F.raise_error(F.concat(F.lit("a chunk is missing of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    n_chunks = F.when(F.col("_n").eqNullSafe(F.col("n_chunks")), F.col("_n")).otherwise(missing.cast("long"))
+    # one row a part
+    out = out.join(F.broadcast(parts.select("part", "start")), "part")
+    return out.select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", F.when(n_chunks > 0, F.col("ids_crc32")).alias("ids_crc32"), n_chunks.cast("int").alias("n_chunks"), "root")
+
+
+def check_manifest(recipes: DataFrame, parts: DataFrame, manifest: DataFrame) -> None:
+    """Raise where the recipes are not those of the manifest, or its parts not those of its corpus row."""
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    found = part_roots(recipes).withColumn("start", before).select(*MANIFEST_NAMES)
+    for name, a, b in (("recipes", found, parts), ("parts", corpus_root(parts), manifest.filter("part is null"))):
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in MANIFEST_NAMES]
+        differ = a.alias("a").join(b.alias("b"), F.col("a.part").eqNullSafe(F.col("b.part")), "full").filter(~(same[0] & same[1] & same[2] & same[3] & same[4]))
+        if not differ.isEmpty():
+            raise ValueError(f"the {name} are not those of the manifest")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(row, doc_id, ids): the streams themselves, rebuilt from recipes and chunks."""
-    chunks = spark.read.parquet(f"{path}/chunks")
-    held = chunks.filter("payload is not null").select("hash", F.col("payload").alias("held"))
-    parts = chunks.drop("payload").join(held, "hash").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "n_ids", "held"))).alias("parts"))
+    """(part, seq, doc_id, ids): the streams themselves, rebuilt from recipes and chunks."""
+    held = spark.read.parquet(f"{path}/chunks").filter("payload is not null").select("hash", F.col("payload").alias("held"))
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    each = recipes.select("part", "seq", "doc_id", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("number", "c")).select("part", "seq", "doc_id", "number", F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n_ids"))
+    parts = each.join(held, "hash").groupBy("part", "seq", "doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "n_ids", "held"))).alias("parts"))
 
     def glue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids = [np.concatenate([np.frombuffer(p["held"], "<u2" if len(p["held"]) == 2 * p["n_ids"] else "<u4").astype(np.int64) for p in ps]) for ps in b["parts"]]
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"].astype("Int64"), "ids": ids})
+            yield pd.DataFrame({"part": b["part"], "seq": b["seq"], "doc_id": b["doc_id"].astype("Int64"), "ids": ids})
 
-    return parts.mapInPandas(glue, "row long, doc_id long, ids array<long>")
+    return parts.mapInPandas(glue, "part int, seq long, doc_id long, ids array<long>")
 
 
 def store_documents(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write ``docs`` to a store and return the digests read back from it.
 
-    A null text is the empty text (one end id). Repeated rows keep entries of their own; an empty table gives
-    an empty store and result.
+    A null text is the empty text (one end id). Repeated rows keep entries of their own, null ids come first, other
+    columns are not read; an empty table gives an empty store and result.
     """
     spark = docs.sparkSession
     path = path or new_folder(spark, "store")

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker remembers; the cache starts anew when it is full.
-CACHE_WORDS = 1_200_000
+#: Words whose ids a worker remembers: beyond, those that were not met for longest are forgotten.
+CACHE_WORDS = 800_000
+#: Characters of the texts that are numbered together.
+TEXT_CHARS = 8_000_000
 VOCABULARY = "word_bpe_49k.json"
 #: A full stop or comma that belongs to a longer run of signs, which the splitter keeps as one.
 SIGN_RUN = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,]) ")
@@ -34,51 +38,96 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.kind = np.uint16 if self.small else np.uint32
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {"": b""}
-        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) <= "\xff")]
-        for i in range(0, len(plain), 2000):
-            self.learn_plain(plain[i : i + 2000])
-        words = [w for w in words if w not in self.known]
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, self.kind).tobytes()
-
-    def learn_plain(self, plain: list[str]) -> None:
-        """Words of letters: each is one part for the splitter, so they go in one text and come apart by part."""
-        got = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-        ids, part = np.array(got.ids, self.kind), np.array(got.word_ids)
-        edge = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(ids)]
-        if len(edge) != len(plain) + 1:
-            raise ValueError("the tokenizer does not keep words apart")
-        raw, width = ids.tobytes(), ids.itemsize
-        for i, w in enumerate(plain):
-            self.known[w] = raw[edge[i] * width : edge[i + 1] * width]
-
-    def parts(self, text: str) -> list[str]:
-        text = text.replace("\n", " ") + " "
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.tokenizer.model.end_of_word_suffix or "\0")]] = True
+        self.clock = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.size = self.first = self.met = np.empty(0, np.int64)
+        self.flat = np.empty(0, self.kind)
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of new words, by the library: in which order, their ids one after another, and how many each has."""
+        marked = self.ends.any()  # a vocabulary without marks at the ends of words learns each by itself
+        alone = np.array([marked and w.isalpha() and (w.isascii() or max(w) <= "\xff") for w in words], bool)
+        order = np.argsort(~alone, kind="stable")
+        count = int(alone.sum())
+        flat, size = [], [np.empty(0, np.int64)]
+        for i in range(0, count, 2000):
+            part = [words[j] for j in order[i : min(i + 2000, count)].tolist()]
+            # words of letters: each is one part for the splitter, so they go in one text; a word's last id says so
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(part) or end[-1] != len(ids):
+                raise ValueError("the tokenizer does not keep words apart")
+            flat.append(ids)
+            size.append(np.diff(end, prepend=0))
+        for i in range(count, len(words), 2000):
+            got = self.tokenizer.encode_batch_fast([words[j] for j in order[i : i + 2000].tolist()], add_special_tokens=False)
+            flat += [np.array(x.ids, self.kind) for x in got]
+            size.append(np.array([len(x.ids) for x in got], np.int64))
+        return order, np.concatenate([np.empty(0, self.kind), *flat]), np.concatenate(size)
+
+    def lookup(self, words: pa.Array) -> np.ndarray:
+        """The places of distinct words among the known ones; the new ones are learnt together."""
+        self.clock += 1
+        if len(self.words) + len(words) > max(CACHE_WORDS, 2 * len(words)):
+            keep = np.sort(np.argsort(-self.met, kind="stable")[: CACHE_WORDS // 2])
+            each = self.size[keep]
+            end = np.cumsum(each)
+            flat = self.flat[np.repeat(self.first[keep] - (end - each), each) + np.arange(each.sum())]
+            self.words, self.size, self.first, self.met, self.flat = self.words.take(pa.array(keep)), each, end - each, self.met[keep], flat
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            order, flat, size = self.learn(new.to_pylist())
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            place[place < 0] = len(self.words) + back
+            self.words = pa.concat_arrays([self.words, new.take(pa.array(order))])
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.met = np.concatenate([self.size, size]), np.concatenate([self.met, np.zeros(len(order), np.int64)])
+            self.flat = np.concatenate([self.flat, flat])
+        self.met[place] = self.clock
+        return place
+
+    def spaced(self, text: str | None) -> str:
+        """``text`` with a blank between its parts."""
+        text = (text or "").replace("\n", " ") + " "
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return text.split(" ")
+            return text
         if "<|" in text or SIGN_RUN.search(text):
-            return text.split(" ")
-        return text.lower().replace(". ", " . ").replace(", ", " , ").split(" ")
+            return text
+        return text.lower().replace(". ", " . ").replace(", ", " , ")
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; new parts of all of them are learnt together."""
-        parts = [self.parts(t) if t else [] for t in texts]
-        new = set().union(*parts).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            new = set().union(*parts)
-        if new:
-            self.learn(sorted(new - {""}))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), self.kind) for p in parts]
+        """The ids of each text. Parts are numbered once for many texts, and only new ones become Python strings."""
+        out: list[np.ndarray] = []
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            held.append(self.spaced(text))
+            size += len(held[-1])
+            if size > TEXT_CHARS:
+                out += self.numbered(held)
+                held, size = [], 0
+        return out + self.numbered(held) if held else out
+
+    def numbered(self, spaced: list[str]) -> list[np.ndarray]:
+        parts = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        place = self.lookup(coded.dictionary)[coded.indices.to_numpy()]
+        each = self.size[place]
+        end = np.concatenate([[0], np.cumsum(each)])
+        ids = self.flat[np.repeat(self.first[place] - end[:-1], each) + np.arange(end[-1])]
+        offsets = parts.offsets.to_numpy()
+        return np.split(ids, end[offsets[1:-1] - offsets[0]])
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.ids_of([text])[0]

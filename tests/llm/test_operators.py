@@ -525,7 +525,9 @@ def test_store(spark, docs, ids, tmp_path):
     chunks = spark.read.parquet(f"{path}/chunks")
     held = chunks.filter("payload is not null").groupBy("hash").count()
     assert held.filter("count > 1").count() == 0
-    assert chunks.select("hash").distinct().count() == held.count()
+    assert spark.read.parquet(f"{path}/recipes").selectExpr("explode(hashes) as hash").distinct().count() == held.count()
+    stored = spark.read.parquet(f"{path}/recipes").orderBy("part", "seq").select("doc_id").collect()
+    assert [r["doc_id"] for r in stored] == [d for d, _ in order]  # the files are in ascending doc_id order
     back = Counter((r["doc_id"], crc(r["ids"])) for r in store.read_documents(spark, path).collect())
     assert back == Counter((d, crc([*x, 1])) for d, x in ids)
 
@@ -540,8 +542,44 @@ def test_chunks_resist_insertions():
     assert store.cuts(a[:1]) == [1]
 
 
-def test_crc_join():
-    assert store.crc32_join(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
+def test_crc_of_joined_streams():
+    rng = np.random.default_rng(8)
+    parts = [rng.bytes(int(n)) for n in (1, 5, 0, 700, 64, 100_000)]
+    after = np.cumsum([len(p) for p in parts[::-1]])[::-1] - [len(p) for p in parts]
+    shifted = store.crc32_shifted(np.array([zlib.crc32(p) for p in parts]), after)
+    assert int(np.bitwise_xor.reduce(shifted)) == zlib.crc32(b"".join(parts))
+
+
+@pytest.mark.parametrize(
+    "table,change",
+    [
+        ("chunks", "payload = reverse(payload)"), ("chunks", "gone"), ("recipes", "sizes = transform(sizes, x -> x + 1)"), ("recipes", "doc_id = doc_id + 1"),
+        ("recipes", "hashes = reverse(hashes)"), ("recipes", "at = at + 1"), ("recipes", "gone"), ("manifest", "root = concat('0', substr(root, 2))"), ("manifest", "start = start + 1"), ("manifest", "gone"),
+    ],
+)
+def test_store_tells_tampering(spark, docs, tmp_path, table, change):
+    import shutil
+
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "store")
+    store.write_store(docs.filter("doc_id < 30"), path)
+    assert store.read_digests(spark, path).count() == docs.filter("doc_id < 30").count()
+    frame = spark.read.parquet(f"{path}/{table}")
+    by = {"chunks": "hash", "recipes": "seq", "manifest": "part"}[table]
+    one = frame.filter(f"{by} is not null" + (" and size(hashes) > 1" if table == "recipes" else "")).orderBy(by).first()[by]
+    mine = F.col(by).eqNullSafe(F.lit(one))
+    if change == "gone":
+        frame = frame.filter(~mine)
+    else:
+        column, value = change.split(" = ")
+        frame = frame.withColumn(column, F.when(mine, F.expr(value)).otherwise(F.col(column)))
+    frame.write.parquet(f"{path}/{table}-new")
+    shutil.rmtree(f"{path}/{table}")
+    shutil.move(f"{path}/{table}-new", f"{path}/{table}")
+    with pytest.raises((ValueError, PySparkException)):
+        store.read_digests(spark, path).collect()
 
 
 # --- all
