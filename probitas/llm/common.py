@@ -89,7 +89,7 @@ def release() -> None:
         pass
 
 
-def regrouped(batches: Iterable, size: int = 8 << 20) -> Iterable:
+def regrouped(batches: Iterable, size: int = 6 << 20) -> Iterable:
     """Arrow batches put together until they hold ``size`` bytes: fewer, larger ones where rows are short."""
     import pyarrow as pa
 

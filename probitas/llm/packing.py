@@ -52,11 +52,13 @@ class Router:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def cells(self, streams: list[np.ndarray], terms: list[np.ndarray]) -> np.ndarray:
-        counts = np.stack([np.bincount(s & (DIMENSIONS - 1), minlength=DIMENSIONS) for s in streams])
-        cluster = (self.unit(counts) @ self.centres.T).argmax(1)
+        cluster = np.empty(len(streams), np.int64)
+        for i in range(0, len(streams), 256):
+            counts = np.stack([np.bincount(s & (DIMENSIONS - 1), minlength=DIMENSIONS) for s in streams[i : i + 256]])
+            cluster[i : i + 256] = (self.unit(counts) @ self.centres.T).argmax(1)
         length = np.array([int(4 * np.log2(len(s))) if len(s) else 0 for s in streams])
         least = np.array([int(mix(t.astype(np.uint64) + U(1)).min() >> U(56)) if len(t) else 0 for t in terms])
-        return (cluster.astype(np.int64) << 32) + ((255 - length) << 8) + least
+        return (cluster << 32) + ((255 - length) << 8) + least
 
 
 class Index:
@@ -83,7 +85,7 @@ class Index:
         used = np.unique(term)
         queries = max(1, int(length.sum()) // WINDOW) * len(term) / max(1, self.size)
         self.scores = None
-        if self.size * len(used) < 1 << 23 and self.size**2 * len(used) / 2e10 < queries * 2.5e-6:
+        if self.size * len(used) < 1 << 22 and self.size**2 * len(used) / 2e10 < queries * 2.5e-6:
             held = np.zeros((2, self.size, len(used)), np.float32)
             at = np.searchsorted(used, term)
             held[0, doc, at], held[1, doc, at] = 1, weight

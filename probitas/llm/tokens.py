@@ -9,10 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .common import release
+
 #: Words whose ids a worker remembers: beyond, those that were not met for longest are forgotten.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 700_000
 #: Characters of the texts that are numbered together.
-TEXT_CHARS = 8_000_000
+TEXT_CHARS = 6_000_000
 VOCABULARY = "word_bpe_49k.json"
 #: A full stop or comma that belongs to a longer run of signs, which the splitter keeps as one.
 SIGN_RUN = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,]) ")
@@ -38,15 +40,16 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.kind = np.uint16 if self.small else np.uint32
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.tokenizer.model.end_of_word_suffix or "\0")]] = True
+        suffix = self.tokenizer.model.end_of_word_suffix or "\0"
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        #: by id, whether the token ends a word
+        self.ends = np.array([t.endswith(suffix) for t in tokens], bool)
         self.clock = 0
         self.forget()
 
     def forget(self) -> None:
         self.words = pa.array([], pa.large_string())
-        self.size = self.first = self.met = np.empty(0, np.int64)
+        self.size = self.first = self.met = np.empty(0, np.int32)
         self.flat = np.empty(0, self.kind)
 
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,18 +82,18 @@ class WordTokenizer:
             each = self.size[keep]
             end = np.cumsum(each)
             flat = self.flat[np.repeat(self.first[keep] - (end - each), each) + np.arange(each.sum())]
-            self.words, self.size, self.first, self.met, self.flat = self.words.take(pa.array(keep)), each, end - each, self.met[keep], flat
+            self.words, self.size, self.first, self.met, self.flat = self.words.take(pa.array(keep)), each, (end - each).astype(np.int32), self.met[keep], flat
         at = pc.index_in(words, value_set=self.words)
         new = words.filter(at.is_null())
-        place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
         if len(new):
             order, flat, size = self.learn(new.to_pylist())
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
             place[place < 0] = len(self.words) + back
             self.words = pa.concat_arrays([self.words, new.take(pa.array(order))])
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-            self.size, self.met = np.concatenate([self.size, size]), np.concatenate([self.met, np.zeros(len(order), np.int64)])
+            self.first = np.concatenate([self.first, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
+            self.size, self.met = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.met, np.zeros(len(order), np.int32)])
             self.flat = np.concatenate([self.flat, flat])
         self.met[place] = self.clock
         return place
@@ -124,10 +127,17 @@ class WordTokenizer:
         coded = parts.flatten().dictionary_encode()
         place = self.lookup(coded.dictionary)[coded.indices.to_numpy()]
         each = self.size[place]
-        end = np.concatenate([[0], np.cumsum(each)])
-        ids = self.flat[np.repeat(self.first[place] - end[:-1], each) + np.arange(end[-1])]
+        end = np.zeros(len(each) + 1, np.int32)
+        np.cumsum(each, out=end[1:])
+        at = np.repeat(self.first[place] - end[:-1], each)
+        at += np.arange(end[-1], dtype=np.int32)
+        ids = self.flat[at]
         offsets = parts.offsets.to_numpy()
-        return np.split(ids, end[offsets[1:-1] - offsets[0]])
+        out = np.split(ids, end[offsets[1:-1] - offsets[0]])
+        del parts, coded, place, each, end, at
+        if len(ids) > TEXT_CHARS // 8:
+            release()
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.ids_of([text])[0]
