@@ -17,7 +17,7 @@ from .hashing import U, mix, window_hashes, word_hashes
 from .shared import shared_hashes
 
 #: Extra segments, at least and as a share of the most members two sets alike differ in: sets alike agree in one more.
-SPARE, SPARE_SHARE = 4, 0.0
+SPARE, SPARE_SHARE = 4, 0.25
 #: For the allocation's cost: the share of a band's documents that a set has some text in common with, and the chance
 #: that it shares a given shingle with such a one.
 PARTNERS, ALIKE = 0.001, 0.25
