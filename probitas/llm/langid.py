@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import broadcast_if_small, buckets, stage
+from .common import broadcast_if_small, stage
 from .hashing import U
 
 #: Families of common language codes; a code that is not here is a family of its own.
@@ -33,6 +33,8 @@ BINS = 4096
 ORDERS = (1, 2, 3, 4)
 #: At most so many labelled documents per language are learnt from, those of the smallest hash of their id.
 TRAIN_PER_LANG = 300
+#: Parts in which the sample of a language is picked first: its last step reads at most SALTS * TRAIN_PER_LANG rows.
+SALTS = 64
 LETTER = re.compile(r"[^\W\d_]")
 _SALT = [U(x) for x in (0x8F1BBCDC, 0x5A827999, 0x6ED9EBA1, 0xCA62C1D6)]
 
@@ -52,18 +54,26 @@ def features(text: str) -> np.ndarray:
     return out / (np.linalg.norm(out) or 1)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 100) -> tuple[np.ndarray, float]:
-    """A linear SVM of squared hinge loss by accelerated gradient steps; y is +1 or -1, classes weigh alike."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    rate = 1 / (1 / c + 2 * 2.0)
+def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 1000, settled: float = 2e-3) -> tuple[np.ndarray, float]:
+    """A linear SVM of squared hinge loss by accelerated gradient steps; y is +1 or -1, classes weigh alike. It ends when
+    the gradient has fallen to the share ``settled`` of the first one (at the latest after ``steps``)."""
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    y = y.astype(np.float32)
+    w = v = np.zeros(x.shape[1], np.float32)
+    rate, first = np.float32(1 / (1 / c + 2 * 2.0)), None
     for step in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (v / c - 2 * x.T @ (weight * y * slack))
-        v = new + step / (step + 3) * (new - w)
+        gradient = v / np.float32(c) - 2 * ((weight * y * slack) @ x)
+        size = float(np.linalg.norm(gradient))
+        first = first or size
+        if size <= settled * first:
+            w = v
+            break
+        new = v - rate * gradient
+        v = new + np.float32(step / (step + 3)) * (new - w)
         w = new
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(np.float64), float(w[-1])
 
 
 class Model:
@@ -110,7 +120,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model | None:
     length), picked in two steps so that a language of most rows is not one task's work. Executors make the
     feature vectors; the driver gets 16 KB a sampled document. None where nothing is labelled.
     """
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(buckets(docs.sparkSession))).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int")
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"), salt.alias("_salt"))
     for keys in (["lang", "_salt"], ["lang"]):

@@ -441,6 +441,19 @@ def test_language(docs, spark, sf):
     assert odd[1_000_000] == odd[1_000_001] == odd[1_000_002] == odd[1_000_019] == "und" != odd[1_000_003]
 
 
+def test_svm_settles():
+    """The solver stops where its gradient has all but gone, and parts what can be parted."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 40)) / 6
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, -1.0)
+    w, b = langid.fit_svm(x, y)
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    full, point = np.hstack([x, np.ones((300, 1))]), np.append(w, b)
+    gradient = lambda v: v / 10.0 - 2 * full.T @ (weight * y * np.maximum(0, 1 - y * (full @ v)))
+    assert np.linalg.norm(gradient(point)) <= 0.01 * np.linalg.norm(gradient(np.zeros(41)))
+    assert (np.sign(x @ w + b) == y).mean() > 0.97
+
+
 def test_language_ignores_labels_of_the_predicted(spark, docs):
     from pyspark.sql import functions as F
 
