@@ -179,21 +179,30 @@ def cells(graded: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def suite(cells_: DataFrame, keys: list[str]) -> DataFrame:
-    """All point metrics by ``keys`` from cells."""
-    share = lambda a, b: F.try_divide(F.sum(a).cast("double"), F.sum(b))
-    out = cells_.groupBy(*keys).agg(
-        share("n_correct", "n_scored").alias("accuracy"), F.sum("n_scored").alias("n"), share("n_correct", "n_gradeable").alias("acc_all_prompt"),
-        (F.sum("n_scored") / F.greatest(F.lit(1), F.sum("n_gradeable"))).alias("coverage"), F.sum("n_gradeable").alias("n_gradeable"), share("sum_gap2", "n_conf").alias("brier"),
-        share("sum_wrong_conf", "n_wrong_conf").alias("overconfidence_index"), share("n_sure_wrong", "n_scored").alias("confidently_wrong_rate"), F.sum("n_scored").alias("n_answered"),
-        share("n_hallucinated", "n_open").alias("hallucination_rate"), F.sum("n_open").alias("n_oe"), share("n_abstained", "n_should_abstain").alias("abstention_appropriateness"), F.sum("n_should_abstain").alias("n_should_abstain"),
-    )
-    bins = cells_.filter("bin is not null").groupBy(*keys, "bin").agg(F.sum("n_correct").alias("y"), F.sum("sum_conf").alias("c"), F.sum("n_conf").alias("m"))
-    ece = bins.groupBy(*keys).agg((F.sum(F.abs(F.col("y") - F.col("c"))) / F.sum("m")).alias("ece"), F.sum("m").alias("n_conf"))
-    each = cells_.filter("n_scored > 0").select(*keys, "t", "p", "n_scored", F.explode(F.array_distinct(F.array("t", "p"))).alias("class"))
-    is_t, is_p = F.col("class") == F.col("t"), F.col("class") == F.col("p")
-    of = lambda where: F.sum(F.when(where, F.col("n_scored")).otherwise(0))
-    per = each.groupBy(*keys, "class").agg(of(is_t & is_p).alias("tp"), of(is_t & ~is_p).alias("fn"), of(is_p & ~is_t).alias("fp"))
+    """All point metrics by ``keys`` from cells, by one chain of aggregates: no branch, so the cells are made once.
+
+    Each cell counts for the whole, for its bin and for its one or two labels; sums by these, then by ``keys``.
+    """
+    of = F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("name")))
+    bin_ = F.when(F.col("bin").isNotNull(), F.array(F.struct(F.lit("bin").alias("kind"), F.col("bin").cast("string").alias("name"))))
+    labels = F.transform(F.array_distinct(F.array("t", "p")), lambda x: F.struct(F.lit("label").alias("kind"), x.alias("name")))
+    none = F.filter(of, lambda x: F.lit(False))
+    parts = cells_.withColumn("part", F.explode(F.concat(of, F.coalesce(bin_, none), F.when(F.col("n_scored") > 0, labels).otherwise(none))))
+    is_t, is_p = F.col("part.name").eqNullSafe(F.col("t")), F.col("part.name").eqNullSafe(F.col("p"))
+    scored_where = lambda where: F.sum(F.when(where, F.col("n_scored")).otherwise(0))
+    per = parts.groupBy(*keys, F.col("part.kind").alias("kind"), F.col("part.name").alias("name")).agg(
+        *[F.sum(c).alias(c) for c in SUMS], scored_where(is_t & is_p).alias("tp"), scored_where(is_t & ~is_p).alias("fn"), scored_where(is_p & ~is_t).alias("fp")
+    )
+    whole = lambda c: F.sum(F.when(F.col("kind") == "all", F.col(c)))
+    share = lambda a, b: F.try_divide(whole(a).cast("double"), whole(b))
+    binned = lambda x: F.sum(F.when((F.col("kind") == "bin") & (F.col("n_conf") > 0), x))
     recall = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    labels = per.groupBy(*keys).agg(F.avg(recall).alias("balanced_acc"), F.avg(f1).alias("macro_f1"))
-    return out.join(ece, keys, "left").join(labels, keys, "left")
+    label = lambda x: F.avg(F.when(F.col("kind") == "label", x))
+    return per.groupBy(*keys).agg(
+        share("n_correct", "n_scored").alias("accuracy"), whole("n_scored").alias("n"), share("n_correct", "n_gradeable").alias("acc_all_prompt"),
+        (whole("n_scored") / F.greatest(F.lit(1), whole("n_gradeable"))).alias("coverage"), whole("n_gradeable").alias("n_gradeable"), share("sum_gap2", "n_conf").alias("brier"),
+        share("sum_wrong_conf", "n_wrong_conf").alias("overconfidence_index"), share("n_sure_wrong", "n_scored").alias("confidently_wrong_rate"), whole("n_scored").alias("n_answered"),
+        share("n_hallucinated", "n_open").alias("hallucination_rate"), whole("n_open").alias("n_oe"), share("n_abstained", "n_should_abstain").alias("abstention_appropriateness"), whole("n_should_abstain").alias("n_should_abstain"),
+        (binned(F.abs(F.col("n_correct") - F.col("sum_conf"))) / binned(F.col("n_conf"))).alias("ece"), binned(F.col("n_conf")).alias("n_conf"), label(recall).alias("balanced_acc"), label(f1).alias("macro_f1"),
+    )

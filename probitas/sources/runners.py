@@ -110,8 +110,8 @@ def select_models(registry: DataFrame, model: str | None = None, index: int | No
 def run_model(prompts: DataFrame, model: str, factory: Callable[[], Runner], batch: int = 8, cache: DataFrame | None = None) -> DataFrame:
     """Responses of ``model`` to ``prompts``, with status ok, error or cached.
 
-    Each worker loads the runner once and feeds it batches; a failing batch gives empty texts with status error
-    and the job goes on. ``cache`` (cache_key, response) answers what it knows without a call.
+    Each worker loads the runner once and feeds it batches; the prompts of a failing batch are tried one by one, and
+    those that fail by themselves give empty texts with status error, so one bad prompt costs no other its answer. ``cache`` (cache_key, response) answers what it knows without a call.
     """
     ship_package(prompts.sparkSession)
     prompts = prompts.withColumns({"model": F.lit(model), "cache_key": cache_key(F.lit(model), F.col("image_path"), F.col("prompt_text"))})
@@ -123,18 +123,24 @@ def run_model(prompts: DataFrame, model: str, factory: Callable[[], Runner], bat
     prompts = prompts.drop(*new)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields), *(f"{k} {v}" for k, v in new.items())])
 
+    def alone(runner: Runner, prompt: str, image: str) -> tuple[dict, str]:
+        try:
+            return runner.generate([prompt], [image])[0], "ok"
+        except Exception as e:
+            return {"text": "", "raw": str(e), "gen_seconds": 0.0}, "error"
+
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runner = factory()
         runner.load()
         for frame in batches:
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
+                texts, images = list(part["prompt_text"]), list(part["image_path"])
                 try:
-                    got = runner.generate(list(part["prompt_text"]), list(part["image_path"]))
+                    got = runner.generate(texts, images)
                     status = ["ok"] * len(part)
-                except Exception as e:  # one bad batch must not end the run
-                    got = [{"text": "", "raw": str(e), "gen_seconds": 0.0}] * len(part)
-                    status = ["error"] * len(part)
+                except Exception:  # one bad prompt must not end the run
+                    got, status = zip(*[alone(runner, t, p) for t, p in zip(texts, images, strict=True)], strict=True)
                 yield part.assign(response=[g["text"] for g in got], gen_seconds=[round(g["gen_seconds"], 3) for g in got], status=status)
 
     out = prompts.mapInPandas(answer, schema)

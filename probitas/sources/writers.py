@@ -30,39 +30,59 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """One CSV file with a header, also when there are no rows: written beside and moved into place, so readers
-    see the old file or the new one. For result tables of a size that one task can write."""
+    """One CSV file with a header, also when there are no rows: written beside and moved over the old one in a single
+    rename, so readers see the old file or the new one. For result tables of a size that one task can write."""
     df = flat(df.select(*columns) if columns else df)
     spark = df.sparkSession
     staging = f"{path}.staging-{uuid.uuid4().hex}"
     df.coalesce(1).write.option("header", True).csv(staging)
     jvm, at, fs = _fs(spark, path)
     parts = [s.getPath() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staging}/part-*"))]
-    if fs.exists(at):
-        fs.delete(at, True)
     if parts:
-        fs.rename(parts[0], at)
+        new = parts[0]
     else:
-        out = fs.create(at)
+        new = jvm.org.apache.hadoop.fs.Path(f"{staging}/header")
+        out = fs.create(new)
         out.write(bytearray((",".join(df.columns) + "\n").encode()))
         out.close()
+    if fs.exists(at) and fs.getFileStatus(at).isDirectory():  # what another writer left there is no file to rename over
+        fs.delete(at, True)
+    _rename(spark, new, at)
     fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
 
 
+def _rename(spark: SparkSession, source, target) -> None:
+    """Move ``source`` to ``target``, over an old file in the same step where the store can."""
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(source, target, options)
+
+
 def replace_table(df: DataFrame, path: str, keep_backup: bool = True) -> None:
-    """Replace a Parquet table that ``df`` may itself read: the new version is complete before the old one moves
-    to ``path.bak`` (only the first time, so the backup is the original) or goes."""
+    """Replace a Parquet table that ``df`` may itself read: the new version is complete before the old one moves aside,
+    to ``path.bak`` (only the first time, so the backup is the original) or to a name that is deleted at last.
+
+    A folder cannot be renamed over another: between two renames there is no table at ``path``. A failure there puts
+    the old one back; after a crash there, the old one is at the name it moved to and the new one at
+    ``path.staging-*``, both whole."""
     spark = df.sparkSession
-    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
+    staging, old = f"{path}.staging-{name}", f"{path}.old-{name}"
     df.write.parquet(staging)
     jvm, at, fs = _fs(spark, path)
-    backup = jvm.org.apache.hadoop.fs.Path(f"{path}.bak")
+    file = jvm.org.apache.hadoop.fs.Path
+    aside = None
     if fs.exists(at):
-        if keep_backup and not fs.exists(backup):
-            fs.rename(at, backup)
-        else:
-            fs.delete(at, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), at)
+        aside = file(f"{path}.bak") if keep_backup and not fs.exists(file(f"{path}.bak")) else file(old)
+        if not fs.rename(at, aside):
+            raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(file(staging), at):
+        if aside is not None:
+            fs.rename(aside, at)
+        raise OSError(f"{staging} could not be moved to {path}")
+    fs.delete(file(old), True)
     spark.catalog.refreshByPath(path)
 
 

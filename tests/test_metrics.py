@@ -276,3 +276,16 @@ def test_configuration(tmp_path):
     assert C.load_models(str(tmp_path / "m.json"))[0]["optional"] is False
     table = C.alias_table()
     assert len(table) == 92 and dict(table)["none"] == "none"
+
+
+def test_suite_makes_its_cells_once(spark, tmp_path):
+    """The suite is one chain: the responses are scanned once."""
+    from probitas.operators import metrics
+
+    rows = [("m", "t", "MC", "a", "a" if i % 3 else "b", bool(i % 3), True, True, 0.1 * (i % 11), False, False) for i in range(60)]
+    frame = spark.createDataFrame(rows, "model string, task string, format string, gt_label string, pred_answer string, correct boolean, answered boolean, gradeable boolean, conf_frac double, hallucination boolean, abstained boolean")
+    frame.selectExpr("*", "false as is_negative_control").write.parquet(f"{tmp_path}/graded")
+    plan = metrics.suite(metrics.cells(spark.read.parquet(f"{tmp_path}/graded"), ["model"]), ["model"])
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1, final
