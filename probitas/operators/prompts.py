@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +102,17 @@ def shard(prompts: DataFrame, index: int, shards: int, limit: int | None = None)
     return out.orderBy("prompt_id").limit(limit) if limit is not None else out
 
 
-def few_shot_prefix(examples: Column, shots: int = 2) -> Column:
-    """Example cases to put before a prompt, from an array of (prompt_text, label, confidence)."""
-    block = lambda e, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\n  Question: "), F.left(e["prompt_text"], F.lit(200)), F.lit("\n  Answer: "), e["label"], F.lit(" (Confidence: "), F.coalesce(e["confidence"], F.lit(90)).cast("string"), F.lit(")"))
-    return F.concat(F.lit("Here are example cases:\n\n"), F.array_join(F.transform(F.slice(examples, 1, shots), block), "\n"), F.lit("\n\nNow answer the following:\n"))
+#: Wording around worked cases: before them, one of them, after them.
+FEW_SHOT = ("Some solved cases first.\n\n", "Example {number}. {question}\nSolved as: {label} (Confidence: {confidence})", "\n\nYour case:\n")
+
+
+def few_shot_prefix(examples: Column, shots: int = 2, wording: tuple[str, str, str] = FEW_SHOT) -> Column:
+    """Worked cases to put before a prompt, from an array of (prompt_text, label, confidence); questions are cut at 200
+    characters, an unknown confidence is 90."""
+    before, one, after = wording
+
+    def block(e: Column, i: Column) -> Column:
+        values = {"number": (i + 1).cast("string"), "question": F.left(e["prompt_text"], F.lit(200)), "label": e["label"], "confidence": F.coalesce(e["confidence"], F.lit(90)).cast("string")}
+        return F.concat(*[values[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", one) if x])
+
+    return F.concat(F.lit(before), F.array_join(F.transform(F.slice(examples, 1, shots), block), "\n"), F.lit(after))
