@@ -36,23 +36,28 @@ def anchor_hashes(data: bytes) -> np.ndarray:
 
 
 class Level:
-    """A suffix array over batches merged so far: suffixes sorted by their first eight bytes and then by a
-    fingerprint of all WIDTH bytes; of equal ones the place with the smallest document."""
+    """A suffix array over batches merged so far: distinct suffixes in the order of their first WIDTH bytes, each with
+    the smallest document that it begins in. ``key`` holds these bytes, so equal keys are equal strings."""
 
-    def __init__(self, head: np.ndarray, print_: np.ndarray, place: np.ndarray, doc: np.ndarray, batches: int = 1) -> None:
-        self.head, self.print, self.place, self.doc, self.batches = head, print_, place, doc, batches
+    def __init__(self, key: np.ndarray, doc: np.ndarray, batches: int = 1) -> None:
+        self.key, self.doc, self.batches = key, doc, batches
 
     def __len__(self) -> int:
-        return len(self.head)
+        return len(self.key)
 
-    def join(self, other: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Both levels in one order: head, print, place, doc, and whether a suffix equals the one before."""
-        head, print_ = np.concatenate([self.head, other.head]), np.concatenate([self.print, other.print])
-        place, doc = np.concatenate([self.place, other.place]), np.concatenate([self.doc, other.doc])
-        order = np.lexsort((doc, print_, head))
-        head, print_, place, doc = head[order], print_[order], place[order], doc[order]
-        same = np.concatenate([[False], (head[1:] == head[:-1]) & (print_[1:] == print_[:-1])])
-        return head, print_, place, doc, same
+    def merge(self, later: Level) -> Level:
+        """Both levels in one order. Of an equal suffix the place in this, the earlier one, stays: a stable sort of two
+        sorted runs is their merge."""
+        key, doc = np.concatenate([self.key, later.key]), np.concatenate([self.doc, later.doc])
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        first = ~follows(key)
+        return Level(key[first], doc[first], self.batches + later.batches)
+
+
+def follows(key: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys equal the one before."""
+    return np.concatenate([[False], key[1:] == key[:-1]])
 
 
 class Family:
@@ -65,45 +70,30 @@ class Family:
     def __init__(self, text: np.ndarray) -> None:
         self.levels: list[Level] = []
         self.view = sliding_window_view(text, WIDTH)
-        head = text.astype(np.uint64)
-        for n in (1, 2, 4):  # the first eight bytes, as one big-endian number
-            head = (head[:-n] << U(8 * n)) | head[n:]
-        self.head, self.print = head, window_hashes(BYTE_VALUES[text], WIDTH)
 
     def add(self, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Index the suffixes at ``place`` of ``doc`` (ascending, none below an earlier batch's); whether each
         equals a suffix of a smaller document on WIDTH bytes."""
-        view, head, print_ = self.view, self.head[place], self.print[place]
-        order = np.lexsort((doc, print_, head))
-        h, p, d, q = head[order], print_[order], doc[order], place[order]
-        same = np.concatenate([[False], (h[1:] == h[:-1]) & (p[1:] == p[:-1])])
+        # strings of one width compare as unsigned bytes, zeros included
+        key = self.view[place].view(f"S{WIDTH}")[:, 0]
+        order = np.argsort(key, kind="stable")
+        key, d = key[order], doc[order]
+        same = follows(key)
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))  # the smallest document's suffix
-        hit = d > d[lead]
-        hit[hit] = (view[q[hit]] == view[q[lead[hit]]]).all(1)
         found = np.zeros(len(place), bool)
-        found[order[hit]] = True
-        new = Level(h[~same], p[~same], q[~same], d[~same])
+        found[order[d > d[lead]]] = True
+        new = Level(key[~same], d[~same])
         index = np.flatnonzero(~same)
         for level in self.levels:
-            # one search per distinct suffix of the batch; the scan of two sorted runs
-            a = np.searchsorted(level.head, new.head, "left")
-            b = np.searchsorted(level.head, new.head, "right")
-            live = np.flatnonzero(a < b)
-            while len(live):
-                at = a[live]
-                equal = level.print[at] == new.print[live]
-                hits, other = live[equal], at[equal]
-                if len(hits):
-                    right = (view[new.place[hits]] == view[level.place[other]]).all(1)
-                    hits, other = hits[right], other[right]
-                    self._mark(found, order, index, hits, level.doc[other], d)
-                a[live] += 1
-                live = live[~equal & (a[live] < b[live])]
+            # the scan of two sorted runs: where each distinct suffix of the batch would stand in the level
+            at = np.searchsorted(level.key, new.key)
+            hits = np.flatnonzero(at < len(level))
+            hits = hits[level.key[at[hits]] == new.key[hits]]
+            self._mark(found, order, index, hits, level.doc[at[hits]], d)
         self.levels.append(new)
         while len(self.levels) > 1 and self.levels[-1].batches == self.levels[-2].batches:
-            y, x = self.levels.pop(), self.levels.pop()
-            head, print_, place, doc, same = x.join(y)
-            self.levels.append(Level(head[~same], print_[~same], place[~same], doc[~same], 2 * x.batches))
+            later, earlier = self.levels.pop(), self.levels.pop()
+            self.levels.append(earlier.merge(later))
         return found
 
     @staticmethod
