@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,3 +41,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in batches of at most so many rows: a worker's memory follows them."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; in a session of one machine
+    without that setting, in a temporary folder."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="probitas-")
+        context.setCheckpointDir(path)
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -58,7 +58,7 @@ def ixi_demographics(table: DataFrame) -> DataFrame:
     code = F.col(f"`{sex}`").try_cast("int") if sex else F.lit(None).cast("int")
     age = F.col("AGE").try_cast("double") if "AGE" in t.columns else F.lit(None).cast("double")
     number = F.col("IXI_ID").try_cast("int")
-    return t.filter(number.isNotNull()).select(F.concat(F.lit("IXI"), F.lpad(number.cast("string"), 3, "0")).alias("subject_id"), F.when(code == 1, "M").when(code == 2, "F").alias("demo_sex"), age.alias("demo_age"))
+    return t.filter(number.isNotNull()).select(F.format_string("IXI%03d", number).alias("subject_id"), F.when(code == 1, "M").when(code == 2, "F").alias("demo_sex"), age.alias("demo_age"))
 
 
 def oasis_demographics(table: DataFrame) -> DataFrame:
