@@ -152,3 +152,44 @@ def run_model(prompts: DataFrame, model: str, factory: Callable[[], Runner], bat
 def cacheable(responses: DataFrame) -> DataFrame:
     """(cache_key, response) of what may be kept: errors are not."""
     return responses.filter(F.col("status") != "error").select("cache_key", "response").dropDuplicates(["cache_key"])
+
+
+def run_models(prompts: DataFrame, models: list[dict], out: str, batch: int = 8, dry_run: bool = False, check: Callable[[dict], Runner] | None = None) -> list[tuple[str, str, int]]:
+    """Append each model's responses to its own folder of JSON lines under ``out``; (model, status, prompts) of each.
+
+    A prompt that has a response there already is not asked again, so a run that was stopped goes on where it was. A
+    hosted model without its key is skipped, and so is one whose runner can not be made or, where ``check`` loads it
+    first, not loaded; the others go on. A run that fails has status failed and what its tasks committed is kept.
+    """
+    from ..operators.prompts import pending
+    from . import services
+    from .readers import read_jsonl
+    from .writers import append_json
+
+    spark, report = prompts.sparkSession, []
+    for spec in models:  # a registry has a few dozen rows
+        model, backend = spec["id"], spec["backend"]
+        folder = f"{out.rstrip('/')}/{model.replace('/', '__')}.jsonl"
+        todo = pending(prompts, read_jsonl(spark, folder), model)
+        n = todo.count()
+        provider = services.PROVIDERS.get(spec.get("provider") or "")
+        if n == 0 or dry_run:
+            report.append((model, "done" if n == 0 else "to run", n))
+            continue
+        if backend == "api" and provider and not key_present(provider[1]):
+            report.append((model, "no key", n))
+            continue
+        options = {k: v for k, v in spec.get("options", {}).items()}
+        if backend == "api":
+            options["provider"] = spec.get("provider")
+        try:
+            (check or (lambda s: make_runner(s["backend"], s["id"], **options)))(spec)
+        except Exception as e:
+            report.append((model, f"not loaded: {e}", n))
+            continue
+        try:
+            append_json(run_model(todo, model, lambda: make_runner(backend, model, **options), batch), folder)  # noqa: B023
+            report.append((model, "ok", n))
+        except Exception as e:  # the next model may still run
+            report.append((model, f"failed: {e}", n))
+    return report

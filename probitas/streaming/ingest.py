@@ -25,12 +25,15 @@ def read_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 
 def first_seen(stream: DataFrame, delay: str | None = "1 hour") -> DataFrame:
     """One response per (model, image_id, prompt_id). With ``delay`` the state forgets keys whose time is that
-    far behind; without, it keeps all."""
+    far behind, and responses later than that are dropped (Spark counts them: numRowsDroppedByWatermark); without, it
+    keeps all. Responses whose ``timestamp_utc`` is null or no time have no place in time: they are told apart by a state
+    of their own that keeps all, so none is dropped as late; a key with and without a time counts as two."""
     keys = ["model", "image_id", "prompt_id"]
     if delay is None:
         return stream.dropDuplicates(keys)
-    timed = stream.withColumn("_at", F.coalesce(F.try_to_timestamp("timestamp_utc"), F.timestamp_seconds(F.lit(0))))
-    return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(keys).drop("_at")
+    at = F.try_to_timestamp("timestamp_utc")
+    timed = stream.filter(at.isNotNull()).withColumn("_at", at).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_at").unionByName(stream.filter(at.isNull()).dropDuplicates(keys))
 
 
 def cells(graded: DataFrame) -> DataFrame:
