@@ -524,7 +524,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import source_queries  # noqa: F401  (it registers its own)
+    from . import source_queries, volume_queries  # noqa: F401  (they register their own)
 
     return dict(QUERIES)
 
