@@ -155,17 +155,56 @@ def count(where: str) -> str:
     return f"count(case when {where} then 1 end)"
 
 
-def poisson(u: str) -> str:
-    from ..operators.bootstrap import POISSON
-
-    return "case " + " ".join(f"when {u} < {p!r}::double then {i}" for i, p in enumerate(POISSON)) + f" else {len(POISSON)} end"
-
-
-def bootstrap(cells: str, keys: str, replicates: int, seed: int = C.BOOTSTRAP_SEED) -> str:
-    u = f"(('0x' || left(md5(concat_ws('|', '{seed}', rep::varchar, k::varchar)), 8))::ubigint)::double / 4294967296.0::double"
-    return f"""select p.{keys.replace(', ', ', p.')}, p.mean, p.n, ci_lo, ci_hi from (select {keys}, sum(s) / sum(c) as mean, cast(sum(c) as bigint) as n from ({cells}) group by {keys}) p
-      join (select {keys}, quantile_cont(stat, 0.025) as ci_lo, quantile_cont(stat, 0.975) as ci_hi from (select {keys}, rep, sum(w * s) / nullif(sum(w * c), 0) as stat
-        from (select *, {poisson(u)} as w from ({cells}) x, (select unnest(range({replicates})) as rep) r) group by {keys}, rep) where stat is not null group by {keys}) q using ({keys})"""
+def draws(cells: str, group: str, order: str, replicates: int = C.BOOTSTRAP_REPLICATES, seed: int = C.BOOTSTRAP_SEED) -> str:
+    """A chain of tables for ``with recursive``: ``cells`` (group, order, m) to ``drawn``, with rep and w.
+
+    Ranges of cells are split in halves, level by level; a split is the binomial quantile of an md5's number, from the
+    probabilities within nine deviations of the mean."""
+    name = " || ".join(f"coalesce(({k})::varchar, '') || '|'" for k in group.split(", "))
+    nulls = ", ".join(f"{c} nulls first" for c in order.split(", "))
+    u = f"((('0x' || left(md5('{seed}|' || s.g || '|0|' || lo || '|' || hi || '|' || rep), 13))::ubigint)::double + 0.5) / 4503599627370496.0::double"
+    log = "lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(q) + (n - k) * ln(1 - q)"
+    return f"""cells as ({cells}),
+placed as (select *, {name} as g, row_number() over (partition by {group} order by {nulls}) - 1 as i, sum(m) over (partition by {group} order by {nulls}) as upto from cells),
+ranges as (
+  select g, rep, 0::bigint as lo, count(*)::bigint as hi, sum(m)::bigint as n from placed, range({replicates}) r(rep) group by g, rep
+  union all
+  select g, rep, unnest([lo, mid]), unnest([mid, hi]), unnest([x, n - x]) from (
+    select g, rep, lo, mid, hi, n, least(min(k) + count(case when total < u then 1 end), n)::bigint as x from (
+      select g, rep, lo, mid, hi, n, u, k, sum(exp({log})) over (partition by g, rep, lo order by k) as total from (
+        select *, unnest(range(greatest(0, floor(n * q - 9 * sqrt(n * q * (1 - q)) - 10))::bigint, least(n, ceil(n * q + 9 * sqrt(n * q * (1 - q)) + 10))::bigint + 1)) as k from (
+          select s.*, (b.upto - coalesce(a.upto, 0))::double / (c.upto - coalesce(a.upto, 0))::double as q, {u} as u from (select *, (lo + hi) // 2 as mid from ranges where hi - lo > 1) s
+            left join placed a on a.g = s.g and a.i = s.lo - 1 join placed b on b.g = s.g and b.i = s.mid - 1 join placed c on c.g = s.g and c.i = s.hi - 1) v) t) z
+    group by g, rep, lo, mid, hi, n) y),
+drawn as (select placed.* exclude (g, i, upto, m), rep, n as w from ranges join placed on placed.g = ranges.g and i = lo where hi - lo = 1 and n > 0)"""
+
+
+def ends(keys: str, stat: str, source: str, prefix: str = "") -> str:
+    return f"select {keys}, quantile_cont({stat}, 0.025) as {prefix}ci_lo, quantile_cont({stat}, 0.975) as {prefix}ci_hi from ({source}) group by {keys}"
+
+
+def mean_interval(cells: str, keys: str) -> str:
+    """SQL after BASE's tables (with ``recursive``): mean, n and interval from cells (keys, s, c, m)."""
+    stat = f"select {keys}, rep, sum(w * s) / sum(w * c) as stat from drawn group by {keys}, rep"
+    return f"{draws(cells, keys, 's, c')} select p.*, ci_lo, ci_hi from (select {keys}, sum(s * m) / sum(c * m) as mean, cast(sum(c * m) as bigint) as n from cells group by {keys}) p join ({ends(keys, 'stat', stat)}) q using ({keys})"
+
+
+def populations(keys: str) -> str:
+    """Cells of all populations that the suite's intervals draw from."""
+    of = [("scored", SCORED, "lower(trim(gt_label))", "lower(trim(pred_answer))", "null::double", "correct"), ("confidence", f"{SCORED} and conf_frac is not null", "null", "null", "conf_frac", "correct"), ("open", "format = 'OE'", "null", "null", "null::double", "hallucination"), ("abstain", ABST, "null", "null", "null::double", "abstained")]
+    each = " union all ".join(f"select {keys}, '{pop}' as pop, {t}::varchar as t, {p}::varchar as p, {c} as c, ({y})::int::double as y from graded where ({where}) and ({y}) is not null" for pop, where, t, p, c, y in of)
+    return f"select {keys}, pop, t, p, c, y, count(*) as m from ({each}) group by all"
+
+
+def suite_intervals(keys: str, cells: str) -> str:
+    """``drawn`` and ``suite_ci`` (keys, NAME_ci_lo, NAME_ci_hi)."""
+    label = f"""select {keys}, rep, avg(tp / nullif(tp + fn, 0)) as balanced_acc, avg(coalesce(2.0::double * tp / nullif(2 * tp + fp + fn, 0), 0)) as macro_f1 from (select {keys}, rep, class, sum(case when class = t and class = p then w else 0 end)::double as tp,
+      sum(case when class = t and class <> p then w else 0 end)::double as fn, sum(case when class = p and class <> t then w else 0 end)::double as fp from (select *, unnest(list_distinct([t, p])) as class from drawn where pop = 'scored') group by {keys}, rep, class) group by {keys}, rep"""
+    bins_ = f"select {keys}, rep, sum(abs(sy - sc)) / sum(n) as ece from (select {keys}, rep, {BIN.replace('conf_frac', 'c')} as bin, sum(w) as n, sum(w * y) as sy, sum(w * c) as sc from drawn where pop = 'confidence' group by all) group by {keys}, rep"
+    mean = lambda pop, x: f"select {keys}, rep, sum(w * {x}) / sum(w) as stat from drawn where pop = '{pop}' group by {keys}, rep"
+    parts = [("accuracy", "stat", mean("scored", "y")), ("balanced_acc", "balanced_acc", label), ("macro_f1", "macro_f1", label), ("ece", "ece", bins_), ("brier", "stat", mean("confidence", "(c - y) * (c - y)")), ("hallucination", "stat", mean("open", "y")), ("abstention", "stat", mean("abstain", "y"))]
+    joins = " ".join(f"left join ({ends(keys, stat, source, name + '_')}) x_{name} using ({keys})" for name, stat, source in parts)
+    return f"{draws(cells, keys + ', pop', 't, p, c, y')}, suite_ci as (select * from (select distinct {keys} from cells) k {joins})"
 
 
 SCORED = "answered and gradeable"

@@ -279,28 +279,42 @@ def classifier_scores(spark, sf_dir):
 
 
 # --- resampling --------------------------------------------------------------------------------------------------
-CELLS = f"select model, task, prompt_id as k, sum(correct::int::double) as s, count(*) as c from graded where {oracle.SCORED} group by model, task, prompt_id"
-CLUSTERS = f"select model, task, subject_id as k, sum(correct::int::double) as s, count(*) as c from graded where {oracle.SCORED} and subject_id is not null group by model, task, subject_id"
+CELLS = f"select model, task, correct::int::double as s, 1 as c, count(*) as m from graded where {oracle.SCORED} group by all"
+CLUSTERS = f"select model, task, s, c, count(*) as m from (select model, task, subject_id, sum(correct::int::double) as s, count(*) as c from graded where {oracle.SCORED} and subject_id is not null group by all) group by all"
+DRAWN = oracle.BASE.replace("with ", "with recursive ", 1)
 
 
-@query(f"{oracle.BASE} {oracle.bootstrap(CELLS, 'model, task', 40)}")
+@query(f"{DRAWN}, {oracle.mean_interval(CELLS, 'model, task')}")
 def bootstrap_accuracy_ci(spark, sf_dir):
-    return bootstrap.mean_interval(graded(spark, sf_dir).filter(metrics.scored()), ["model", "task"], F.col("correct"), F.col("prompt_id"), 40)
+    return bootstrap.mean_interval(graded(spark, sf_dir).filter(metrics.scored()), ["model", "task"], F.col("correct"))
 
 
-@query(f"{oracle.BASE} {oracle.bootstrap(CLUSTERS, 'model, task', 100)}")
+@query(f"{DRAWN}, {oracle.mean_interval(CLUSTERS, 'model, task')}")
 def clustered_bootstrap_ci(spark, sf_dir):
-    return bootstrap.mean_interval(with_exam(spark, sf_dir).filter(metrics.scored()), ["model", "task"], F.col("correct"), F.col("prompt_id"), 100, cluster=F.col("subject_id"))
+    return bootstrap.mean_interval(with_exam(spark, sf_dir).filter(metrics.scored()), ["model", "task"], F.col("correct"), cluster=F.col("subject_id"))
 
 
-@query()
+POPULATIONS = oracle.populations("model")
+
+
+@query(f"{DRAWN}, {oracle.suite_intervals('model', POPULATIONS)} select model, ece_ci_lo as ci_lo, ece_ci_hi as ci_hi from suite_ci")
 def bootstrap_ece_ci(spark, sf_dir):
-    return bootstrap.calibration_interval(graded(spark, sf_dir), ["model"], F.col("prompt_id"), 40)
+    return bootstrap.suite_intervals(graded(spark, sf_dir), ["model"], pops=["confidence"]).select("model", F.col("ece_ci_lo").alias("ci_lo"), F.col("ece_ci_hi").alias("ci_hi"))
 
 
-@query()
+@query(f"{DRAWN}, {oracle.suite_intervals('model', POPULATIONS)} select model, balanced_acc_ci_lo as balanced_lo, balanced_acc_ci_hi as balanced_hi, macro_f1_ci_lo as f1_lo, macro_f1_ci_hi as f1_hi from suite_ci")
 def bootstrap_agreement_ci(spark, sf_dir):
-    return bootstrap.agreement_interval(graded(spark, sf_dir), ["model"], F.col("prompt_id"), 20)
+    ci = bootstrap.suite_intervals(graded(spark, sf_dir), ["model"], pops=["scored"])
+    return ci.select("model", *[F.col(f"{a}_ci_{e}").alias(f"{b}_{e}") for a, b in (("balanced_acc", "balanced"), ("macro_f1", "f1")) for e in ("lo", "hi")])
+
+
+NAMES = ("accuracy", "balanced_acc", "macro_f1", "ece", "brier", "hallucination", "abstention")
+
+
+@query(f"{DRAWN}, {oracle.suite_intervals('model, task', oracle.populations('model, task'))} select model, task, {', '.join(f'{n}_ci_{e}' for n in NAMES for e in ('lo', 'hi'))} from suite_ci")
+def suite_intervals(spark, sf_dir):
+    """All intervals of each model and task, at the published number of replicates."""
+    return bootstrap.suite_intervals(graded(spark, sf_dir), ["model", "task"])
 
 
 @query()

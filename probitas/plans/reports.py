@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -20,47 +20,21 @@ def graded_table(responses: DataFrame, manifest: DataFrame) -> DataFrame:
     return grade(parse_responses(responses), manifest)
 
 
-def _mean_ci(rows: DataFrame, keys: list[str], value: Column, row_key: Column, name: str) -> DataFrame:
-    """(keys, name_ci_lo, name_ci_hi) of the mean of ``value``."""
-    return bootstrap.mean_interval(rows, keys, value, row_key).drop("mean", "n").withColumnsRenamed({"ci_lo": f"{name}_ci_lo", "ci_hi": f"{name}_ci_hi"})
-
-
-def _ece_ci(graded: DataFrame, keys: list[str], row_key: Column) -> DataFrame:
-    return bootstrap.calibration_interval(graded, keys, row_key).withColumnsRenamed({"ci_lo": "ece_ci_lo", "ci_hi": "ece_ci_hi"})
-
-
-def _brier_ci(graded: DataFrame, keys: list[str], row_key: Column) -> DataFrame:
-    gap = F.col("conf_frac") - F.col("correct").cast("double")
-    return _mean_ci(graded.filter(metrics.scored() & metrics.has_confidence()), keys, gap * gap, row_key, "brier")
-
-
-def _safety_cis(graded: DataFrame, keys: list[str], row_key: Column, hallucinated: str, abstained: str) -> list[DataFrame]:
-    """Intervals of hallucination over open answers and of abstention over items to abstain on."""
-    return [_mean_ci(graded.filter(F.col("format") == "OE"), keys, F.col("hallucination"), row_key, hallucinated), _mean_ci(graded.filter(metrics.should_abstain()), keys, F.col("abstained"), row_key, abstained)]
-
-
-def main_accuracy(graded: DataFrame, intervals: bool = False, row_key: Column | None = None) -> DataFrame:
+def main_accuracy(graded: DataFrame, intervals: bool = False) -> DataFrame:
     """The metric suite of each model, task and format; with ``intervals`` those of accuracy (ci_lo, ci_hi), balanced
     accuracy, macro-F1, calibration error, Brier score, hallucination and abstention (NAME_ci_lo, NAME_ci_hi)."""
     keys = ["model", "task", "format"]
     out = metrics.suite(metrics.cells(graded, keys), keys).drop("acc_all_prompt", "coverage", "n_gradeable")
     if intervals:
-        key = F.col("prompt_id") if row_key is None else row_key
-        ci = bootstrap.mean_interval(graded.filter(metrics.scored()), keys, F.col("correct"), key).drop("mean", "n")
-        agreement = bootstrap.agreement_interval(graded, keys, key)
-        agreement = agreement.withColumnsRenamed({f"{a}_{b}": f"{name}_ci_{b}" for a, name in (("balanced", "balanced_acc"), ("f1", "macro_f1")) for b in ("lo", "hi")})
-        for more in (ci, agreement, _ece_ci(graded, keys, key), _brier_ci(graded, keys, key), *_safety_cis(graded, keys, key, "hallucination", "abstention")):
-            out = out.join(more, keys, "left")
+        ci = bootstrap.suite_intervals(graded, keys).withColumnsRenamed({"accuracy_ci_lo": "ci_lo", "accuracy_ci_hi": "ci_hi"})
+        out = out.join(ci, keys, "left")
     return out
 
 
 def calibration(graded: DataFrame, intervals: bool = False) -> DataFrame:
     keys = ["model"]
     out = metrics.suite(metrics.cells(graded, keys), keys).select("model", "ece", "n_conf", "brier", "overconfidence_index", "confidently_wrong_rate", "n_answered")
-    if intervals:
-        for ci in (_ece_ci(graded, keys, F.col("prompt_id")), _brier_ci(graded, keys, F.col("prompt_id"))):
-            out = out.join(ci, keys, "left")
-    return out
+    return out.join(bootstrap.suite_intervals(graded, keys, pops=["confidence"]), keys, "left") if intervals else out
 
 
 def hallucination(graded: DataFrame, intervals: bool = False) -> DataFrame:
@@ -76,8 +50,8 @@ def hallucination(graded: DataFrame, intervals: bool = False) -> DataFrame:
         )
     )
     if intervals:
-        for ci in _safety_cis(graded, ["model"], F.col("prompt_id"), "hall", "abs"):
-            out = out.join(ci, ["model"], "left")
+        ci = bootstrap.suite_intervals(graded, ["model"], pops=["open", "abstain"])
+        out = out.join(ci.withColumnsRenamed({f"{a}_ci_{e}": f"{b}_ci_{e}" for a, b in (("hallucination", "hall"), ("abstention", "abs")) for e in ("lo", "hi")}), ["model"], "left")
     return out
 
 
@@ -131,7 +105,7 @@ def headline(graded: DataFrame, least: float = C.MIN_COVERAGE, intervals: bool =
     out = metrics.suite(_usable_cells(metrics.cells(headline_rows(graded), keys), least), keys)
     out = out.select(*keys, "coverage", "n_gradeable", F.col("accuracy").alias("acc_answered"), "acc_all_prompt", "balanced_acc", "macro_f1", "ece")
     if intervals:
-        ci = bootstrap.mean_interval(usable_rows(graded, least).filter(metrics.scored()), keys, F.col("correct"), F.col("prompt_id"), cluster=F.col("subject_id")).drop("mean", "n")
+        ci = bootstrap.mean_interval(usable_rows(graded, least).filter(metrics.scored()), keys, F.col("correct"), cluster=F.col("subject_id")).drop("mean", "n")
         out = out.join(ci.withColumnsRenamed({"ci_lo": "acc_ans_ci_lo", "ci_hi": "acc_ans_ci_hi"}), keys, "left")
     return _rounded(out)
 
@@ -146,7 +120,7 @@ def safety(graded: DataFrame, least: float = C.MIN_COVERAGE, intervals: bool = F
     whole = metrics.suite(cells, ["model"]).select("model", F.col("hallucination_rate").alias("oe_hallucination_rate"), F.col("abstention_appropriateness").alias("abstention_approp"))
     out = head.join(whole, "model", "left")
     if intervals:
-        ci = bootstrap.mean_interval(neutral.filter(metrics.should_abstain()), ["model"], F.col("abstained"), F.col("prompt_id")).drop("mean", "n")
+        ci = bootstrap.mean_interval(neutral.filter(metrics.should_abstain()), ["model"], F.col("abstained")).drop("mean", "n")
         out = out.join(ci.withColumnsRenamed({"ci_lo": "abstention_ci_lo", "ci_hi": "abstention_ci_hi"}), ["model"], "left")
     return _rounded(out)
 

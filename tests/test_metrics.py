@@ -85,14 +85,6 @@ def test_exact_bootstrap_is_numpy(spark):
     assert got["ci_lo"] < got["stat"] < got["ci_hi"]
 
 
-def test_native_bootstrap(spark):
-    df = spark.createDataFrame([("g", f"k{i}", float(i % 3 == 0), f"s{i % 11}") for i in range(300)], "g string, k string, x double, s string")
-    a, b = (bootstrap.mean_interval(df.repartition(n), ["g"], F.col("x"), F.col("k"), 100).first() for n in (2, 7))
-    assert a == b and a["ci_lo"] < a["mean"] < a["ci_hi"] and a["ci_hi"] - a["ci_lo"] == pytest.approx(4 * np.sqrt(a["mean"] * (1 - a["mean"]) / 300), rel=0.35)
-    c = bootstrap.mean_interval(df, ["g"], F.col("x"), F.col("k"), 100, cluster=F.col("s")).first()
-    assert c["ci_lo"] <= c["mean"] <= c["ci_hi"]
-
-
 def test_samples(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 4).cast("string").alias("task"))
     a, b = (sorted(r["id"] for r in sampling.random_sample(d, 20, ["id"]).collect()) for d in (df, df.repartition(9)))
