@@ -78,9 +78,9 @@ def split_draws(weights: np.ndarray, totals: np.ndarray, seed: int, group: str,
     return out
 
 
-def draw(cells: DataFrame, keys: list[str], order: list[str], replicates: int = C.BOOTSTRAP_REPLICATES, seed: int = C.BOOTSTRAP_SEED) -> DataFrame:
-    """``cells`` (keys, order, m: how many rows are alike) by ``_rep`` with ``_w``: how often rows of the cell are drawn in
-    the replicate. Each replicate draws as many rows of a group as it has, with replacement: exactly, not by Poisson.
+def draw_counts(cells: DataFrame, keys: list[str], order: list[str], replicates: int = C.BOOTSTRAP_REPLICATES, seed: int = C.BOOTSTRAP_SEED) -> DataFrame:
+    """``cells`` (keys, order, m: how many rows are alike) with ``_w``: how often rows of the cell are drawn, by
+    replicate. Each replicate draws as many rows of a group as it has, with replacement: exactly, not by Poisson.
 
     The work is cells x replicates, whatever the number of rows. A group's draws are first split between blocks of
     BLOCK cells, then each block's between its cells, in a task of its own. ``keys`` and ``order`` name a cell; which
@@ -103,8 +103,12 @@ def draw(cells: DataFrame, keys: list[str], order: list[str], replicates: int =
 
     dealt = numbered.select("_g", "_b", "_i", "m").join(blocks.groupBy("_g").applyInPandas(between, "_g string, _b long, _n array<long>"), ["_g", "_b"])
     counts = dealt.groupBy("_g", "_b").applyInPandas(within, "_g string, _i int, _w array<long>")
-    drawn = numbered.join(counts, ["_g", "_i"]).drop("_g", "_i", "_b")
-    return drawn.select(*cells.columns, F.posexplode("_w").alias("_rep", "_w")).filter("_w > 0")
+    return numbered.join(counts, ["_g", "_i"]).select(*cells.columns, "_w")
+
+
+def draw(cells: DataFrame, keys: list[str], order: list[str], replicates: int = C.BOOTSTRAP_REPLICATES, seed: int = C.BOOTSTRAP_SEED) -> DataFrame:
+    """`draw_counts` by ``_rep``: the cells that a replicate draws at all, ``_w`` times each."""
+    return draw_counts(cells, keys, order, replicates, seed).select(*cells.columns, F.posexplode("_w").alias("_rep", "_w")).filter("_w > 0")
 
 
 def interval(stats: DataFrame, keys: list[str], stat: str, level: float = C.BOOTSTRAP_LEVEL) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import ids, pixels, text
-from ..operators import bootstrap, grading, manifest, metrics, prompts, sampling
+from ..operators import bootstrap, grading, manifest, metrics, prompts, sampling, statistics
 from ..session import ship_package
 from . import fixtures, oracle, reports
 
@@ -317,6 +317,33 @@ def suite_intervals(spark, sf_dir):
     return bootstrap.suite_intervals(graded(spark, sf_dir), ["model", "task"])
 
 
+RIGHT = f"from graded where {oracle.SCORED} and task = 'T4-TUMOR' group by model"
+HITS = "count(case when lower(trim(gt_label)) = 'yes' and lower(trim(pred_answer)) = 'yes' then 1 end)"
+EITHER = "(4 * count(case when lower(trim(gt_label)) = 'yes' then 1 end) + count(case when lower(trim(pred_answer)) = 'yes' then 1 end))"
+
+
+@query(f"{oracle.BASE} select model, 'f2' as statistic, 5.0::double * {HITS} / nullif({EITHER}, 0) as value {RIGHT} union all select model, 'median', quantile_disc(conf_frac, 0.5) from graded group by model")
+def user_statistics(spark, sf_dir):
+    """An F-score and a median as mergeable aggregates that a user might bring."""
+    g = graded(spark, sf_dir)
+    right = g.filter(metrics.scored() & (F.col("task") == "T4-TUMOR")).select("model", text.fold(F.col("gt_label")).alias("t"), text.fold(F.col("pred_answer")).alias("p"))
+    f2 = statistics.aggregate(right, ["model"], ["t", "p"], statistics.FScore("t", "p", "yes", 2.0))
+    median = statistics.aggregate(g, ["model"], ["conf_frac"], statistics.Quantile("conf_frac"))
+    return f2.select("model", F.lit("f2").alias("statistic"), "value").unionByName(median.select("model", F.lit("median").alias("statistic"), "value"))
+
+
+CONFIDENT = "select model, conf_frac as c, count(*) as m from graded where conf_frac is not null group by all"
+MEDIANS = "select model, rep, min(case when 2 * upto >= total then c end) as stat from (select *, sum(w) over (partition by model, rep order by c) as upto, sum(w) over (partition by model, rep) as total from drawn) group by model, rep"
+
+
+@query(f"{DRAWN}, {oracle.draws(CONFIDENT, 'model', 'c')} select model, value, ci_lo, ci_hi from (select model, quantile_disc(conf_frac, 0.5) as value from graded where conf_frac is not null group by model) join ({oracle.ends('model', 'stat', MEDIANS)}) using (model)")
+def user_statistic_interval(spark, sf_dir):
+    """The interval of a statistic that a user brings: the median confidence of each model."""
+    # exploded, not filtered: a filter would repeat the parsing below it
+    g = graded(spark, sf_dir).select("model", F.explode(F.array_compact(F.array(F.when(metrics.has_confidence(), F.col("conf_frac"))))).alias("c"))
+    return statistics.aggregate_interval(g, ["model"], ["c"], statistics.Quantile("c"))
+
+
 @query()
 def bootstrap_exact_numpy(spark, sf_dir):
     ship_package(spark)
