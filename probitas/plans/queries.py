@@ -560,6 +560,35 @@ def stream_metrics(spark, sf_dir):
     return metrics_of(cells(g.filter("ord % 2 = 0")).unionByName(cells(g.filter("ord % 2 = 1"))), ["model"])
 
 
+LIVE = f"""{oracle.BASE} select a.*, balanced_acc, macro_f1, ece, late.n_late from
+    (select model, {oracle.share('correct', oracle.SCORED)} as accuracy, {oracle.count(oracle.SCORED)} as n, round(avg(case when {oracle.SCORED} then pow(conf_frac - correct::int::double, 2) end), 10) as brier, {OVER},
+      {oracle.share('hallucination', HALL)} as hallucination_rate, {oracle.share('abstained', oracle.ABST)} as abstention_appropriateness from graded group by model) a
+    left join (select * exclude (n) from ({oracle.agreement('graded', 'model')})) using (model) left join (select model, ece from ({oracle.ece('graded', 'model')})) using (model)
+    left join (select model, count(*) as n_late from responses where ord % 5 = 0 group by model) late using (model)"""
+
+
+@query(LIVE)
+def live_metrics(spark, sf_dir):
+    """The suite from the state of a stream: three arrivals of answers, each with answers of the one before again, an arrival
+    of new answers of long ago, and a batch that runs twice."""
+    from ..session import scratch_folder
+    from ..sources.readers import RESPONSES
+    from ..streaming import ingest, live
+
+    source, path, checkpoint = (scratch_folder(spark, x) for x in ("arrivals", "live", "live-checkpoint"))
+    r, exam = fixtures.responses(spark, sf_dir), fixtures.manifest(spark, sf_dir)
+    timed = r.withColumn("timestamp_utc", F.concat(F.lit("2026-01-0"), (F.col("ord") % 3 + 1).cast("string"), F.lit("T12:00:00+00:00")))
+    old = timed.filter("ord % 5 = 0").withColumns({"timestamp_utc": F.lit("2025-01-01T00:00:00+00:00"), "prompt_id": F.concat(F.lit("old "), "prompt_id")})
+    arrivals = [timed.filter((F.col("ord") % 3).isin(k, max(k - 1, 0))) for k in range(3)] + [old]
+    for k, rows in enumerate(arrivals):
+        rows.select(*[c for c in RESPONSES.names if c in rows.columns]).write.json(f"{source}/{k}")
+        if k == 3:
+            live.forget_commit(spark, checkpoint)
+        live.start(ingest.read_stream(spark, f"{source}/*"), exam, path, checkpoint, delay_ms=48 * live.HOUR, salts=1).awaitTermination()
+    suite = metrics.suite(live.latest_cells(spark, path), ["model"]).join(live.late_answers(spark, path).groupBy("model").agg(F.count("*").alias("n_late")), "model", "left")
+    return suite.withColumn("brier", F.round("brier", 10)).select("model", "accuracy", "n", "brier", "overconfidence_index", "confidently_wrong_rate", "n_answered", "hallucination_rate", "abstention_appropriateness", "balanced_acc", "macro_f1", "ece", "n_late")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_accuracy(spark, sf_dir)
 
