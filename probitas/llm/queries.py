@@ -117,14 +117,15 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 
 OP3_SQL = r"""
 with w as (select doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
-s as (select distinct doc_id, list_slice(ws, p, p + 4) as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as p from w where len(ws) > 0) x),
-iw as (select item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from benchmark),
-i as (select distinct item_id, list_slice(ws, p, p + 4) as g from (select item_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as p from iw where len(ws) > 0) x),
-q as (select item_id, count(*) as n_shingles from i group by item_id)
-select doc_id, item_id, n_shingles, count(*) as n_shared from s join i using (g) join q using (item_id) group by doc_id, item_id, n_shingles having 100 * count(*) >= 80 * n_shingles
+iw as (select row_number() over () as r, item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from benchmark),
+ig as (select distinct r, item_id, k, list_slice(ws, p, p + k - 1) as g from (select r, item_id, ws, least(len(ws), 5) as k, unnest(range(1, greatest(len(ws) - 3, 2))) as p from iw where len(ws) > 0) x),
+sets as (select distinct item_id, k, list_sort(list(g)) as gs from ig group by r, item_id, k),
+q as (select row_number() over () as item, item_id, k, gs, len(gs) as n_shingles from sets),
+i as (select item, unnest(gs) as g from q),
+s as (select distinct doc_id, list_slice(ws, p, p + k - 1) as g from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as p from w, (select distinct k from q) z where len(ws) >= k) x)
+select doc_id, item_id, n_shingles, count(*) as n_shared from s join i using (g) join q using (item) group by doc_id, item, item_id, n_shingles having 100 * count(*) >= 80 * n_shingles
 """
 
-
 #: crc32 of a decimal number's text, byte by byte and bit by bit.
 CRC32_SQL = "xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast({0} as varchar), ''), lambda ch: ascii(ch)::bigint)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)))"
 

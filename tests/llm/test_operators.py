@@ -96,25 +96,55 @@ def test_quality_bins(spark):
 
 
 # --- 3
-def test_containment(spark, docs, texts, sf):
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(9001, "a b c"), (9002, None), (9003, ""), (9004, "one two three four five six")], "item_id long, text string"))
+def contained(items, texts):
+    """Plain version: (doc_id, item_id, n_shingles, n_shared), an item being its id and its set."""
+
+    def runs(ws, k):
+        return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
 
-    def shingles(t):
+    sets = set()
+    for item, t in items:
         ws = words((t or "").lower())
-        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
-
-    inside = [(d, shingles(t)) for d, t, *_ in texts]
-    want = set()
-    for item, t in rows_of(items):
-        q = shingles(t)
-        want |= {(d, item, len(q), len(q & s)) for d, s in inside if q and d is not None and 100 * len(q & s) >= 80 * len(q)}
-    got = rows_of(decontam.find_contained(docs, items).select("doc_id", "item_id", "n_shingles", "n_shared").filter("doc_id is not null"))
-    assert set(got) == want and len(got) == len(want) and want
+        if ws:
+            sets.add((item, min(5, len(ws)), frozenset(runs(ws, min(5, len(ws))))))
+    inside = defaultdict(set)
+    for d, t in texts:
+        for k in {k for _, k, _ in sets}:
+            inside[d] |= runs(words((t or "").lower()), k)
+    return Counter((d, item, len(q), len(q & s)) for item, _, q in sets for d, s in inside.items() if d is not None and 100 * len(q & s) >= 80 * len(q))
+
+
+def test_containment(spark, docs, texts, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(9001, "a b c"), (9002, None), (9003, ""), (9004, "one two three four five six"), (9005, "mid two"), (None, "a b c")], "item_id long, text string"))
+    want = contained(rows_of(items), [(d, t) for d, t, *_ in texts])
+    got = Counter(rows_of(decontam.find_contained(docs, items).select("doc_id", "item_id", "n_shingles", "n_shared").filter("doc_id is not null")))
+    assert got == want and len({i for _, i, *_ in want}) > 3
     left = decontam.remove_contaminated(docs, items)
     gone = {d for d, *_ in want}
     assert left.count() == sum(d not in gone for d, *_ in texts)
 
 
+def test_containment_of_repeated_ids_and_short_items(spark, tmp_path):
+    """Halves of two texts of one item_id are no item; equal sets are one; items of one to four words are found in
+    long texts; the SQL says the same."""
+    import duckdb
+    from probitas.llm.queries import OP3_SQL
+
+    a, b = " ".join(f"a{i}" for i in range(14)), " ".join(f"b{i}" for i in range(14))
+    items = [(7, a), (7, b), (7, b.upper()), (7, b), (8, "rare"), (9, "two words"), (10, "three of them"), (11, "now there are four"), (12, None), (12, ""), (13, "same same same same same same")]
+    texts = [(1, f"x {a} y"), (2, " ".join(a.split()[:7] + b.split()[:7])), (3, f"{b} and {a}"), (4, "a RARE find among two\twords"), (5, "two, words now there are four"), (6, "rare"), (7, "filler " * 3000 + "three of them " + "filler " * 3000), (8, "same " * 9), (9, "two"), (None, "rare")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = Counter(rows_of(decontam.find_contained(docs, bench).select("doc_id", "item_id", "n_shingles", "n_shared").filter("doc_id is not null")))
+    assert got == contained(items, texts)
+    assert got[1, 7, 10, 10] == 1 and got[3, 7, 10, 10] == 2 and not any(d == 2 for d, *_ in got) and (7, 10, 1, 1) in got
+    docs.filter("doc_id is not null").toPandas().astype({"doc_id": "int64"}).to_parquet(tmp_path / "d.parquet")
+    bench.toPandas().astype({"item_id": "int64"}).to_parquet(tmp_path / "b.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d.parquet'")
+    con.execute(f"create view benchmark as select * from '{tmp_path}/b.parquet'")
+    assert Counter(con.execute(OP3_SQL).fetchall()) == got
+
+
 # --- 4 and 8
 def repeats(units, width):
     """Per row of (doc_id, units): the places covered by a window that starts in a smaller doc_id."""
