@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.ids import hashed_shuffle, item_seed, option_line, shard_of
+from ..functions.permute import seeded_shuffle
 from ..schemas import PROMPTS
 
 
@@ -52,12 +53,13 @@ def correct_letter(options: Column, label: Column, aliases: Column) -> Column:
     return F.when(F.coalesce(label, F.lit("")) == "", "?").when(at > 0, F.char(at + 64)).otherwise("?")
 
 
-def render(manifest: DataFrame, tasks: DataFrame, templates: DataFrame, system_prompt: str = "", phrasings: list[str] | None = None, formats: list[str] | None = None) -> DataFrame:
+def render(manifest: DataFrame, tasks: DataFrame, templates: DataFrame, system_prompt: str = "", phrasings: list[str] | None = None, formats: list[str] | None = None, exact_order: bool = False) -> DataFrame:
     """One row per image, applicable task, phrasing and format, for the phrasings and formats asked for.
 
     The task and template tables come from configuration files and have some dozens of rows: they are joined to
     each other first, listed by dataset and broadcast; images meet them by an equal key.
-    Multiple choice needs an answer space; its options come in an order hashed from the item.
+    Multiple choice needs an answer space; its options come in an order hashed from the item, or with
+    ``exact_order`` in that of NumPy's shuffle seeded by it (in Python, by batch).
     """
     phrasings, formats = phrasings or C.PHRASINGS, [f.lower() for f in formats or ["mc", "oe"]]
     grid = templates.filter(F.col("phrasing").isin(phrasings) & F.col("fmt").isin(formats)).join(tasks, "task")
@@ -67,7 +69,7 @@ def render(manifest: DataFrame, tasks: DataFrame, templates: DataFrame, system_p
     grid = grid.withColumn("_key", F.explode(listed))
     rows = images.withColumn("_key", F.explode(audience(F.col("dataset"), F.col("_control")))).join(F.broadcast(grid), "_key")
     mc, none = F.col("fmt") == "mc", F.array()
-    shuffled, order = hashed_shuffle(F.col("answer_space"), item_seed(F.col("image_id"), F.col("task"), F.col("phrasing")))
+    shuffled, order = (seeded_shuffle if exact_order else hashed_shuffle)(F.col("answer_space"), item_seed(F.col("image_id"), F.col("task"), F.col("phrasing")))
     rows = rows.withColumns({"mc_options": F.when(mc, shuffled).otherwise(none.cast("array<string>")), "mc_option_order": F.when(mc, order).otherwise(none.cast("array<int>"))})
     text = F.replace(F.col("template"), F.lit("{options}"), F.when(mc, option_line(F.col("mc_options"))).otherwise(""))
     text = F.replace(text, F.lit("{question}"), F.when(mc, F.col("mc_template")).otherwise(F.col("oe_template")))

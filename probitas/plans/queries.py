@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import ids, pixels, text
+from ..functions import ids, permute, pixels, text
 from ..operators import bootstrap, grading, manifest, metrics, prompts, sampling, statistics
 from ..session import ship_package
 from . import fixtures, oracle, reports
@@ -352,9 +352,9 @@ def bootstrap_exact_numpy(spark, sf_dir):
 
 
 # --- prompts -----------------------------------------------------------------------------------------------------
-def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matrix(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     exam = fixtures.manifest(spark, sf_dir).withColumn("path", F.concat(F.lit("/img/"), "image_id", F.lit(".png")))
-    return prompts.render(exam, prompts.task_table(spark, C.default_tasks()), prompts.template_table(spark, C.default_prompts()), C.SYSTEM_PROMPT)
+    return prompts.render(exam, prompts.task_table(spark, C.default_tasks()), prompts.template_table(spark, C.default_prompts()), C.SYSTEM_PROMPT, **options)
 
 
 TASKS = "(values " + ", ".join(f"({oracle.lit(t)}, {oracle.array(s)}, {oracle.array(C.APPLIES_TO[t])})" for t, s in C.ANSWER_SPACES.items()) + ") as t(task, space, datasets)"
@@ -366,6 +366,17 @@ MATRIX = f"""with manifest as ({oracle.MANIFEST}), p as (select m.*, task, space
 """
 
 
+SEEDED = permute.sql("select image_id, task, phrasing, space, seed::bigint as seed, len(space) as n from s where fmt = 'mc'")
+
+
+@query(f"{MATRIX}, {SEEDED} select concat_ws('__', image_id, task, phrasing, 'mc') as prompt_id, array_to_string(list_transform(ord, lambda k: space[k + 1]), '|') as options, array_to_string(ord, ',') as option_order from permuted")
+def seeded_options(spark, sf_dir):
+    """Multiple-choice options in the order of NumPy's shuffle, seeded by the item."""
+    ship_package(spark)
+    m = _matrix(spark, sf_dir, exact_order=True).filter("format = 'MC'")
+    return m.select("prompt_id", F.array_join("mc_options", "|").alias("options"), F.array_join(F.transform("mc_option_order", lambda i: i.cast("string")), ",").alias("option_order"))
+
+
 @query(
     f"""{MATRIX} select concat_ws('__', image_id, task, phrasing, fmt) as prompt_id, image_id, task, phrasing, upper(fmt) as format, case when fmt = 'mc' then array_to_string(options, '|') else '' end as options,
     case when fmt = 'mc' then coalesce(chr(cast(64 + list_position([lower(v) for v in options], lower(label)) as int)), '?') else '' end as mc_correct_letter from l"""
