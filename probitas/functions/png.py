@@ -104,3 +104,22 @@ def from_png(content: Column) -> Column:
         return pd.DataFrame(rows, columns=["width", "height", "pixels", "note"]).astype({"width": "Int32", "height": "Int32"})
 
     return read(content)
+
+
+def png_note(content: Column) -> Column:
+    """struct(width, height, note) of PNG bytes, without their pixels; null fields where they are none."""
+
+    @F.pandas_udf("width int, height int, note string")
+    def read(content: pd.Series) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for body in content:
+            try:
+                parts = dict(chunks(bytes(body)))
+                width, height = struct.unpack_from(">II", parts[b"IHDR"])
+                text = parts.get(b"iTXt", b"")
+                rows.append((width, height, text.split(b"\0", 5)[-1].decode() if text.startswith(b"provenance\0") else ""))
+            except (TypeError, ValueError, KeyError, struct.error):  # no picture
+                rows.append((None, None, None))
+        return pd.DataFrame(rows, columns=["width", "height", "note"]).astype({"width": "Int32", "height": "Int32"})
+
+    return read(content)

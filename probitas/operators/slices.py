@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import png, resample
+from ..session import byte_batches, ship_package
 
 #: The axis that a plane fixes.
 PLANES = {"sagittal": 0, "coronal": 1, "axial": 2}
@@ -41,6 +42,8 @@ def extract(volumes: DataFrame, wanted: DataFrame, side: int = 512, low: float =
     The planes asked of a volume are a small list beside its path, so voxels are shuffled at most once; a volume that is
     none, or of which nothing is wanted, gives no picture; nor does a plane that there is not.
     """
+    ship_package(volumes.sparkSession)
+    byte_batches(volumes.sparkSession)
     planes = wanted.filter(F.col("plane").isin(*PLANES) & F.col("slice_frac").isNotNull()).groupBy("path").agg(F.collect_list(F.struct("image_id", "plane", "slice_frac")).alias("planes"))
     met = volumes.filter(F.col("error").isNull()).join(planes, "path").select("path", "shape", "voxel_size_mm", "sha256_prefix", "data", "planes")
 

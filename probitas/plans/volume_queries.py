@@ -78,7 +78,7 @@ def volume_slices(spark, sf_dir):
     v = spark.read.format("nifti").load(_write(spark, sf_dir))
     wanted = v.select("path", F.explode(F.array(*[F.struct(F.lit(p).alias("plane"), F.lit(x).alias("slice_frac")) for p, x in CUTS])).alias("c"))
     wanted = wanted.select("path", F.concat(F.lit("v"), NUMBER.cast("string")).alias("image_id"), "c.plane", "c.slice_frac")
-    s = slices.extract(v, wanted).withColumn("picture", png.from_png(F.col("content")))
+    s = slices.extract(v, wanted).withColumn("picture", png.png_note(F.col("content")))
     level = lambda i: F.conv(F.hex(F.substring("raw", i, F.lit(1))), 16, 10).cast("long") * i
     placed = F.aggregate(F.transform(F.sequence(F.lit(1), F.length("raw")), level), F.lit(0).cast("long"), lambda a, x: a + x)
     return s.select(NUMBER.alias("volume"), "plane", "slice_index", F.col("rows").cast("long").alias("rows"), F.col("columns").cast("long").alias("columns"), placed.alias("placed"), F.get_json_object("picture.note", "$.original_slice_resolution").alias("resolution"), F.col("picture.width").cast("long").alias("width"))

@@ -43,6 +43,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def byte_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Rows go to Python in batches of at most so many bytes (one row at least): volumes and pictures are large."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 62)).rstrip("bB")) > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; in a session of one machine
     without that setting, in a temporary folder."""

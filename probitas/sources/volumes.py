@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions import nifti
-from ..session import ship_package
+from ..session import byte_batches, ship_package
 
 SCHEMA = "path string, shape array<int>, voxel_size_mm array<double>, affine array<double>, axes string, sha256_prefix string, data array<float>, error string"
 ARROW = pa.schema([("path", pa.string()), ("shape", pa.list_(pa.int32())), ("voxel_size_mm", pa.list_(pa.float64())), ("affine", pa.list_(pa.float64())), ("axes", pa.string()), ("sha256_prefix", pa.string()), ("data", pa.list_(pa.float32())), ("error", pa.string())])
@@ -203,4 +203,5 @@ def decode_files(files: DataFrame, canonical: bool = True, mode: str = "PERMISSI
                 if _accepted(row, mode):
                     yield _batch(row)
 
+    byte_batches(files.sparkSession)
     return files.select("path", F.col("content").cast("binary")).mapInArrow(rows, SCHEMA)

@@ -179,6 +179,13 @@ def test_slices(spark, folder):
         assert (grey == resample.letterbox(picture, 16, 16)).all() and note["original_shape"] == list(x.shape) and note["image_id"] == r["image_id"] and note["output_size"] == [16, 16]
 
 
+def test_notes_of_pictures(spark):
+    made = png.encode(np.zeros((3, 5), np.uint8), "für \0 alle")
+    df = spark.createDataFrame([(1, bytearray(made)), (2, bytearray(b"none")), (3, None), (4, bytearray(png.encode(np.zeros((1, 1), np.uint8))))], "id int, c binary")
+    got = {r["id"]: tuple(r["n"]) for r in df.select("id", png.png_note(F.col("c")).alias("n")).collect()}
+    assert got == {1: (5, 3, "für \0 alle"), 2: (None, None, None), 3: (None, None, None), 4: (1, 1, "")}
+
+
 def test_windows():
     x = np.arange(101, dtype=np.float32)
     assert slices.windowed(x).tolist() == [int((min(max(v, 1), 99) - 1) / 98 * 255) for v in range(101)]
