@@ -45,7 +45,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def byte_batches(spark: SparkSession, most: int = 32 << 20) -> None:
     """Rows go to Python in batches of at most so many bytes (one row at least): volumes and pictures are large."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 62)).rstrip("bB")) > most:
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")
+    if not now.isdigit() or int(now) > most:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
