@@ -33,7 +33,10 @@ def _write(spark, sf_dir) -> str:
     return path
 
 
-NUMBER = F.regexp_extract("path", r"v([0-9]+)\.nii\.gz$", 1).cast("long")
+def _number():
+    return F.regexp_extract("path", r"v([0-9]+)\.nii\.gz$", 1).cast("long")
+
+
 
 #: The voxels as stored, with their places after turning: world axis by world axis.
 VOXELS = f"""
@@ -59,7 +62,7 @@ def volume_round_trip(spark, sf_dir):
     at = lambda i: 1 + F.floor(i / (ny * nz)) + 100 * (F.floor(i / nz) % ny) + 10000 * (i % nz)
     placed = F.aggregate(F.transform("data", lambda x, i: F.floor(x.cast("double") * 10000) * at(i)), F.lit(0).cast("long"), lambda a, x: a + x)
     size = lambda i: F.get("voxel_size_mm", F.lit(i))
-    return v.select(NUMBER.alias("volume"), F.get("shape", F.lit(0)).cast("long").alias("nx"), ny.cast("long").alias("ny"), nz.cast("long").alias("nz"), size(0).alias("dx"), size(1).alias("dy"), size(2).alias("dz"), "axes", placed.alias("placed"))
+    return v.select(_number().alias("volume"), F.get("shape", F.lit(0)).cast("long").alias("nx"), ny.cast("long").alias("ny"), nz.cast("long").alias("nz"), size(0).alias("dx"), size(1).alias("dy"), size(2).alias("dz"), "axes", placed.alias("placed"))
 
 
 CUTS = [("axial", 0.5), ("sagittal", 0.25), ("coronal", 0.6)]
@@ -77,11 +80,11 @@ def volume_slices(spark, sf_dir):
     """Three planes of every volume: grey levels in place, and what the picture's file says of itself."""
     v = spark.read.format("nifti").load(_write(spark, sf_dir))
     wanted = v.select("path", F.explode(F.array(*[F.struct(F.lit(p).alias("plane"), F.lit(x).alias("slice_frac")) for p, x in CUTS])).alias("c"))
-    wanted = wanted.select("path", F.concat(F.lit("v"), NUMBER.cast("string")).alias("image_id"), "c.plane", "c.slice_frac")
+    wanted = wanted.select("path", F.concat(F.lit("v"), _number().cast("string")).alias("image_id"), "c.plane", "c.slice_frac")
     s = slices.extract(v, wanted).withColumn("picture", png.png_note(F.col("content")))
     level = lambda i: F.conv(F.hex(F.substring("raw", i, F.lit(1))), 16, 10).cast("long") * i
     placed = F.aggregate(F.transform(F.sequence(F.lit(1), F.length("raw")), level), F.lit(0).cast("long"), lambda a, x: a + x)
-    return s.select(NUMBER.alias("volume"), "plane", "slice_index", F.col("rows").cast("long").alias("rows"), F.col("columns").cast("long").alias("columns"), placed.alias("placed"), F.get_json_object("picture.note", "$.original_slice_resolution").alias("resolution"), F.col("picture.width").cast("long").alias("width"))
+    return s.select(_number().alias("volume"), "plane", "slice_index", F.col("rows").cast("long").alias("rows"), F.col("columns").cast("long").alias("columns"), placed.alias("placed"), F.get_json_object("picture.note", "$.original_slice_resolution").alias("resolution"), F.col("picture.width").cast("long").alias("width"))
 
 
 SIDES = (12, 40)
