@@ -282,39 +282,53 @@ def classifier_scores(spark, sf_dir):
 CELLS = f"select model, task, correct::int::double as s, 1 as c, count(*) as m from graded where {oracle.SCORED} group by all"
 CLUSTERS = f"select model, task, s, c, count(*) as m from (select model, task, subject_id, sum(correct::int::double) as s, count(*) as c from graded where {oracle.SCORED} and subject_id is not null group by all) group by all"
 DRAWN = oracle.BASE.replace("with ", "with recursive ", 1)
+#: Means of scores may be decimals of a few digits, so that sums in another order fall on either side of a rounding's
+#: edge: to 13 digits both sides are the same number.
+DIGITS = 13
 
 
-@query(f"{DRAWN}, {oracle.mean_interval(CELLS, 'model, task')}")
+def _near(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, DIGITS) for c, t in df.dtypes if t == "double"})
+
+
+def _near_sql(sql: str, *columns: str) -> str:
+    return f"select * replace ({', '.join(f'round({c}, {DIGITS}) as {c}' for c in columns)}) from ({sql})"
+
+
+@query(_near_sql(f"{DRAWN}, {oracle.mean_interval(CELLS, 'model, task')}", "mean", "ci_lo", "ci_hi"))
 def bootstrap_accuracy_ci(spark, sf_dir):
-    return bootstrap.mean_interval(graded(spark, sf_dir).filter(metrics.scored()), ["model", "task"], F.col("correct"))
+    return _near(bootstrap.mean_interval(graded(spark, sf_dir).filter(metrics.scored()), ["model", "task"], F.col("correct")))
 
 
-@query(f"{DRAWN}, {oracle.mean_interval(CLUSTERS, 'model, task')}")
+@query(_near_sql(f"{DRAWN}, {oracle.mean_interval(CLUSTERS, 'model, task')}", "mean", "ci_lo", "ci_hi"))
 def clustered_bootstrap_ci(spark, sf_dir):
-    return bootstrap.mean_interval(with_exam(spark, sf_dir).filter(metrics.scored()), ["model", "task"], F.col("correct"), cluster=F.col("subject_id"))
+    return _near(bootstrap.mean_interval(with_exam(spark, sf_dir).filter(metrics.scored()), ["model", "task"], F.col("correct"), cluster=F.col("subject_id")))
 
 
 POPULATIONS = oracle.populations("model")
 
 
-@query(f"{DRAWN}, {oracle.suite_intervals('model', POPULATIONS)} select model, ece_ci_lo as ci_lo, ece_ci_hi as ci_hi from suite_ci")
+@query(_near_sql(f"{DRAWN}, {oracle.suite_intervals('model', POPULATIONS)} select model, ece_ci_lo as ci_lo, ece_ci_hi as ci_hi from suite_ci", "ci_lo", "ci_hi"))
 def bootstrap_ece_ci(spark, sf_dir):
-    return bootstrap.suite_intervals(graded(spark, sf_dir), ["model"], pops=["confidence"]).select("model", F.col("ece_ci_lo").alias("ci_lo"), F.col("ece_ci_hi").alias("ci_hi"))
+    return _near(bootstrap.suite_intervals(graded(spark, sf_dir), ["model"], pops=["confidence"]).select("model", F.col("ece_ci_lo").alias("ci_lo"), F.col("ece_ci_hi").alias("ci_hi")))
 
 
-@query(f"{DRAWN}, {oracle.suite_intervals('model', POPULATIONS)} select model, balanced_acc_ci_lo as balanced_lo, balanced_acc_ci_hi as balanced_hi, macro_f1_ci_lo as f1_lo, macro_f1_ci_hi as f1_hi from suite_ci")
+@query(_near_sql(f"{DRAWN}, {oracle.suite_intervals('model', POPULATIONS)} select model, balanced_acc_ci_lo as balanced_lo, balanced_acc_ci_hi as balanced_hi, macro_f1_ci_lo as f1_lo, macro_f1_ci_hi as f1_hi from suite_ci", "balanced_lo", "balanced_hi", "f1_lo", "f1_hi"))
 def bootstrap_agreement_ci(spark, sf_dir):
     ci = bootstrap.suite_intervals(graded(spark, sf_dir), ["model"], pops=["scored"])
-    return ci.select("model", *[F.col(f"{a}_ci_{e}").alias(f"{b}_{e}") for a, b in (("balanced_acc", "balanced"), ("macro_f1", "f1")) for e in ("lo", "hi")])
+    return _near(ci.select("model", *[F.col(f"{a}_ci_{e}").alias(f"{b}_{e}") for a, b in (("balanced_acc", "balanced"), ("macro_f1", "f1")) for e in ("lo", "hi")]))
 
 
 NAMES = ("accuracy", "balanced_acc", "macro_f1", "ece", "brier", "hallucination", "abstention")
 
 
-@query(f"{DRAWN}, {oracle.suite_intervals('model, task', oracle.populations('model, task'))} select model, task, {', '.join(f'{n}_ci_{e}' for n in NAMES for e in ('lo', 'hi'))} from suite_ci")
+ENDS = [f"{n}_ci_{e}" for n in NAMES for e in ("lo", "hi")]
+
+
+@query(_near_sql(f"{DRAWN}, {oracle.suite_intervals('model, task', oracle.populations('model, task'))} select model, task, {', '.join(ENDS)} from suite_ci", *ENDS))
 def suite_intervals(spark, sf_dir):
     """All intervals of each model and task, at the published number of replicates."""
-    return bootstrap.suite_intervals(graded(spark, sf_dir), ["model", "task"])
+    return _near(bootstrap.suite_intervals(graded(spark, sf_dir), ["model", "task"]))
 
 
 RIGHT = f"from graded where {oracle.SCORED} and task = 'T4-TUMOR' group by model"
