@@ -74,7 +74,7 @@ def test_run_on_nothing(spark, none, sf, tmp_path):
 
 def test_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 14)] and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
 
 
