@@ -102,6 +102,8 @@ def draw_counts(cells: DataFrame, keys: list[str], order: list[str], replicates:
         return pd.DataFrame({"_g": pdf["_g"], "_i": pdf["_i"], "_w": list(counts)})
 
     dealt = numbered.select("_g", "_b", "_i", "m").join(blocks.groupBy("_g").applyInPandas(between, "_g string, _b long, _n array<long>"), ["_g", "_b"])
+    # by a number of partitions: a block is little data and much work, so small partitions are not to be put together
+    dealt = dealt.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_g", "_b")
     counts = dealt.groupBy("_g", "_b").applyInPandas(within, "_g string, _i int, _w array<long>")
     return numbered.join(counts, ["_g", "_i"]).select(*cells.columns, "_w")
 
