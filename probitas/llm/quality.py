@@ -12,10 +12,11 @@ SYMBOLS = "#*$%&|<>"
 EXACT_BELOW = 64
 #: A fence needs at least so many documents of its (lang, source); else the language's sketch, else everyone's.
 LEAST_DOCS = 100
-#: A document is dropped by a measure above both the 99th percentile and q3 + FENCE * max(q3 - q1, FLOOR).
+#: A document is dropped by a measure above q3 + FENCE * max(q3 - q1, its least spread), whatever share that is.
 FENCE = 6
-#: The measures that are fenced, per 1000 words, with their least spread.
-MEASURES = {"m_repeat": 50, "m_symbols": 40, "m_dup_lines": 40, "m_long_words": 1500}
+#: The measures that are fenced, per 1000 words, with their least spread. The base rule leaves at most 200 repeated words
+#: per 1000, so that measure's fence has to start below.
+MEASURES = {"m_repeat": 30, "m_symbols": 40, "m_dup_lines": 40, "m_long_words": 1500}
 
 
 def words_of(text: Column) -> Column:
@@ -124,8 +125,8 @@ def fences(measured: DataFrame, groups: list[str]) -> DataFrame:
             return top_of_bin(F.aggregate("bins", start, step, lambda acc: acc["bin"]))
 
         floor = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
-        got = got.withColumns({"q1": quantile(0.25), "q3": quantile(0.75), "q99": quantile(0.99)})
-        fence = F.greatest(F.col("q99"), F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), floor))
+        got = got.withColumns({"q1": quantile(0.25), "q3": quantile(0.75)})
+        fence = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), floor)
         row = got.groupBy(*keys).pivot("measure", list(MEASURES)).agg(F.first(fence)).join(got.groupBy(*keys).agg(F.first("docs").alias("docs")), keys, "inner") if keys else got.groupBy(F.lit(1).alias("_one")).pivot("measure", list(MEASURES)).agg(F.first(fence)).withColumn("docs", F.lit(LEAST_DOCS).cast("long")).drop("_one")
         row = row.filter(F.col("docs") >= LEAST_DOCS).select(F.lit(level).alias("level"), *[F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in groups], *MEASURES)
         out = row if out is None else out.unionByName(row)
@@ -136,7 +137,8 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """``docs`` with the base measures and ``kept``.
 
     kept is false where the base rule fails, else false where a measure is beyond the fence of the document's
-    (lang, source); groups of under 100 documents take the language's fence, then everyone's. Null languages
+    (lang, source); groups of under 100 documents take the language's fence, then everyone's. Quartiles set the fence, so
+    up to a quarter of a group may lie beyond it and none has to. Null languages
     and sources form groups of their own. An empty table gives an empty result. Other columns pass through, those of
     the new names are replaced; without ``keep_text`` the text is dropped. Measures are made once and staged.
     """

@@ -101,11 +101,11 @@ m as (select d.rid, doc_id, lang, source, len(ws) as n_words,
   cast(coalesce(cover.n, 0) as bigint) as n_repeat_words
   from d join w using (rid) left join cover using (rid)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, coalesce('=' || lang, '') as lk, coalesce('=' || source, '') as sk from m),
-v as (select rid, lk, sk, base_failed, unnest([{'k': 1, 'f': 50, 'x': n_repeat_words * 1000 // greatest(n_words, 1)}, {'k': 2, 'f': 40, 'x': n_symbols * 1000 // greatest(n_words, 1)},
+v as (select rid, lk, sk, base_failed, unnest([{'k': 1, 'f': 30, 'x': n_repeat_words * 1000 // greatest(n_words, 1)}, {'k': 2, 'f': 40, 'x': n_symbols * 1000 // greatest(n_words, 1)},
   {'k': 3, 'f': 40, 'x': n_dup_lines * 1000 // greatest(n_words, 1)}, {'k': 4, 'f': 1500, 'x': word_chars * 1000 // greatest(n_words, 1)}]) as s from b),
 c as (select rid, lk, sk, s.k as k, s.f as f, s.x as x, case when s.x < 64 then s.x else ((s.x >> (len(bin(s.x)) - 6)) + 1) * (1 << (len(bin(s.x)) - 6)) - 1 end as top from v where not base_failed),
 g as (select case when grouping(lk) = 1 then 2 when grouping(sk) = 1 then 1 else 0 end as level, lk, sk, k, count(*) as docs,
-  greatest(quantile_disc(top, 0.99), quantile_disc(top, 0.75) + 6 * greatest(quantile_disc(top, 0.75) - quantile_disc(top, 0.25), any_value(f))) as fence
+  quantile_disc(top, 0.75) + 6 * greatest(quantile_disc(top, 0.75) - quantile_disc(top, 0.25), any_value(f)) as fence
   from c group by grouping sets ((lk, sk, k), (lk, k), (k))),
 j as (select v.rid, bool_or(v.s.x > coalesce(g0.fence, g1.fence, g2.fence)) as beyond from v
   left join g g0 on g0.level = 0 and g0.docs >= 100 and g0.lk = v.lk and g0.sk = v.sk and g0.k = v.s.k

@@ -82,8 +82,34 @@ def test_quality(docs, texts):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeat)
         assert r["base_failed"] == (n < 10 or 100 * repeat > 20 * n)
         assert not (r["base_failed"] and r["kept"])
-    good = [r for r in out if not r["base_failed"]]
-    assert sum(r["kept"] for r in good) > 0.95 * len(good)
+
+
+def test_quality_labels(spark):
+    """The fences see no labels: nearly all junk that passes the base rule goes, nearly all clean text stays."""
+    at = "/root/testdata/sf0.01/{}.parquet"
+    docs, labels = spark.read.parquet(at.format("documents")), spark.read.parquet(at.format("labels"))
+    out = quality.apply_rules(docs).filter("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    kept = lambda q: [r["kept"] for r in out if r["quality"] == q]
+    assert len(kept(0)) > 20 and sum(kept(0)) <= 0.1 * len(kept(0))
+    assert len(kept(1)) > 300 and sum(kept(1)) >= 0.99 * len(kept(1))
+
+
+def test_quality_fences(spark):
+    """A source of which a twentieth is junk loses all of it; a source that always writes so keeps its texts; a measure's fence
+    lies within what the base rule leaves."""
+    word = lambda i, k: f"w{i}x{k}"
+    plain = lambda i: " ".join(word(i, k) for k in range(100))
+    symbols = lambda i: " ".join(word(i, k) + "$%" for k in range(100))
+    repeats = lambda i: " ".join([*(word(i, k) for k in range(80)), *(word(i, k) for k in range(10)), *(word(i, k) for k in range(80, 90))])
+    rows = [(i, symbols(i) if i % 20 == 0 else plain(i), "en", "web") for i in range(400)]
+    rows += [(400 + i, symbols(i), "en", "code") for i in range(150)]
+    rows += [(600 + i, repeats(i) if i < 5 else plain(i), None, "copy") for i in range(150)]
+    rows += [(800, symbols(0), "en", "small"), (801, symbols(0), "xx", None), (802, plain(7), "xx", None)]
+    out = {r["doc_id"]: r for r in quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    gone = {i for i, r in out.items() if not r["kept"]}
+    assert gone >= {i for i in range(400) if i % 20 == 0} | {600 + i for i in range(5)}
+    assert gone <= {i for i in range(400) if i % 20 == 0} | {600 + i for i in range(5)} | {800, 801}
 
 
 def test_quality_bins(spark):
