@@ -8,7 +8,7 @@ from .. import config as C
 from ..functions import ids, pixels, png
 from ..operators import manifest, prompts
 from ..session import scratch_folder, ship_package
-from ..sources import readers, runners, writers
+from ..sources import readers, runners, workbooks, writers
 from . import fixtures, oracle
 from .queries import MATRIX, _matrix, query
 
@@ -84,6 +84,32 @@ def demographics(spark, sf_dir):
     return one.select(F.lit("ixi").alias("source"), "*").unionByName(two.select(F.lit("oasis").alias("source"), "*"))
 
 
+@query("""select printf('IXI%03d', c_custkey) as subject_id, case c_custkey % 3 when 1 then 'M' when 2 then 'F' end as demo_sex, case when c_acctbal >= 0 then (c_custkey % 90)::double + 0.5 end as demo_age from customer""")
+def demographics_workbook(spark, sf_dir):
+    """Demographics of spreadsheets: numbers as numbers, unknown ages as text, over several workbooks."""
+    t, k, path = fixtures.table(spark, sf_dir, "customer"), F.col("c_custkey"), scratch_folder(spark, "workbooks")
+    sheet = t.select(k.alias(" ixi_id"), (k % 3).alias("Sex_id (1=m, 2=f)"), F.when(F.col("c_acctbal") >= 0, (k % 90).cast("double") + 0.5).alias("Age"), F.lit("n/a").alias("note"))
+    workbooks.register(spark)
+    sheet.repartition(3, " ixi_id").write.format("workbook").mode("overwrite").save(path)
+    return readers.ixi_demographics(workbooks.read_workbook(spark, path))
+
+
+@query(
+    """select o_orderkey, o_orderdate::date::varchar as day, round(o_totalprice::double, 2) as price, case when o_orderkey % 3 > 0 then o_orderpriority || ' <&> ' || (o_orderkey % 20000)::varchar end as note, o_orderkey % 2 = 0 as even,
+      strftime(o_orderdate::date, '%Y-%m-%d') || printf(' %02d:30:15', (o_orderkey % 24)::int) as moment from orders"""
+)
+def workbook_round_trip(spark, sf_dir):
+    """Orders as workbooks: dates, times, numbers, truth values, shared and single texts, blanks."""
+    t, path = fixtures.table(spark, sf_dir, "orders"), scratch_folder(spark, "orders")
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    note = F.when(key % 3 > 0, F.concat("o_orderpriority", F.lit(" <&> "), (key % 20000).cast("string")))
+    moment = F.concat_ws(" ", day.cast("string"), F.format_string("%02d:30:15", (key % 24).cast("int"))).cast("timestamp_ntz")
+    workbooks.register(spark)
+    t.select(key, day.alias("day"), F.round(F.col("o_totalprice").cast("double"), 2).alias("price"), note.alias("note"), (key % 2 == 0).alias("even"), moment.alias("moment")).write.format("workbook").mode("append").save(path)
+    got = workbooks.read_workbook(spark, path, schema="o_orderkey long, day date, price double, note string, even boolean, moment string")
+    return got.withColumn("day", F.col("day").cast("string"))
+
+
 NUMBER = "lpad(cast(p_partkey as varchar(20)), 9, '0')"
 PATHS_SQL = f"""select 'brats' as dataset, concat('/d/BraTS_', {NUMBER}, '/BraTS_', {NUMBER}, '_', case p_partkey % 6 when 0 then 't1' when 1 then 't1ce' when 2 then 't2' when 3 then 'flair' when 4 then 'seg' else 'T1N' end, '.nii.gz') as path from {{part}}
 union all select 'ixi', concat('/d/IXI', {NUMBER}, '-Guys-', case p_partkey % 6 when 0 then 'T1' when 1 then 'T2' when 2 then 'PD' when 3 then 'MRA' when 4 then 'DTI' else 'XX' end, '.nii.gz') from {{part}}

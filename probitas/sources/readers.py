@@ -52,8 +52,10 @@ def normalise_headers(df: DataFrame) -> DataFrame:
 
 
 def ixi_demographics(table: DataFrame) -> DataFrame:
-    """(subject_id, demo_sex, demo_age) from columns IXI_ID, SEX_ID (1 M, 2 F), AGE in any case."""
+    """(subject_id, demo_sex, demo_age) from columns IXI_ID, SEX_ID (1 M, 2 F), AGE in any case; none without ids."""
     t = normalise_headers(table)
+    if "IXI_ID" not in t.columns:
+        return table.sparkSession.createDataFrame([], "subject_id string, demo_sex string, demo_age double")
     sex = next((c for c in t.columns if c.startswith("SEX")), None)
     code = F.col(f"`{sex}`").try_cast("int") if sex else F.lit(None).cast("int")
     age = F.col("AGE").try_cast("double") if "AGE" in t.columns else F.lit(None).cast("double")

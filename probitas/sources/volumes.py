@@ -130,6 +130,8 @@ class VolumeWriter(DataSourceArrowWriter):
     own; when all have ended, the files are moved, and ``overwrite`` removes the older ones then. A failed job leaves
     what was there."""
 
+    written = "*.nii.gz"
+
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
@@ -151,7 +153,7 @@ class VolumeWriter(DataSourceArrowWriter):
         store, top = _store(self.path)
         done = [m for m in messages if m is not None]
         if self.overwrite:
-            for path, _ in _listed(self.path, "*.nii.gz"):
+            for path, _ in _listed(self.path, self.written):
                 store.delete_file(path)
         for m in done:
             for name in m.names:
