@@ -8,7 +8,7 @@ from .. import config as C
 from ..functions import ids, pixels, png
 from ..operators import manifest, prompts
 from ..session import scratch_folder, ship_package
-from ..sources import readers, runners, workbooks, writers
+from ..sources import readers, runners, snapshots, workbooks, writers
 from . import fixtures, oracle
 from .queries import MATRIX, _matrix, query
 
@@ -68,6 +68,29 @@ def replaced_table(spark, sf_dir):
     return spark.read.parquet(f"{path}.bak").unionByName(spark.read.parquet(path))
 
 
+@query(
+    """select 'read' as kind, n as at, case when n = 3 then 1 else n end as version, o_orderkey, o_totalprice::double * case when n = 3 then 1 else n end as price from orders, (values (1), (2), (3)) as t(n)
+    union all select 'listed', n, n, null, null from (values (1), (3)) as t(n)"""
+)
+def snapshot_table(spark, sf_dir):
+    """Orders published three times: the backup, a version made from it, the backup restored; then the second expires."""
+    path, t = scratch_folder(spark, "snapshots"), fixtures.table(spark, sf_dir, "orders")
+    snapshots.publish(t.select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.lit(1).alias("version")), path, expect=0)
+    snapshots.publish(snapshots.read(spark, path).withColumns({"price": F.col("price") * 2, "version": F.col("version") + 1}), path, expect=1)
+    second = snapshots.read(spark, path)
+    snapshots.restore(spark, path, 1)
+    rows = [snapshots.read(spark, path, 1), second, snapshots.read(spark, path)]
+    out = None
+    for n, part in enumerate(rows, 1):
+        part = part.select(F.lit("read").alias("kind"), F.lit(n).alias("at"), "version", "o_orderkey", "price")
+        out = part if out is None else out.unionByName(part)
+    kept = scratch_folder(spark, "snapshots-read")
+    out.write.parquet(kept)
+    snapshots.expire(spark, path, 0)
+    listed = snapshots.history(spark, path).select(F.lit("listed").alias("kind"), F.col("version").cast("int").alias("at"), F.col("version").cast("int").alias("version"))
+    return spark.read.parquet(kept).unionByName(listed, allowMissingColumns=True)
+
+
 @query(
     """select 'ixi' as source, printf('IXI%03d', c_custkey) as subject_id, case c_custkey % 3 when 1 then 'M' when 2 then 'F' end as demo_sex, case when c_acctbal >= 0 then (c_custkey % 90)::double + 0.5 end as demo_age from customer
     union all select 'oasis', printf('OAS%04d', c_custkey), case when c_custkey % 2 = 0 then 'M' else 'F' end, (c_custkey % 90)::double from customer"""

@@ -47,14 +47,30 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
         out.close()
     if fs.exists(at) and fs.getFileStatus(at).isDirectory():  # what another writer left there is no file to rename over
         fs.delete(at, True)
-    _rename(spark, new, at)
+    rename_over(spark, new, at)
     fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
 
 
-def _rename(spark: SparkSession, source, target) -> None:
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """(jvm, path, store) for files that are read while they are replaced: local ones without their checksums, which lie in
+    a second file and so can not change in the same step."""
+    jvm, at, fs = _fs(spark, path)
+    return jvm, at, fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs
+
+
+def rename_over(spark: SparkSession, source, target) -> None:  # noqa: ANN001
     """Move ``source`` to ``target``, over an old file in the same step where the store can."""
-    jvm = spark.sparkContext._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    jvm, _, fs = file_system(spark, target.toString())
+    if fs.getUri().getScheme() == "file":  # FileContext would delete the old file first
+        hidden = lambda p: jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.crc")
+        for p in (source, target):
+            fs.delete(hidden(p), False)
+        if not fs.rename(source, target):
+            raise OSError(f"{source.toString()} could not be moved to {target.toString()}")
+        return
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs.FileContext
+    context = files.getFileContext(target.toUri(), conf) if target.toUri().getScheme() else files.getFileContext(conf)
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(source, target, options)
@@ -66,7 +82,7 @@ def replace_table(df: DataFrame, path: str, keep_backup: bool = True) -> None:
 
     A folder cannot be renamed over another: between two renames there is no table at ``path``. A failure there puts
     the old one back; after a crash there, the old one is at the name it moved to and the new one at
-    ``path.staging-*``, both whole."""
+    ``path.staging-*``, both whole. `snapshots.publish` has no such gap."""
     spark = df.sparkSession
     name = uuid.uuid4().hex
     staging, old = f"{path}.staging-{name}", f"{path}.old-{name}"
