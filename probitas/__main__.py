@@ -12,7 +12,7 @@ from . import config as C
 from .operators import prompts
 from .plans import reports
 from .session import get_session
-from .sources import readers, runners, writers
+from .sources import readers, runlog, runners, writers
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,7 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     p = sub.add_parser("run", help="ask models")
     for option in ("--manifest", "--models", "--out"):
         p.add_argument(option, required=True)
-    for option in ("--tasks", "--prompts", "--model"):
+    for option in ("--tasks", "--prompts", "--model", "--metrics"):
         p.add_argument(option)
     for option, default in (("--index", None), ("--limit", None), ("--shard", 0), ("--shards", 1), ("--batch", 8)):
         p.add_argument(option, type=int, default=default)
@@ -57,7 +57,8 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> None:
 
     registry = spark.createDataFrame([[float(m[c]) if c == "params_b" and m[c] is not None else m[c] for c in REGISTRY.names] for m in C.load_models(args.models)], REGISTRY)
     chosen = [full[r["id"]] for r in runners.select_models(registry, args.model, args.index, args.optional, args.ablation).collect()]
-    for model, status, n in runners.run_models(matrix, chosen, args.out, args.batch, args.dry_run):
+    log = runlog.RunLog(runlog.table_sink(spark, args.metrics)) if args.metrics else None
+    for model, status, n in runners.run_models(matrix, chosen, args.out, args.batch, args.dry_run, log=log):
         print(f"{model}\t{status}\t{n}")
 
 

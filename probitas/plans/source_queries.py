@@ -8,7 +8,7 @@ from .. import config as C
 from ..functions import ids, pixels, png
 from ..operators import manifest, prompts
 from ..session import scratch_folder, ship_package
-from ..sources import readers, runners, snapshots, workbooks, writers
+from ..sources import readers, runlog, runners, snapshots, workbooks, writers
 from . import fixtures, oracle
 from .queries import MATRIX, _matrix, query
 
@@ -261,6 +261,32 @@ def model_selection(spark, sf_dir):
     return out
 
 
+@query(
+    """with o as (select count(*) as n, count(*) filter (where o_orderpriority = '1-URGENT') as urgent, sum(o_orderkey)::bigint as keys from orders)
+    select name, kind, n as rows, n as counted, urgent, keys, 0::double as remaining_seconds from o, (values ('written', 'batch'), ('copied', 'stream')) as t(name, kind)"""
+)
+def run_metrics(spark, sf_dir):
+    """What a batch and a stream tell of themselves while they write orders, with a sink that fails at each record."""
+    t, path = fixtures.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), scratch_folder(spark, "runs")
+    counts = {"urgent": F.count_if(F.col("o_orderpriority") == "1-URGENT"), "keys": F.sum("o_orderkey")}
+
+    def fails(record):
+        raise OSError("no room")
+
+    log = runlog.RunLog(runlog.table_sink(spark, f"{path}/log"), fails)
+    log.run("written", t, lambda df: df.write.parquet(f"{path}/orders"), total=t.count(), **counts)
+    with log.streams(spark):
+        arrivals = runlog.observed(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/orders"), "orders", **counts)
+        writer = arrivals.writeStream.queryName("copied").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
+        writer.format("parquet").start(f"{path}/copy").awaitTermination()
+    records = spark.read.schema(runlog.RECORDS).json(f"{path}/log")
+    told = lambda name: F.coalesce(F.get_json_object("metrics", f"$.orders.{name}"), F.get_json_object("metrics", f"$.{name}")).cast("long")
+    counted = F.when(F.col("kind") == "batch", F.col("rows")).otherwise(told("rows"))
+    total = lambda c, name: F.sum(c).alias(name)
+    left = F.coalesce(F.max("remaining_seconds"), F.lit(0.0)).alias("remaining_seconds")
+    return records.groupBy("name", "kind").agg(total("rows", "rows"), total(counted, "counted"), total(told("urgent"), "urgent"), total(told("keys"), "keys"), left)
+
+
 WORDS = "Cases:\n", "{number}) {question} -> {label} ({confidence})", "\nNow:\n"
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import cache_key, utc_now_iso
 from ..session import ship_package
+from .runlog import RunLog
 
 #: Seconds before each try of a call to a service.
 RETRY_DELAYS = (0, 1, 2, 5, 10, 30)
@@ -154,12 +155,13 @@ def cacheable(responses: DataFrame) -> DataFrame:
     return responses.filter(F.col("status") != "error").select("cache_key", "response").dropDuplicates(["cache_key"])
 
 
-def run_models(prompts: DataFrame, models: list[dict], out: str, batch: int = 8, dry_run: bool = False, check: Callable[[dict], Runner] | None = None) -> list[tuple[str, str, int]]:
+def run_models(prompts: DataFrame, models: list[dict], out: str, batch: int = 8, dry_run: bool = False, check: Callable[[dict], Runner] | None = None, log: RunLog | None = None) -> list[tuple[str, str, int]]:
     """Append each model's responses to its own folder of JSON lines under ``out``; (model, status, prompts) of each.
 
     A prompt that has a response there already is not asked again, so a run that was stopped goes on where it was. A
     hosted model without its key is skipped, and so is one whose runner can not be made or, where ``check`` loads it
     first, not loaded; the others go on. A run that fails has status failed and what its tasks committed is kept.
+    ``log`` is told each model's answers, errors and seconds.
     """
     from ..operators.prompts import pending
     from . import services
@@ -188,7 +190,12 @@ def run_models(prompts: DataFrame, models: list[dict], out: str, batch: int = 8,
             report.append((model, f"not loaded: {e}", n))
             continue
         try:
-            append_json(run_model(todo, model, lambda: make_runner(backend, model, **options), batch), folder)  # noqa: B023
+            answers = run_model(todo, model, lambda: make_runner(backend, model, **options), batch)  # noqa: B023
+            write = lambda df: append_json(df, folder)  # noqa: B023, E731
+            if log is None:
+                write(answers)
+            else:
+                log.run(model, answers, write, total=n, errors=F.count_if(F.col("status") == "error"), gen_seconds=F.sum("gen_seconds"))
             report.append((model, "ok", n))
         except Exception as e:  # the next model may still run
             report.append((model, f"failed: {e}", n))
