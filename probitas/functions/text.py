@@ -31,6 +31,49 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: Where a word may be broken without being too long: after a hyphen between two words of letters, and around a dash of hyphens.
+_LETTER, _BEFORE_DASH = r"[\w&&[^\d]]", r"""[\w!"'&.,?]"""
+BREAKS = rf"""(?U)(?<={_LETTER}{{2}}-|{_LETTER}-{_LETTER}-)(?={_LETTER}-?{_LETTER})|(?<={_BEFORE_DASH})(?=-{{2,}}\w)|(?<={_BEFORE_DASH}-{{2,99}})(?=\w)"""
+
+
+def wrap(text: Column, width: int = 58, lines: int | None = None) -> Column:
+    """The lines of ``text`` as an array, filled word by word to at most ``width`` characters; with ``lines`` the first so many.
+
+    White space of any kind is one blank. A word goes to the next line where it does not fit, in parts where it has hyphens;
+    one longer than a line fills the rest of its line and is cut, after a hyphen where there is one. No text has no lines.
+    """
+    clean = squeeze(F.coalesce(text, F.lit("")))
+    if lines is not None:  # later characters can not reach the first lines
+        clean = F.left(clean, F.lit((lines + 1) * (width + 1)))
+    words = F.filter(F.split(clean, " "), lambda w: w != "")
+    pieces = F.flatten(F.transform(words, lambda w: F.transform(F.split(w, BREAKS), lambda p, i: F.struct(p.alias("text"), (i == 0).alias("gap")))))
+    state = lambda done, now, rest: F.struct(done.alias("done"), now.alias("now"), rest.alias("rest"))
+    closed = lambda done, now: F.when(F.rtrim(now) == "", done).otherwise(F.concat(done, F.array(F.rtrim(now))))
+    blank, none = F.lit(""), F.array().cast("array<string>")
+
+    def step(s: Column) -> Column:
+        done, now, rest = s["done"], s["now"], s["rest"]
+        room = F.lit(width) - F.char_length(now)
+        head = F.left(rest, room)
+        hyphen = F.char_length(head) - F.locate("-", F.reverse(head)) + 1  # the place of the last one, from 1
+        cut = F.when(head.contains("-") & (hyphen > 1) & F.left(head, hyphen - 1).rlike("[^-]"), hyphen).otherwise(room)
+        return (
+            F.when(F.char_length(rest) <= room, state(done, F.concat(now, rest), blank))
+            .when(F.char_length(rest) <= width, state(closed(done, now), rest, blank))
+            .otherwise(state(closed(done, F.concat(now, F.left(rest, cut))), blank, F.substring(rest, cut + 1, F.char_length(rest))))
+        )
+
+    def add(s: Column, piece: Column) -> Column:
+        full = F.char_length(s["now"]) >= width
+        gap = piece["gap"] & (s["now"] != "")
+        begin = F.when(gap & full, state(closed(s["done"], s["now"]), blank, piece["text"])).otherwise(state(s["done"], F.when(gap, F.concat(s["now"], F.lit(" "))).otherwise(s["now"]), piece["text"]))
+        rounds = F.when(F.char_length(piece["text"]) <= width, 1).otherwise(F.char_length(piece["text"]) + 1 if lines is None else F.lit(lines + 2))
+        return F.aggregate(F.sequence(F.lit(1), rounds), begin, lambda a, _: F.when(a["rest"] == "", a).otherwise(step(a)))
+
+    out = F.aggregate(pieces, state(none, blank, blank), add, lambda s: closed(s["done"], s["now"]))
+    return out if lines is None else F.slice(out, 1, lines)
+
+
 def first_group(text: Column, pattern: str) -> Column:
     """Group 1 of the first match, or null."""
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import hash_order
+from ..functions.text import wrap
 
 AUDIT_BLANKS = ["human_pred_answer", "human_confidence", "human_abstained", "human_findings", "parser_agrees_answer", "parser_agrees_confidence", "parser_agrees_abstain", "human_notes"]
 
@@ -56,6 +57,11 @@ def failure_gallery(graded: DataFrame, n: int = 6, seed: int = 42) -> DataFrame:
     return stratified_sample(pool, n, ["task"], ["model", "prompt_id"], seed)
 
 
+def caption(response: Column, width: int = 58, lines: int = 5) -> Column:
+    """A statement under a picture: its first lines, or a note that there is none."""
+    return F.coalesce(F.nullif(F.array_join(wrap(response, width, lines), "\n"), F.lit("")), F.lit("(no statement)"))
+
+
 def noise_example(graded: DataFrame) -> DataFrame:
     """The surest claim that a noise picture is a brain scan; noise by its path first, then any control."""
     pool = graded.filter(F.col("is_negative_control") & (F.col("task") == "T3-ISBRAIN") & (F.col("pred_answer") == "yes") & F.col("confidence").isNotNull())

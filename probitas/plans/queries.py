@@ -534,6 +534,26 @@ def failure_gallery(spark, sf_dir):
     return sampling.failure_gallery(graded(spark, sf_dir)).select("model", "prompt_id", "task")
 
 
+WRAPPED = """select {columns}, coalesce(nullif(array_to_string(string_split(list_reduce(ws, lambda a, w: case when length(string_split(a, chr(10))[-1]) + 1 + length(w) <= 58 then a || ' ' || w else a || chr(10) || w end), chr(10))[1:5], chr(10)), ''), '(no statement)') as caption
+  from (select *, list_filter(string_split_regex({text}, '[ \t\n\r]+'), lambda w: w <> '') as ws from {table}) x"""
+
+
+@query(
+    f"""{oracle.BASE}, p as (select * from graded where format = 'OE' and response is not null and (case when (select count(*) > 0 from graded where format = 'OE' and confidently_wrong) then confidently_wrong else not correct end)),
+    r as (select model, prompt_id, task, response, {HASH} as o, row_number() over (partition by task order by {HASH}, model, prompt_id) as n from p), s as (select count(distinct task) as c from p),
+    g as (select model, prompt_id, response from r, s where n <= greatest(1, 6 // c) order by n, o limit 6) {WRAPPED.format(columns="model, prompt_id", text="response", table="g")}"""
+)
+def gallery_captions(spark, sf_dir):
+    return sampling.failure_gallery(graded(spark, sf_dir)).select("model", "prompt_id", sampling.caption(F.col("response")).alias("caption"))
+
+
+@query(WRAPPED.format(columns="doc_id", text="replace(coalesce(text, ''), '-', ' ')", table="documents"))
+def wrapped_captions(spark, sf_dir):
+    """Captions of texts whose words are all shorter than a line, hyphens as blanks."""
+    t = fixtures.table(spark, sf_dir, "documents")
+    return t.select("doc_id", sampling.caption(F.translate("text", "-", " ")).alias("caption"))
+
+
 @query(f"{oracle.BASE} select model, prompt_id, confidence from graded where is_negative_control and task = 'T3-ISBRAIN' and pred_answer = 'yes' and confidence is not null order by confidence desc, model, prompt_id limit 1")
 def noise_hallucination(spark, sf_dir):
     return sampling.noise_example(graded(spark, sf_dir)).select("model", "prompt_id", "confidence")
