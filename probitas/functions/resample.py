@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 PLACES = 1 << 22
 #: The kernel reaches so many pixels of the coarser picture to either side.
 LOBES = 3
+#: Pictures are given back in pieces of so many bytes, one picture at least: a worker's memory follows them.
+PIECE = 4 << 20
 
 
 def kernel(x: np.ndarray) -> np.ndarray:
@@ -40,27 +43,42 @@ def _levels(x: np.ndarray) -> np.ndarray:
 
 
 def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Grey levels of a picture of another size: along rows, rounded to levels, then along columns."""
-    wide = pixels.astype(float) if pixels.shape[1] == width else _levels(pixels @ weights(pixels.shape[1], width).T)
-    return (wide if pixels.shape[0] == height else _levels(weights(pixels.shape[0], height) @ wide)).astype(np.uint8)
+    """Grey levels of pictures (the last two axes) of another size: along rows, rounded to levels, then along columns."""
+    rows, columns = pixels.shape[-2:]
+    wide = pixels.astype(float) if columns == width else _levels(pixels @ weights(columns, width).T)
+    return (wide if rows == height else _levels(weights(rows, height) @ wide)).astype(np.uint8)
 
 
 def letterbox(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The picture as large as it fits, its shape kept, in the middle of a black one."""
-    scale = min(width / pixels.shape[1], height / pixels.shape[0])
-    w, h = max(1, int(pixels.shape[1] * scale)), max(1, int(pixels.shape[0] * scale))
-    out = np.zeros((height, width), np.uint8)
+    """The picture (or each of several of one size) as large as it fits, its shape kept, in the middle of a black one."""
+    rows, columns = pixels.shape[-2:]
+    scale = min(width / columns, height / rows)
+    w, h = max(1, int(columns * scale)), max(1, int(rows * scale))
+    out = np.zeros((*pixels.shape[:-2], height, width), np.uint8)
     top, left = (height - h) // 2, (width - w) // 2
-    out[top : top + h, left : left + w] = resize(pixels, h, w)
+    out[..., top : top + h, left : left + w] = resize(pixels, h, w)
     return out
 
 
 def letterboxed(pixels: Column, rows: Column, columns: Column, side: int) -> Column:
     """A square of ``side`` from an array of 0 to 255, row by row; null where the pixels are not rows x columns."""
 
+    def piece(pixels: pd.Series, rows: pd.Series, columns: pd.Series) -> pd.Series:
+        out, alike = [None] * len(pixels), {}
+        for i, (p, r, c) in enumerate(zip(pixels, rows, columns, strict=True)):
+            if p is not None and r == r and c == c and r > 0 and c > 0 and len(p) == r * c:
+                alike.setdefault((int(r), int(c)), []).append((i, np.asarray(p)))
+        for (r, c), found in alike.items():
+            boxes = letterbox(np.stack([p for _, p in found]).reshape(-1, r, c), side, side).reshape(-1, side * side).astype(np.int32)
+            for (i, _), box in zip(found, boxes, strict=True):
+                out[i] = box
+        return pd.Series(out, dtype=object)
+
     @F.pandas_udf("array<int>")
-    def make(pixels: pd.Series, rows: pd.Series, columns: pd.Series) -> pd.Series:
-        whole = [p is not None and r == r and c == c and r > 0 and c > 0 and len(p) == r * c for p, r, c in zip(pixels, rows, columns, strict=True)]
-        return pd.Series([letterbox(np.asarray(p).reshape(int(r), int(c)), side, side).ravel().astype(np.int32) if ok else None for ok, p, r, c in zip(whole, pixels, rows, columns, strict=True)])
+    def make(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        step = max(1, PIECE // (4 * side * side))
+        for batch in batches:
+            for i in range(0, len(batch[0]), step):
+                yield piece(*(x.iloc[i : i + step] for x in batch))
 
     return make(pixels, rows, columns)

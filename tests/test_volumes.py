@@ -230,3 +230,16 @@ def test_letterbox(spark):
     df = spark.createDataFrame([(1, [9] * 32, 4, 8), (2, [9] * 31, 4, 8), (3, None, 4, 8), (4, [], 0, 0), (5, [1], None, 1)], "id int, p array<int>, r int, c int")
     got = {r["id"]: r["b"] for r in df.select("id", resample.letterboxed(F.col("p"), F.col("r"), F.col("c"), 16).alias("b")).collect()}
     assert got == {1: box.ravel().tolist(), 2: None, 3: None, 4: None, 5: None}
+
+
+def test_letterboxed_in_pieces(spark, monkeypatch):
+    """Pictures come back in pieces of bounded size, of several sizes beside each other and with those that are none."""
+    monkeypatch.setattr(resample, "PIECE", 4 * 16 * 16 * 3)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(0, 256, 24).tolist() if i % 5 else None, 4 if i % 2 else 3, 6 if i % 2 else 8) for i in range(20)] + [(20, [1, 2], 4, 6)]
+    df = spark.createDataFrame(rows, "id int, p array<int>, r int, c int").coalesce(1)
+    made = resample.letterboxed(F.col("p"), F.col("r"), F.col("c"), 16)
+    got = {r["id"]: r["b"] for r in df.select("id", made.alias("b")).collect()}
+    for i, p, r, c in rows:
+        want = resample.letterbox(np.array(p).reshape(r, c), 16, 16).ravel().tolist() if p and len(p) == r * c else None
+        assert got[i] == want
