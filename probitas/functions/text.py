@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 UNICODE, CASELESS = "(?Ud)", "(?iUd)"
+#: All that Unicode calls white space, as ``(?U)\\s`` does.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def fold(label: Column) -> Column:
@@ -74,23 +76,18 @@ def wrap(text: Column, width: int = 58, lines: int | None = None) -> Column:
     return out if lines is None else F.slice(out, 1, lines)
 
 
-def first_group(text: Column, pattern: str) -> Column:
-    """Group 1 of the first match, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-
-
 def confidence(text: Column) -> Column:
     """Stated confidence 0 to 100: the first pattern whose first match is in range, else null."""
-    numbers = [first_group(text, CASELESS + p).try_cast("int") for p in C.CONFIDENCE_PATTERNS]
-    return F.coalesce(*[F.when(n.between(0, 100), n) for n in numbers])
+    def number(pattern: str) -> Column:  # array functions read the match once; a condition and its value would each match the text
+        found = F.filter(F.array(F.regexp_extract(text, CASELESS + pattern, 1)), lambda v: v != "")
+        return F.get(F.filter(F.transform(found, lambda v: v.try_cast("int")), lambda n: n.between(0, 100)), F.lit(0))
+
+    return F.coalesce(*[number(p) for p in C.CONFIDENCE_PATTERNS])
 
 
 def abstains(text: Column) -> Column:
     """Whether any abstention pattern occurs."""
-    out = F.lit(False)
-    for p in C.ABSTAIN_PATTERNS:
-        out = out | text.rlike(CASELESS + p)
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(text.rlike(CASELESS + "|".join(f"(?:{p})" for p in C.ABSTAIN_PATTERNS)), F.lit(False))
 
 
 def findings(text: Column) -> Column:
@@ -100,10 +97,10 @@ def findings(text: Column) -> Column:
     what stands before it.
     """
     phrases = CASELESS + r"\b(" + "|".join(re.escape(p).replace(r"\ ", " ").replace(r"\-", "-") for p in C.FINDING_PHRASES) + r")\b"
-    text = F.translate(text, "\x01\x02", "")
+    text = F.when(text.contains("\x01") | text.contains("\x02"), F.translate(text, "\x01\x02", "")).otherwise(text)
 
     def listed(parts: Column) -> Column:
-        before = lambda i: F.translate(F.array_join(F.slice(parts, F.lit(1), i), ""), "\x02", "")
+        before = lambda i: F.replace(F.array_join(F.slice(parts, F.lit(1), i), ""), F.lit("\x02"), F.lit(""))
         hits = F.transform(
             F.sequence(F.lit(1), F.size(parts) - 1),
             lambda i: F.struct(F.lower(F.substring_index(F.get(parts, i), "\x02", 1)).alias("phrase"), F.lower(F.right(before(i), F.lit(C.NEGATION_REACH))).alias("context")),
@@ -115,7 +112,7 @@ def findings(text: Column) -> Column:
 
 
 def _cleaned(text: Column) -> Column:
-    return strip(F.regexp_replace(fold(text), r"^\*+|\*+$", ""))
+    return strip(F.btrim(fold(text), F.lit("*")))
 
 
 def let(value: Column, body) -> Column:
@@ -128,12 +125,17 @@ def to_answer(text: Column, space: Column) -> Column:
 
     In order: the label itself; an alias of one; the longest alias inside the text; the longest label inside.
     """
-    aliases = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("label")) for a, c in C.alias_table()])
+    table = C.alias_table()
+    names = F.create_map(*[F.lit(x) for kv in table for x in kv])
+    # by label, its aliases with their places in the table: only those of the space's labels are tried
+    ranked = lambda label: F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(a).alias("alias"), F.lit(c).alias("label")) for i, (a, c) in enumerate(table) if c == label])
+    of_label = F.create_map(*[x for label in dict(map(reversed, table)) for x in (F.lit(label), ranked(label))])
 
     def found(clean: Column) -> Column:
         exact = F.try_element_at(F.filter(space, lambda s: F.lower(s) == clean), F.lit(-1))
-        named = F.try_element_at(F.filter(aliases, lambda a: (a["alias"] == clean) & F.array_contains(space, a["label"])), F.lit(1))["label"]
-        inside = F.try_element_at(F.filter(aliases, lambda a: clean.contains(a["alias"]) & F.array_contains(space, a["label"])), F.lit(1))["label"]
+        named = F.get(F.filter(F.array(F.try_element_at(names, clean)), lambda c: F.array_contains(space, c)), F.lit(0))
+        own = F.flatten(F.array_compact(F.transform(space, lambda s: F.try_element_at(of_label, s))))
+        inside = F.array_min(F.filter(own, lambda a: clean.contains(a["alias"])))["label"]
         by_length = F.array_sort(F.transform(space, lambda s, i: F.struct((-F.length(s)).alias("n"), i.alias("i"), s.alias("s"))))
         label = F.try_element_at(F.filter(by_length, lambda s: clean.contains(F.lower(s["s"]))), F.lit(1))["s"]
         return F.coalesce(exact, named, inside, label)
@@ -161,8 +163,7 @@ def option_answer(text: Column, options: Column, fallback: Column | None = None)
     clean = strip(text)
 
     def pick(pattern: str) -> Column:
-        index = F.ascii(F.upper(first_group(clean, pattern))) - 64
-        return F.when(index.between(1, F.size(options)), F.try_element_at(options, index))
+        return F.get(options, F.ascii(F.upper(F.regexp_extract(clean, pattern, 1))) - 65)  # null beyond the options, and without a match
 
     found = F.coalesce(pick(CASELESS + C.ANSWER_LETTER), pick(UNICODE + C.LEADING_LETTER), to_answer(clean, options) if fallback is None else fallback)
     return F.when((F.coalesce(text, F.lit("")) != "") & (F.size(options) > 0), found)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import fold
-from ..session import ship_package
+from ..session import ship_package, staged
 
 #: Cells of a group that one task draws at a time.
 BLOCK = 1024
@@ -127,17 +127,17 @@ def mean_interval(df: DataFrame, keys: list[str], value: Column, replicates: int
         rows = rows.filter(F.col("_key").isNotNull()).groupBy(*keys, "_key").agg(F.sum("_s").alias("_s"), F.count("*").alias("_n"))
     else:
         rows = rows.withColumn("_n", F.lit(1).cast("long"))
-    cells = rows.groupBy(*keys, "_s", "_n").agg(F.count("*").alias("m"))
+    cells = staged(rows.groupBy(*keys, "_s", "_n").agg(F.count("*").alias("m")), "cells")  # draws and means read it, the rows are read once
     drawn = draw(cells, keys, ["_s", "_n"], replicates, seed)
     stats = drawn.groupBy(*keys, "_rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("_stat"))
     point = cells.groupBy(*keys).agg((F.sum(F.col("_s") * F.col("m")) / F.sum(F.col("_n") * F.col("m"))).alias("mean"), F.sum(F.col("_n") * F.col("m")).alias("n"))
     return point.join(interval(stats, keys, "_stat"), keys)
 
 
-def populations(graded: DataFrame, keys: list[str]) -> DataFrame:
+def populations(graded: DataFrame, keys: list[str], pops: list[str] | None = None) -> DataFrame:
     """Cells (keys, pop, t, p, c, y, m) of the rows that metrics are means over: scored ones by labels and correctness,
-    those with a confidence by it and correctness, open ones by hallucination, those to abstain on by abstention. One
-    pass over the rows."""
+    those with a confidence by it and correctness, open ones by hallucination, those to abstain on by abstention; all or
+    only ``pops``. One pass over the rows."""
     from .metrics import has_confidence, keyed, scored, should_abstain
 
     def cell(pop: str, where: Column, t: Column | None = None, p: Column | None = None, c: Column | None = None, y: Column | None = None) -> Column:
@@ -145,12 +145,11 @@ def populations(graded: DataFrame, keys: list[str]) -> DataFrame:
         return F.when(where, F.struct(F.lit(pop).alias("pop"), (text if t is None else t).alias("t"), (text if p is None else p).alias("p"), (number if c is None else c.cast("double")).alias("c"), y.cast("double").alias("y")))
 
     correct = F.col("correct")
-    each = F.array_compact(
-        F.array(
-            cell("scored", scored(), fold(F.col("gt_label")), fold(F.col("pred_answer")), None, correct), cell("confidence", scored() & has_confidence(), None, None, F.col("conf_frac"), correct),
-            cell("open", F.col("format") == "OE", y=F.col("hallucination")), cell("abstain", should_abstain(), y=F.col("abstained")),
-        )
-    )
+    of = {
+        "scored": (scored(), fold(F.col("gt_label")), fold(F.col("pred_answer")), None, correct), "confidence": (scored() & has_confidence(), None, None, F.col("conf_frac"), correct),
+        "open": (F.col("format") == "OE", None, None, None, F.col("hallucination")), "abstain": (should_abstain(), None, None, None, F.col("abstained")),
+    }
+    each = F.array_compact(F.array(*[cell(pop, *x) for pop, x in of.items() if pops is None or pop in pops]))
     cells = keyed(graded, keys).select(*keys, F.explode(each).alias("_c")).select(*keys, "_c.*").filter("y is not null")
     return cells.groupBy(*keys, "pop", "t", "p", "c", "y").agg(F.count("*").alias("m"))
 
@@ -160,8 +159,8 @@ def suite_intervals(graded: DataFrame, keys: list[str], replicates: int = C.BOOT
     pass over the rows, one draw for all metrics of a population, one chain of aggregates."""
     from .metrics import bin_index
 
-    cells = populations(graded, keys)
-    drawn = draw(cells if pops is None else cells.filter(F.col("pop").isin(pops)), [*keys, "pop"], ["t", "p", "c", "y"], replicates, seed)
+    cells = staged(populations(graded, keys, pops), "cells")  # draws read it several times, the rows are read once
+    drawn = draw(cells, [*keys, "pop"], ["t", "p", "c", "y"], replicates, seed)
     whole = F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("name")))
     none = F.filter(whole, lambda x: F.lit(False))
     bins = F.when(F.col("pop") == "confidence", F.array(F.struct(F.lit("bin").alias("kind"), bin_index(F.col("c")).cast("string").alias("name")))).otherwise(none)

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(name: str = "probitas", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,3 +61,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         path = tempfile.mkdtemp(prefix="probitas-")
         context.setCheckpointDir(path)
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: plans that read it several times make it once."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
