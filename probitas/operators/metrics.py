@@ -75,6 +75,20 @@ def calibration_error(df: DataFrame, keys: list[str], population: str = "scored"
     return per.groupBy(*keys).agg((F.sum(F.abs(F.col("acc") - F.col("conf")) * F.col("n")) / F.sum("n")).alias("ece"), F.sum("n").alias("n_conf"))
 
 
+def best_calibrated_bins(df: DataFrame, key: str, k: int, bins: int = C.ECE_BINS) -> DataFrame:
+    """The reliability bins of all rows of the ``k`` groups whose scored rows have the smallest calibration error: bins of
+    both come from one pass, and a group's few bins stay together until the groups are ranked."""
+    conf, correct = F.col("conf_frac"), F.col("correct")
+    rows = keyed(df, [key]).filter(has_confidence()).withColumn("bin", bin_index(conf, bins)).filter(F.col("bin").isNotNull())
+    per = rows.groupBy(key, "bin").agg(
+        rate(correct).alias("acc"), F.avg(conf).alias("conf"), F.count("*").alias("n"), (F.abs(rate(correct, scored()) - F.avg(F.when(scored(), conf))) * count_where(scored())).alias("_gap"), count_where(scored()).alias("_n")
+    )
+    edge = lambda i: F.element_at(F.array(*[F.lit(float(e)) for e in np.linspace(0, 1, bins + 1)]), (F.col("bin") + i).cast("int"))
+    held = F.collect_list(F.struct("bin", "acc", "conf", "n", edge(1).alias("bin_lo"), edge(2).alias("bin_hi"))).alias("_bins")
+    groups = per.groupBy(key).agg(F.try_divide(F.sum("_gap"), F.sum("_n")).alias("ece"), held).filter(F.col("ece").isNotNull())
+    return groups.orderBy("ece", key).limit(k).select(key, F.inline("_bins"))
+
+
 def brier(df: DataFrame, keys: list[str], within: Column | None = None) -> DataFrame:
     use = has_confidence() & (scored() if within is None else within)
     gap = F.col("conf_frac") - F.col("correct").cast("double")

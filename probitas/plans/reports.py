@@ -147,8 +147,7 @@ def accuracy_figure(table: DataFrame, least: int = 100) -> DataFrame:
 
 def reliability_figure(graded: DataFrame, k: int = 3) -> DataFrame:
     """Bins of the ``k`` best calibrated models."""
-    best = metrics.calibration_error(graded, ["model"]).orderBy("ece", "model").limit(k).select("model")
-    return metrics.reliability_bins(graded, ["model"]).join(best, "model", "left_semi")
+    return metrics.best_calibrated_bins(graded, "model", k)
 
 
 def confidence_figure(graded: DataFrame) -> DataFrame:

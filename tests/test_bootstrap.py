@@ -5,7 +5,8 @@ from math import comb
 
 import numpy as np
 import pytest
-from probitas.operators import bootstrap
+from probitas.operators import bootstrap, metrics
+from probitas.plans import queries, reports
 from pyspark.sql import functions as F
 
 
@@ -141,3 +142,13 @@ def test_rows_are_scanned_once(spark, tmp_path):
     plan = bootstrap.populations(spark.read.parquet(f"{tmp_path}/g"), ["model"])
     plan.collect()
     assert plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan parquet") == 1
+
+
+def test_intervals_and_figures_read_the_rows_once(spark, sf):
+    """Answers are parsed and graded once: by the cells, which are kept, or by the one pass over the bins."""
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [event_id")
+    g = queries.graded(spark, sf)
+    once = reads(g)
+    assert once > 0 and reads(reports.reliability_figure(g)) == once
+    assert reads(bootstrap.mean_interval(g.filter(metrics.scored()), ["model"], F.col("correct"), 20)) == 0
+    assert reads(bootstrap.suite_intervals(g, ["model"], 20, pops=["open"])) == 0
