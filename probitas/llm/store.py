@@ -22,16 +22,44 @@ ROLL, MASK_BITS, LEAST, MOST = 16, 8, 64, 2048
 END_ID = 1
 #: Documents of a block of the manifest's tree.
 BLOCK = 1024
+#: Words that a worker remembers (some 75 MB).
+WORDS = 1_500_000
+
+
+#: Hashed values of small ids, and how many ids are hashed at once.
+GEAR, BLOCK_IDS = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)), 1 << 15
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash over the ROLL ids before has its low bits zero."""
+    out = [np.empty(0, np.int64)]
+    for at in range(0, len(ids) - ROLL, BLOCK_IDS):
+        near = ids[at : at + BLOCK_IDS + ROLL]
+        gear = np.zeros(len(near) + 1, np.uint64)
+        np.cumsum(GEAR[near] if ids.dtype == np.uint16 else mix(near.astype(np.uint64) + U(1)), out=gear[1:])
+        roll = mix(gear[ROLL:] - gear[:-ROLL])[: BLOCK_IDS if at + BLOCK_IDS < len(ids) - ROLL else None]
+        out.append(np.flatnonzero((roll & U((1 << MASK_BITS) - 1)) == 0) + (at + ROLL))
+    return np.concatenate(out)
 
 
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream; they depend on nearby ids only."""
-    n = len(ids)
-    gear = np.concatenate([[U(0)], np.cumsum(mix(ids.astype(np.uint64) + U(1)))])
-    ends: list[int] = []
-    if n > ROLL:
-        roll = mix(gear[ROLL:] - gear[:-ROLL])
-        ends = (np.flatnonzero((roll & U((1 << MASK_BITS) - 1)) == 0) + ROLL).tolist()
+    return bounded(marks(ids).tolist() if len(ids) > ROLL else [], len(ids))
+
+
+def cuts_of(streams: list[np.ndarray]) -> Iterator[list[int]]:
+    """``cuts`` of each of many streams."""
+    flat = np.concatenate([np.empty(0, np.uint16), *streams])
+    ends = np.cumsum([len(x) for x in streams])
+    starts = ends - [len(x) for x in streams]
+    found = marks(flat)
+    low, high = np.searchsorted(found, starts + ROLL), np.searchsorted(found, ends, "right")
+    for start, end, i, j in zip(starts.tolist(), ends.tolist(), low.tolist(), high.tolist(), strict=True):
+        yield bounded((found[i:j] - start).tolist() if end - start > ROLL else [], end - start)
+
+
+def bounded(ends: list[int], n: int) -> list[int]:
+    """Those of ``ends`` that keep chunks of ``n`` ids within the bounds, others where a chunk would be too long, and ``n``."""
     out, past = [], 0
     for end in [*ends, n]:
         while end - past > MOST:
@@ -43,6 +71,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n] if n > past or not out else out
 
 
+def listed(column: pa.Array) -> list:
+    """The values of a column of texts or bytes, or of numbers without nulls; `to_pylist` takes some two microseconds for each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def merkle(hashes: list[bytes]) -> bytes:
     """The root over the chunks' hashes: pairs are hashed level by level, an odd one moves up."""
     while len(hashes) > 1:
@@ -68,34 +101,39 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     names = [c.split()[0] for c in schema.split(", ")]
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(tokenizer)
+        tok = load(tokenizer, WORDS)
         sent: set[bytes] = set()
         for batch in regrouped(batches):
-            rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tok.ids_of(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, tok.kind(end_id))
+            streams = [np.append(ids, tok.kind(end_id)) for ids in tok.ids_of(listed(batch.column(1)))]
+            chunks: tuple[list, ...] = ([], [], [])
+            docs_of: tuple[list, ...] = ([], [], [], [], [])
+            for doc_id, ids, ends in zip(batch.column(0).to_pylist(), streams, cuts_of(streams), strict=True):
                 raw, width = ids.tobytes(), ids.itemsize
-                ends = cuts(ids)
-                sizes = np.diff(ends, prepend=0).tolist()
-                hashes = []
-                for end, n in zip(ends, sizes, strict=True):
-                    payload = raw[(end - n) * width : end * width]
+                hashes, sizes, past = [], [], 0
+                for end in ends:
+                    payload = raw[past * width : end * width]
                     h = hashlib.blake2b(payload, digest_size=16).digest()
                     hashes.append(h)
+                    sizes.append(end - past)
                     if h not in sent:
                         if len(sent) > 1_000_000:  # forgetting costs a repeated payload, not a wrong result
                             sent.clear()
                         sent.add(h)
-                        rows.append((None, n, h, payload, None, None, None, int.from_bytes(h[:7], "big")))
-                root = merkle(hashes)
-                rows.append((doc_id, len(ids), None, None, hashes, sizes, root, int.from_bytes(root[:7], "little") ^ (doc_id or 0)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        for column, x in zip(chunks, (end - past, h, payload), strict=True):
+                            column.append(x)
+                    past = end
+                for column, x in zip(docs_of, (doc_id, len(ids), hashes, sizes, merkle(hashes)), strict=True):
+                    column.append(x)
+            deal = [int.from_bytes(h[:7], "big") for h in chunks[1]] + [int.from_bytes(root[:7], "little") ^ (doc_id or 0) for doc_id, root in zip(docs_of[0], docs_of[4], strict=True)]
+            no_chunk, no_doc = [None] * len(streams), [None] * len(chunks[0])
+            columns = (no_doc + docs_of[0], chunks[0] + docs_of[1], chunks[1] + no_chunk, chunks[2] + no_chunk, no_doc + docs_of[2], no_doc + docs_of[3], no_doc + docs_of[4], deal)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
         release()
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            hashes = batch.column(2).to_pylist()
+            hashes = listed(batch.column(2))
             keep = [h is None or h != x for h, x in zip(hashes, [last, *hashes], strict=False)]
             last = hashes[-1] if hashes else last
             yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["deal"])
@@ -186,7 +224,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crcs = []
-            for h, n, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, n, payload in zip(*(listed(c) for c in batch.columns), strict=True):
                 if hashlib.blake2b(payload, digest_size=16).digest() != h:
                     raise ValueError(f"chunk {h.hex()} does not have the content it is named by")
                 width = len(payload) // n
@@ -196,14 +234,19 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each chunk of each recipe, with the bytes of the document after it."""
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for part, seq, n, hashes, sizes, root in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6, 7)), strict=True):
-                if merkle(hashes) != root or sum(sizes) != n or len(sizes) != len(hashes):
-                    raise ValueError(f"recipe {seq} of part {part} does not give its root")
-                left = n - np.cumsum(sizes)
-                for column, x in zip(out, ([part] * len(sizes), [seq] * len(sizes), hashes, sizes, (4 * left).tolist()), strict=True):
-                    column += x
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)], ["part", "seq", "hash", "n_ids", "after"])
+            part, seq, whole, roots = (listed(batch.column(i)) for i in (0, 1, 4, 7))
+            lists, sizes = batch.column(5), batch.column(6)
+            hashes, each, first = listed(lists.flatten()), sizes.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            total = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+            if not np.array_equal(first, sizes.offsets.to_numpy() - sizes.offsets[0].as_py()):
+                raise ValueError(f"a recipe of part {part[0]} does not have a size for each chunk")
+            held = np.diff(total[first]).tolist()
+            for i, root in enumerate(roots):
+                if merkle(hashes[first[i] : first[i + 1]]) != root or held[i] != whole[i]:
+                    raise ValueError(f"recipe {seq[i]} of part {part[i]} does not give its root")
+            row = np.repeat(np.arange(len(roots)), np.diff(first))
+            after = 4 * (total[first[1:]][row] - total[1:])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), lists.flatten(), sizes.flatten(), pa.array(after)], ["part", "seq", "hash", "n_ids", "after"])
 
     def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -539,6 +539,37 @@ def test_tokens_are_the_library_s(texts, ids):
         assert tok.ids(t).tolist() == want
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_new_words_go_to_the_library_together(monkeypatch, collide):
+    """Words of letters, digits and signs are given to the library in one text, cut as its splitter does; known ones are
+    told apart by comparison, also where all hashes are equal or words were forgotten."""
+    if collide:
+        monkeypatch.setattr(tokens, "hashes_of", lambda words: np.zeros(len(words), np.uint64))
+    tok = tokens.WordTokenizer(tokens.default_path())
+    words = ["thesblend!!", "555-4892", "it's", "IT'LL", "''s", "x'Tea", "a_b.c", "<|x", "<|endoftext|>", "Größe$$$", "été,l'été", "ÿ×2²", "µm½", "51.72.184.110", "İ", "e\u0301", "日本!", "--'re've", "º", "\xa0a", "'"]
+    want = [tok.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    alone = []
+    slow = tok.tokenizer
+    tok.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, texts, **how: alone.extend(texts) or slow.encode_batch_fast(texts, **how)})()
+    tok.most = 30
+    for _ in range(3):
+        assert [tok.ids(w).tolist() for w in words] == want
+        assert [x.tolist() for x in tok.ids_of([" ".join(words), *words])][1:] == want
+    assert "thesblend!!" not in alone and "555-4892" not in alone and "日本!" in alone
+
+
+def test_chunks_of_many_streams(monkeypatch):
+    rng = np.random.default_rng(4)
+    for kind, block in ((np.uint16, 1 << 15), (np.uint32, 64), (np.uint16, 100)):
+        monkeypatch.setattr(store, "BLOCK_IDS", block)
+        streams = [rng.integers(0, 49000, n).astype(kind) for n in (1, 16, 17, 5000, 116, 80, 3, 4000)] + [np.full(7000, 5, kind)]
+        assert list(store.cuts_of(streams)) == [store.cuts(x) for x in streams]
+        whole = np.concatenate([[np.uint64(0)], np.cumsum(store.mix(streams[3].astype(np.uint64) + np.uint64(1)))])
+        roll = store.mix(whole[store.ROLL :] - whole[: -store.ROLL])
+        assert store.marks(streams[3]).tolist() == (np.flatnonzero(roll & np.uint64(255) == 0) + store.ROLL).tolist()
+    assert list(store.cuts_of([])) == []
+
+
 def test_packing(docs, ids):
     out = packing.pack_documents(docs, shard_docs=64, with_ids=True).collect()
     streams = Counter((d, crc([*x, 2])) for d, x in ids)
