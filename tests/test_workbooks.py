@@ -95,3 +95,17 @@ def test_written(spark, tmp_path, monkeypatch):
     for mode in ("append", "append", "overwrite"):
         spark.range(10).write.format("workbook").mode(mode).save(path)
     assert sorted(r["id"] for r in workbooks.read_workbook(spark, path, schema="id long").collect()) == list(range(10))
+
+
+def test_files_hold_so_many_rows(spark, tmp_path, monkeypatch):
+    """One task's rows become files of a bounded size, so that what a reader holds does not grow with the table."""
+    workbooks.register(spark)
+    one = spark.range(250001).coalesce(1)
+    one.write.format("workbook").mode("append").save(str(tmp_path / "a"))
+    one.filter("id < 25").write.format("workbook").option("rowsPerFile", 10).mode("append").save(str(tmp_path / "b"))
+    for name, want in (("a", [50001, 100000, 100000]), ("b", [5, 10, 10])):
+        got = workbooks.read_rows(spark, str(tmp_path / name)).groupBy("path").count().collect()
+        assert sorted(r["count"] for r in got) == want
+        assert workbooks.read_workbook(spark, str(tmp_path / name), schema="id long").distinct().count() == sum(want)
+    with pytest.raises(Exception, match="rowsPerFile"):
+        one.write.format("workbook").option("rowsPerFile", 0).mode("append").save(str(tmp_path / "c"))
