@@ -55,6 +55,25 @@ def contributions(graded: DataFrame, salts: int) -> DataFrame:
     return graded.select(*keys, salt.alias("salt"), F.coalesce(F.when(conf, metrics.bin_index(c)), F.lit(-1)).cast("int").alias("bin"), text("gt_label").alias("t"), text("pred_answer").alias("p"), *[x.alias(k) for k, x in adds.items()], name.alias("name"), at.alias("at"), "image_id", "prompt_id", "timestamp_utc")
 
 
+class Known:
+    """Names in sorted runs, each more than twice as long as the next: a name is merged a logarithmic number of times."""
+
+    def __init__(self, names: np.ndarray) -> None:
+        self.runs = [np.unique(names)] if len(names) else []
+
+    def has(self, names: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(names), bool)
+        for run in self.runs:
+            out |= run[np.minimum(np.searchsorted(run, names), len(run) - 1)] == names
+        return out
+
+    def add(self, names: np.ndarray) -> None:
+        """Names that were not known, each once."""
+        self.runs.append(np.sort(names))
+        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]), kind="stable")]
+
+
 class CellState(StatefulProcessor):
     """Counts each answer of a key once. An answer is late when its time is more than ``delay`` before the latest that the
     key had seen at the batch's begin; it is put out, not counted. Names are forgotten with their hour, ``delay`` later,
@@ -73,8 +92,8 @@ class CellState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         last = self.clock.get()[0] if self.clock.exists() else -1
         names = {k[0]: np.frombuffer(v[0], "S16") for k, v in self.seen.iterator()}
-        known = np.unique(np.concatenate([np.empty(0, "S16"), *names.values()]))
-        touched, changed, top = set(), {}, last
+        known = Known(np.concatenate([np.empty(0, "S16"), *names.values()]))
+        fresh, changed, top = {}, {}, last
         for pdf in rows:
             at = pdf["at"].to_numpy(np.int64)
             late = (at >= 0) & (at < last - self.delay) if last >= 0 else np.zeros(len(at), bool)
@@ -83,17 +102,17 @@ class CellState(StatefulProcessor):
             own = np.array(list(pdf["name"]), "S16")
             first = np.zeros(len(own), bool)
             first[np.unique(np.where(late, b"", own), return_index=True)[1]] = True
-            new = first & ~late & ~np.isin(own, known)
+            new = first & ~late & ~known.has(own)
             if not new.any():
                 continue
-            known = np.union1d(known, own[new])
+            known.add(own[new])
             hours = np.where(at >= 0, at // HOUR, -1)
             for hour in np.unique(hours[new]).tolist():
-                names[hour] = np.concatenate([names.get(hour, np.empty(0, "S16")), own[new & (hours == hour)]])
-                touched.add(hour)
+                fresh.setdefault(hour, []).append(own[new & (hours == hour)])
             top = max(top, int(at[new].max()))
-            for cell, sums in pdf[new].groupby(["bin", "t", "p"])[SUMS].sum().iterrows():
-                changed[cell] = changed.get(cell, 0) + sums.to_numpy(float)
+            added = pdf[new].groupby(["bin", "t", "p"])[SUMS].sum()
+            for cell, sums in zip(added.index, added.to_numpy(float), strict=True):
+                changed[cell] = changed.get(cell, 0) + sums
         out = []
         for cell, sums in changed.items():
             cell = (int(cell[0]), cell[1], cell[2])
@@ -102,7 +121,8 @@ class CellState(StatefulProcessor):
             values = tuple(int(round(x)) if c in WHOLE else float(x) for c, x in zip(SUMS, total, strict=True))
             self.cells.updateValue(cell, values)
             out.append(("cell", *key, *cell, *values, None, None, None))
-        for hour in touched:
+        for hour, parts in fresh.items():
+            names[hour] = np.concatenate([names.get(hour, np.empty(0, "S16")), *parts])
             self.seen.updateValue((hour,), (names[hour].tobytes(),))
         if top > last:
             self.clock.update((top,))

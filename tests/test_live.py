@@ -1,7 +1,10 @@
 """The stream that keeps the suite's cells as state: repeats, replays, late answers, salts, timers."""
 
+import hashlib
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from probitas.operators import metrics
 from probitas.operators.grading import grade
@@ -71,3 +74,41 @@ def test_idle_keys_forget_names(spark, exam, tmp_path):
         query.stop()
     assert [tuple(r)[:3] for r in spark.read.parquet(f"{tmp_path}/out/idle").collect()] == [("hot", "T1-MOD", "OE")]
     assert [r["n"] for r in live.latest_cells(spark, f"{tmp_path}/out").collect()] == [1]
+
+
+class Held(dict):
+    """A state variable without Spark."""
+
+    def exists(self):
+        return () in self
+
+    def get(self):
+        return self[()]
+
+    def update(self, value):
+        self[()] = value
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__  # noqa: N815
+
+
+def test_names_are_not_sorted_again_for_every_batch(monkeypatch):
+    """Batches with repeats within them, of one another and of the last call: each answer counts once, and the names that
+    sorts read grow as n log n, not with the number of batches."""
+    read = [0]
+    for name in ("sort", "unique", "union1d", "isin"):
+        old = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda *a, old=old, **k: (read.__setitem__(0, read[0] + sum(x.size for x in a if isinstance(x, np.ndarray))), old(*a, **k))[1])
+    state = live.CellState(live.HOUR, None)
+    state.cells, state.seen, state.clock = Held(), Held(), Held()
+    rng, batch, batches = np.random.default_rng(5), 50, 400
+    numbers = rng.integers(0, 15000, (2, batches, batch))
+    for call in numbers:
+        pdfs = [pd.DataFrame({"bin": b % 3, "t": "=a", "p": "=b", **{c: 1 for c in live.SUMS}, "name": [hashlib.md5(b"%d" % i).digest() for i in b], "at": live.HOUR * (1 + b % 2)}) for b in call]
+        list(state.handleInputRows(("m", "t", "f", 0), iter(pdfs), None))
+    want = np.unique(numbers)
+    assert {k[0]: v[0] for k, v in state.cells.items()} == {i: int((want % 3 == i).sum()) for i in range(3)}
+    assert sorted(x for v in state.seen.values() for x in np.frombuffer(v[0], "S16").tolist()) == sorted(np.array([hashlib.md5(b"%d" % i).digest() for i in want.tolist()], "S16").tolist())
+    assert read[0] < 20 * numbers.size
