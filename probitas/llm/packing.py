@@ -17,6 +17,8 @@ from .tokens import default_path, load
 WINDOW, END_ID = 4096, 2
 #: Token ids of one index shard on average; a shard is the work and the memory of one task.
 SHARD_IDS = 1 << 20
+#: Bytes of texts that are put together, and characters that are numbered together: a worker holds some 40 times as much.
+TEXT_BYTES = 2 << 20
 #: The router: at most some SAMPLE documents (those of the smallest hashes) give CLUSTERS centres in DIMENSIONS.
 SAMPLE, CLUSTERS, DIMENSIONS = 2048, 16, 1024
 K1, B = 1.2, 0.75
@@ -164,7 +166,7 @@ def sampled_router(docs: DataFrame, tokenizer: str, count: int) -> Router:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(tokenizer)
         for batch in batches:
-            ids = [x.astype("<u4").tobytes() for x in tok.ids_of(batch.column(1).to_pylist())]
+            ids = [x.astype("<u4").tobytes() for x in tok.ids_of(batch.column(1).to_pylist(), TEXT_BYTES)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["name", "ids"])
 
     name = F.xxhash64("doc_id", "text")
@@ -184,8 +186,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, router: Router) -> D
         tok = load(tokenizer)
         end = tok.kind(end_id)
         seen = np.zeros(len(tok.ends), np.uint32)
-        for batch in regrouped(batches):
-            streams = [np.append(ids, end) for ids in tok.ids_of(batch.column(1).to_pylist())]
+        for batch in regrouped(batches, TEXT_BYTES):
+            streams = [np.append(ids, end) for ids in tok.ids_of(batch.column(1).to_pylist(), TEXT_BYTES)]
             terms = [np.unique(s) for s in streams]
             if max(end_id, *(int(t[-1]) for t in terms)) >= len(seen):
                 seen = np.concatenate([seen, np.zeros(end_id + 1, np.uint32)])

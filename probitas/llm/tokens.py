@@ -168,15 +168,16 @@ class WordTokenizer:
             return text
         return text.lower().replace(". ", " . ").replace(", ", " , ")
 
-    def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text. Parts are numbered once for many texts, and only new ones become Python strings."""
+    def ids_of(self, texts: list[str | None], chars: int = TEXT_CHARS) -> list[np.ndarray]:
+        """The ids of each text. Parts are numbered once for many texts (of ``chars`` characters and the text that passes
+        them), and only new ones become Python strings."""
         out: list[np.ndarray] = []
         held: list[str] = []
         size = 0
         for text in texts:
             held.append(self.spaced(text))
             size += len(held[-1])
-            if size > TEXT_CHARS:
+            if size > chars:
                 out += self.numbered(held)
                 held, size = [], 0
         return out + self.numbered(held) if held else out

@@ -37,10 +37,12 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of at most so many rows: a worker's memory follows them."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, read: int = 256) -> None:
+    """Whole texts go to Python in batches of at most ``rows`` rows and are read from Parquet ``read`` rows at a time: the
+    memory of a worker and that of an executor's heap, where a column of a batch is one array, follow them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", read)):
+        if int(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
 
 
 def byte_batches(spark: SparkSession, most: int = 32 << 20) -> None:

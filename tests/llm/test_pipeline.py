@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
-from probitas.llm import pii, queries, tokens
+from probitas.llm import packing, pii, queries, tokens
 from test_operators import components_of, sets_of, words
 from tokenizers import Tokenizer
 
@@ -90,3 +92,47 @@ def test_stages_keep_foreign_columns(spark, folder):
         rows = out.collect()
         assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == docs.count()
+
+
+def test_texts_are_read_in_small_batches(spark, folder):
+    """A column of a batch is one array of an executor's heap: 4096 whole texts were one."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(key)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    corpus_pipeline.STAGES[0][1](spark, docs, folder).count()
+    assert int(spark.conf.get(key)) <= 256
+    spark.conf.set(key, "100")
+    corpus_pipeline.STAGES[0][1](spark, docs, folder).count()
+    assert spark.conf.get(key) == "100"
+    spark.conf.unset(key)
+
+
+def test_packing_numbers_few_texts_together(texts, monkeypatch):
+    """What a packing worker holds follows TEXT_BYTES, not the whole batch; the ids are the same."""
+    bodies = [t for _, t, *_ in texts] * 3
+    tok = tokens.WordTokenizer(tokens.default_path())
+    want = [x.tolist() for x in tok.ids_of(bodies)]
+    held, numbered = [], tokens.WordTokenizer.numbered
+
+    def noted(self, spaced):
+        held.append(sum(map(len, spaced)))
+        return numbered(self, spaced)
+
+    class Docs:
+        """Takes the function that a task would run."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, each, schema):
+            self.each = each
+            return self
+
+    monkeypatch.setattr(tokens.WordTokenizer, "numbered", noted)
+    monkeypatch.setattr(packing, "stage", lambda df, name: df)
+    monkeypatch.setattr(packing, "TEXT_BYTES", 20_000)
+    each = packing.tokenised(Docs(), tokens.default_path(), 2, packing.Router([])).each
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int64()), pa.array(part, pa.string())], ["doc_id", "text"]) for part in (bodies[:100], bodies[100:])]
+    got = [np.frombuffer(b, tok.kind).tolist() for out in each(iter(batches)) for b in out.column(3).to_pylist() if b is not None]
+    assert got == [[*w, 2] for w in want]
+    assert max(held) <= 20_000 + max(len(tok.spaced(b)) for b in bodies)
